@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from docketry.llm.common import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.pii import KINDS, of_kind, personal_data, span_list
+
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+    base = F.concat(*(of_kind(k) for k in KINDS))
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.concat(base, "added")).alias("spans"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.decontam import contamination
 
@@ -44,6 +57,18 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.chat import rotate_perspectives
+
+    return rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.warc import warc_round_trip
+
+    return warc_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.token_counts import length_histogram, suffix_sums
 
@@ -52,10 +77,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_decontamination": op2_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_dedup": op5_simhash_dedup,
+        "op6_chat_formatting": op6_chat_formatting,
+        "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -80,4 +108,22 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)""",
+        "op6_chat_formatting": """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS i FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+r AS (SELECT t.conv_id, perspective, i, i // 64 AS part, role = perspective AS own, text || '<|end|>' || chr(10) AS body,
+    CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM r),
+g AS (SELECT conv_id, perspective, part, count(*) AS n_turns, CAST(count(*) FILTER (own) AS BIGINT) AS n_assistant,
+    string_agg(head || body, '' ORDER BY i) AS rendered,
+    coalesce(string_agg(CASE WHEN own THEN CAST(a AS BIGINT) || ':' || CAST(a + length(body) AS BIGINT) END, ',' ORDER BY i), '') AS mask,
+    CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars FROM o GROUP BY ALL)
+SELECT *, CAST(coalesce(sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS part_offset FROM g""",
+        "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS best FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to FROM m""",
     }
