@@ -63,6 +63,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.lang_id import held_out, identify_languages
+
+    found = identify_languages(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.warc import warc_round_trip
 
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_chat_formatting": op6_chat_formatting,
+        "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
     }
