@@ -63,6 +63,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.lm_score import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.lang_id import held_out, identify_languages
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
