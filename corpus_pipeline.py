@@ -2,7 +2,8 @@
 
 Every stage but the last takes and returns the columns of documents. Its result is written as
 Parquet into the shared folder and read again as the next stage's input. Rows that repeat a
-doc_id share what is decided for any of them.
+doc_id with the same text count as copies, of which the second stage leaves one; rows that repeat
+it with other texts share what later stages decide for any of them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from docketry.llm.lang_id import UNKNOWN, identify_languages
 from docketry.llm.packing import pack_documents
 from docketry.llm.simhash_dedup import near_duplicates
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped(doc_id); a null id equals a null id."""
@@ -31,8 +34,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    return _without(docs, exact_duplicates(docs).filter("not kept"))
+    """Of equal texts, the row with the largest doc_id stays; of rows that share it too, one."""
+    ids = materialise(exact_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "exact-ids")
+    rest = _without(docs, ids.filter("not kept"))
+    again = ids.filter("kept and rows > 1")
+    if again.isEmpty():
+        return rest
+    marks = again.select(F.col("doc_id").alias("_again"))
+    repeated = rest.join(marks, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
+    same = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256)
+    one = repeated.groupBy("doc_id", same.alias("_same")).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return _without(rest, again).unionByName(one)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
