@@ -99,3 +99,18 @@ NEAREST_EXPLANATION = (
     " مديونية الشركة تجاه بنك تمويل المؤسسات الصغرى والمتوسطة كما ورد في نص الحكم ضمن الديون المتخلدة بذمة الشركة. "
     "اعتمد الحكم هذا المبلغ في سياق تقييم الوضعية المالية للشركة، حيث تبين أن ديونها وتعهداتها تفوق رأس مالها وأنها متوقفة عن النشاط والدفع.",
 )
+
+# Excerpts for a model, report labels, service errors (exception, status, code) and what callers see.
+SHORTENED = "\n[… extrait raccourci …]\n"
+EXCERPTS = (("dispositif final", 1500), ("en-tete et parties", 1100), ("contexte BFPME 1", 400), ("contexte BFPME 2", 400), ("montants confirmes", 900))
+REPORT_LABELS = (
+    "Tribunal", "Numero du dossier", "Date de decision", "Demandeur", "Defendeur", "Banque", "Entreprise", "Montant",
+    "References juridiques", "Decision", "Justification", "Resume",
+)
+SERVICE_ERRORS = (
+    ("FileNotFoundError", 404, "FILE_NOT_FOUND"), ("ValueError", 422, "INVALID_INPUT"), ("RuntimeError", 422, "EXTRACTION_FAILED"),
+    ("APITimeoutError", 504, "LLM_TIMEOUT"), ("APIConnectionError", 503, "LLM_UNAVAILABLE"), ("APIError", 502, "LLM_ERROR"),
+)
+INTERNAL_ERROR = (500, "INTERNAL_ERROR")
+CLIENT_ERRORS = {400: 422, 422: 422, 503: 503, 504: 504}
+OTHER_CLIENT_ERROR = 502

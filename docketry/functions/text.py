@@ -157,13 +157,14 @@ def count_sentences(x: Column) -> Column:
     return F.when(x.isNull(), 0).otherwise(F.size(F.filter(F.split(x, r"(?U)[.!؟؛]\s+|\n+"), lambda s: strip(s) != "")))
 
 
-def shorten(x: Column, budget: int, marker: str = "\n[...]\n") -> Column:
-    """Both ends of a text that is longer than the budget, two thirds from its head."""
-    value, room = strip(F.coalesce(x, F.lit(""))), max(0, budget - len(marker))
-    head = room * 2 // 3
-    return F.when(F.length(value) <= budget, value).otherwise(
-        F.concat(F.substring(value, 1, head), F.lit(marker), F.right(value, F.lit(room - head)))
-    )
+def shorten(x: Column, budget: int | Column) -> Column:
+    """Both ends of a text that is longer than the budget, half from each, around a mark."""
+    value, budget = strip(F.coalesce(x, F.lit(""))), budget if isinstance(budget, Column) else F.lit(budget)
+    room = F.greatest(F.lit(1), budget - len(L.SHORTENED)).cast("int")
+    head = F.floor(room / 2).cast("int")
+    start = F.regexp_replace(F.substring(value, F.lit(1), head), r"(?U)\s+$", "")
+    end = F.regexp_replace(F.right(value, room - head), r"(?U)^\s+", "")
+    return F.when(F.length(value) <= budget, value).otherwise(F.concat(start, F.lit(L.SHORTENED), end))
 
 
 def truncate_error(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import lexicon as L
 from docketry.functions import text as T
 from docketry.operators import schema as S
 
@@ -125,14 +126,18 @@ def display_record(record: str = "extraction_result") -> Column:
     return F.coalesce(F.col(record), F.when(some, F.struct(*(values[k].cast(v).alias(k) for k, v in S.FIELDS.items()))))
 
 
-REPORT = ("tribunal", "numero_dossier", "date_decision", "demandeur", "defendeur", "montant", "explication_montant", "references_juridiques", "decision", "decision_justification", "resume", "type_jugement")
-
-
 def report_rows(registry: DataFrame, record: str = "extraction_result") -> DataFrame:
-    """(id, position, label, value): twelve rows a judgment; null prints `null`, references as `- item` lines."""
+    """(id, position, label, value): twelve rows a judgment; null prints `null`, references as `- item` lines.
+
+    The record has no bank and no company any more, so their rows print `null`.
+    """
     r = F.col(record)
     lines = F.array_join(F.transform(r["references_juridiques"], lambda x: F.concat(F.lit("- "), x)), "\n")
-    value = {k: r[k] for k in S.FIELDS if k not in ("parties", "references_juridiques", "montants_fixes", "montants_variables")}
-    value |= {"demandeur": r["parties"]["demandeur"], "defendeur": r["parties"]["defendeur"], "references_juridiques": lines}
-    rows = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(k).alias("label"), F.coalesce(value[k], F.lit("null")).alias("value")) for i, k in enumerate(REPORT)))
+    none = F.lit(None).cast("string")
+    values = (
+        r["tribunal"], r["numero_dossier"], r["date_decision"], r["parties"]["demandeur"], r["parties"]["defendeur"], none, none, r["montant"],
+        lines, r["decision"], r["decision_justification"], r["resume"],
+    )
+    pairs = enumerate(zip(L.REPORT_LABELS, values, strict=True))
+    rows = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(k).alias("label"), F.coalesce(v, F.lit("null")).alias("value")) for i, (k, v) in pairs))
     return registry.select("id", F.explode(rows).alias("x")).select("id", "x.*")
