@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docketry.llm.common import scratch_path
 
@@ -48,6 +49,12 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
+@F.pandas_udf(BinaryType())
+def packed(payload: pd.Series) -> pd.Series:
+    """Payloads as they travel between tasks: html shrinks to a third, at little cost."""
+    return payload.map(lambda x: zlib.compress(x, 1))
+
+
 def _base32(digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
 
@@ -131,6 +138,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, date
             if now is None:
                 part += 1
                 now = _File(folder, f"shard-{shard:06d}-{part:05d}.warc.gz", date, level)
+            row["payload"] = row["payload"] and zlib.decompress(row["payload"])
             now.add(record(*(row[k] for k in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")), date))
     close()
     columns = list(zip(*rows, strict=True)) or [[]] * 6
@@ -173,7 +181,7 @@ def write_warc(
         .agg(F.max("page_id").alias("response"), F.count("*").alias("copies"))
         .filter("copies > 1").drop("copies")
     )
-    rows = rows.join(groups, ["payload_digest", "payload_bytes"], "left")
+    rows = rows.withColumn("payload", packed("payload")).join(groups, ["payload_digest", "payload_bytes"], "left")
     revisit = F.coalesce((F.col("page_id") != F.col("response")) | (F.col("page_id").isNull() & F.col("response").isNotNull()), F.lit(False))
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("response"))).withColumn("payload", F.when(~revisit, F.col("payload")))
     borders = np.array(_borders(pages.select("page_id", F.octet_length(payload).alias("payload_bytes")), shard_bytes, max_shards), np.int64)
