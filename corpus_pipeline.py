@@ -21,9 +21,15 @@ from docketry.llm.simhash_dedup import near_duplicates
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Up to so many dropped ids (8 bytes each) are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped(doc_id); a null id equals a null id."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-ids")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
