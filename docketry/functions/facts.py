@@ -26,9 +26,12 @@ def operative_part(text: Column) -> Column:
         ends = [F.nullif(F.regexp_extract(line, f"(?sU)^(.*?{p})", 1), F.lit("")) for p in L.COSTS]
         return F.rtrim(F.coalesce(*ends), F.lit(" './|،"))
 
-    at = F.array_position(F.transform(lines, lambda x: T.has(x, costs)), True)
-    whole = F.when(at > 0, F.concat(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), F.array(cut(F.get(lines, (at - 1).cast("int")))))).otherwise(lines)
-    return F.nullif(F.array_join(whole, "\n"), F.lit(""))
+    def whole(x: Column) -> Column:
+        ended = F.concat(F.slice(x["lines"], F.lit(1), F.greatest(x["at"] - 1, F.lit(0)).cast("int")), F.array(cut(F.get(x["lines"], (x["at"] - 1).cast("int")))))
+        return F.nullif(F.array_join(F.when(x["at"] > 0, ended).otherwise(x["lines"]), "\n"), F.lit(""))
+
+    located = lambda v: F.struct(v.alias("lines"), F.array_position(F.transform(v, lambda x: T.has(x, costs)), True).alias("at"))
+    return T.let(T.let(lines, located), whole)
 
 
 def starts_with_marker(x: Column) -> Column:
@@ -45,10 +48,13 @@ def decision_date(text: Column) -> Column:
     """DD/MM/YYYY of the first day, month name and year; not checked against the calendar."""
     names = "|".join(sorted(L.MONTHS, key=lambda m: (L.MONTHS[m], m)))
     pattern = rf"(?U)\b(\d{{1,2}})\s+({names})\s+(\d{{4}})\b"
-    t = T.western_digits(text)
-    day, month, year = (F.regexp_extract(t, pattern, k) for k in (1, 2, 3))
-    number = F.create_map(*(F.lit(v) for kv in L.MONTHS.items() for v in kv))[month]
-    return F.when(year != "", F.format_string("%02d/%02d/%s", day.try_cast("int"), number, year))
+    months = F.create_map(*(F.lit(v) for kv in L.MONTHS.items() for v in kv))
+
+    def written(date: Column) -> Column:
+        day, month, year = (F.regexp_extract(date, pattern, k) for k in (1, 2, 3))
+        return F.when(date != "", F.format_string("%02d/%02d/%s", day.try_cast("int"), months[month], year))
+
+    return T.let(F.regexp_extract(T.western_digits(text), pattern, 0), written)
 
 
 def case_number(text: Column) -> Column:
@@ -68,11 +74,14 @@ def normalize_date(x: Column) -> Column:
 
 def judgment_type(text: Column, operative: Column) -> Column:
     """The first family of ruling verbs in the operative part, or in the last 3000 characters without one."""
-    ruling = F.coalesce(operative, T.last_chars(text, 3000))
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(L.RULINGS):
-        out = F.when(T.has(ruling, pattern), name).otherwise(out)
-    return F.coalesce(out, F.when(operative.isNotNull(), "original"))
+
+    def family(ruling: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern in reversed(L.RULINGS):
+            out = F.when(T.has(ruling, pattern), name).otherwise(out)
+        return out
+
+    return F.coalesce(T.let(F.coalesce(operative, T.last_chars(text, 3000)), family), F.when(operative.isNotNull(), "original"))
 
 
 def bank_role(text: Column) -> Column:
@@ -95,7 +104,7 @@ def defendant(text: Column) -> Column:
         section = F.regexp_extract(text, rf"(?U){marker}[\s:،-]*([\s\S]{{0,550}})", 1)
         company = F.element_at(F.split(T.found(section, L.COMPANY), f"(?U){L.COMPANY_END}", 2), 1)
         company = F.btrim(F.regexp_replace(company, r"(?U)\s+", " "), F.lit(" .،:-"))
-        return F.when((company != "") & ~T.is_masked_party(company), company)
+        return T.let(company, lambda c: F.when((c != "") & ~T.is_masked_party(c), c))
     return F.coalesce(*(named(m) for m in L.DEFENDANT_MARKERS))
 
 
@@ -109,13 +118,15 @@ def legal_references(text: Column) -> Column:
         F.transform(F.arrays_zip(cited.alias("n"), suffix.alias("c")), lambda x: F.struct(x["n"].try_cast("int").alias("n"), (x["c"] != "").alias("c"))),
         lambda x: x["n"] > 0,
     )
-    of_contract = F.transform(F.filter(pairs, lambda x: x["c"]), lambda x: x["n"])
-    numbers = F.array_distinct(F.transform(pairs, lambda x: x["n"]))
-    named = F.transform(
-        numbers,
-        lambda n: F.concat(F.lit("الفصل "), n.cast("string"), F.when(F.array_contains(of_contract, n), F.lit(f" {L.LOAN_CONTRACT}")).otherwise("")),
-    )
-    return F.when(F.size(named) > 0, named)
+
+    def named(found: Column) -> Column:
+        of_contract = F.transform(F.filter(found, lambda x: x["c"]), lambda x: x["n"])
+        numbers = F.array_distinct(F.transform(found, lambda x: x["n"]))
+        suffix = lambda x: F.when(F.array_contains(x["contract"], x["n"]), F.lit(f" {L.LOAN_CONTRACT}")).otherwise("")
+        pairs = F.transform(numbers, lambda n: F.struct(n.alias("n"), of_contract.alias("contract")))
+        return F.transform(pairs, lambda x: F.concat(F.lit("الفصل "), x["n"].cast("string"), suffix(x)))
+
+    return T.let(T.let(pairs, named), lambda x: F.when(F.size(x) > 0, x))
 
 
 def final_references(text: Column) -> Column:

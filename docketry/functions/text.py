@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docketry.functions import lexicon as L
 
@@ -14,6 +16,11 @@ LETTER = "ء-ي"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085  ]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without Unicode blanks at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -93,14 +100,14 @@ def line_key(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x, F.lit("")), r"[^\p{L}\p{N}]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(x: Column) -> Column:
-    """Compatibility composition; Spark has no such function, so texts beyond ASCII take an Arrow UDF."""
-    return _nfkc(x)
+    """Compatibility composition; Spark has no such function, so texts beyond ASCII, and only they, take an Arrow UDF."""
+    return F.coalesce(_nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
 
 
 def compact(x: Column) -> Column:
@@ -139,14 +146,13 @@ def segment_language(x: Column) -> Column:
 
 def nullable(x: Column) -> Column:
     """Trimmed; blank texts and words for `unknown` become null."""
-    value = strip(x)
-    return F.when((value == "") | F.lower(value).isin(*L.NULL_WORDS), F.lit(None)).otherwise(value)
+    return let(strip(x), lambda v: F.when((v != "") & ~F.lower(v).isin(*L.NULL_WORDS), v))
 
 
 def is_masked_party(x: Column) -> Column:
     """Starred or elided names, or no more than four letters once blanks, quotes, commas and dots go."""
     short = F.regexp_replace(x, r"""(?U)[\s"'،,.]""", "")
-    return F.coalesce(short.contains("*") | short.contains("…") | short.rlike(r"^[A-Za-zء-ي]{1,4}$"), F.lit(False))
+    return F.coalesce(short.rlike(r"[*…]|^[A-Za-zء-ي]{1,4}$"), F.lit(False))
 
 
 def gate(x: Column, allowed: tuple[str, ...]) -> Column:
@@ -159,12 +165,16 @@ def count_sentences(x: Column) -> Column:
 
 def shorten(x: Column, budget: int | Column) -> Column:
     """Both ends of a text that is longer than the budget, half from each, around a mark."""
-    value, budget = strip(F.coalesce(x, F.lit(""))), budget if isinstance(budget, Column) else F.lit(budget)
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
     room = F.greatest(F.lit(1), budget - len(L.SHORTENED)).cast("int")
     head = F.floor(room / 2).cast("int")
-    start = F.regexp_replace(F.substring(value, F.lit(1), head), r"(?U)\s+$", "")
-    end = F.regexp_replace(F.right(value, room - head), r"(?U)^\s+", "")
-    return F.when(F.length(value) <= budget, value).otherwise(F.concat(start, F.lit(L.SHORTENED), end))
+
+    def ends(value: Column) -> Column:
+        start = F.regexp_replace(F.substring(value, F.lit(1), head), r"(?U)\s+$", "")
+        end = F.regexp_replace(F.right(value, room - head), r"(?U)^\s+", "")
+        return F.when(F.length(value) <= budget, value).otherwise(F.concat(start, F.lit(L.SHORTENED), end))
+
+    return let(strip(F.coalesce(x, F.lit(""))), ends)
 
 
 def truncate_error(x: Column) -> Column:

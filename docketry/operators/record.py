@@ -61,14 +61,6 @@ def applicable_amounts(text: Column, kind: Column, role: Column) -> Column:
     or named anywhere with the list's plaintiff being a bank, or the plaintiff of an original
     judgment. Without a fixed amount the variable ones do not count either.
     """
-    block = A.amount_list(text)
-    context = F.concat_ws("\n", block["prefix"], F.substring(block["items"], 1, 500))
-    meant = (
-        X.mentions_bank(context)
-        | (X.mentions_bank(text) & T.has(context, L.PLAINTIFF_BANK))
-        | ((kind == "original") & (role == "demandeur"))
-    )
-    items = A.classify_items(A.numbered_items(block["items"]))
     reason = F.when(kind == "original", L.FIXED_REASON_ORIGINAL).otherwise(L.FIXED_REASON_CONFIRMED)
 
     def fixed_item(label: Column, written: Column, millimes: Column) -> Column:
@@ -78,28 +70,51 @@ def applicable_amounts(text: Column, kind: Column, role: Column) -> Column:
             reason.alias("raison_inclusion_exclusion"),
         )
 
-    fixed = F.transform(F.filter(items, lambda x: x["is_fixed"]), lambda x: fixed_item(x["label"], x["written"], x["millimes"]))
-    variable = F.transform(
-        F.filter(items, lambda x: x["is_variable"]),
-        lambda x: F.struct(x["label"].alias("libelle_original"), x["label"].alias("formule_originale"), F.lit(L.VARIABLE_REASON).alias("raison_non_calculable")),
-    )
-    recovered = F.when(T.has(block["items"], L.DELAY_INTEREST), A.recovered_interest(block["grounds"]))
-    value = A.parse_millimes(recovered)
-    fixed = F.when(
-        value.isNotNull() & ~F.exists(fixed, lambda x: x["valeur_millimes"] == value),
-        F.concat(fixed, F.array(fixed_item(F.lit(L.RECOVERED_LABEL), F.concat(recovered, F.lit(" د")), value))),
-    ).otherwise(fixed)
-    total = F.aggregate(fixed, F.lit(0).cast("long"), lambda s, x: s + x["valeur_millimes"])
-    details = F.array_join(F.transform(fixed, lambda x: F.concat(x["valeur_originale"], F.lit(" ("), x["libelle_original"], F.lit(")"))), " + ")
-    explanation = F.concat(
-        F.lit("نوع الحكم: "), F.coalesce(kind, F.lit("غير محدد")), F.lit(". "),
-        F.when(kind == "original", L.LIST_SOURCE_ORIGINAL).otherwise(L.LIST_SOURCE_CONFIRMED),
-        F.lit(f"المبالغ الثابتة المحتسبة لفائدة {L.BANK_NAME} هي: "), details,
-        F.lit(". المجموع الثابت هو "), A.format_millimes(total), F.lit("."),
-        F.when(F.size(variable) > 0, L.VARIABLE_EXCLUDED).otherwise(""),
-    )
-    applies = block.isNotNull() & F.coalesce(kind != "infirmatif", F.lit(True)) & F.coalesce(meant, F.lit(False)) & (F.size(fixed) > 0)
-    return F.when(applies, F.struct(fixed.alias("fixed"), variable.alias("variable"), total.alias("millimes"), A.format_millimes(total).alias("total"), explanation.alias("explanation")))
+    def is_meant(block: Column) -> Column:
+        about = lambda c: X.mentions_bank(c) | (X.mentions_bank(text) & T.has(c, L.PLAINTIFF_BANK)) | ((kind == "original") & (role == "demandeur"))
+        return F.coalesce(kind != "infirmatif", F.lit(True)) & F.coalesce(T.let(F.concat_ws("\n", block["prefix"], F.substring(block["items"], 1, 500)), about), F.lit(False))
+
+    def read(block: Column) -> Column:
+        recovered = F.when(T.has(block["items"], L.DELAY_INTEREST), A.recovered_interest(block["grounds"]))
+        return F.struct(A.classify_items(A.numbered_items(block["items"])).alias("items"), T.let(recovered, lambda x: F.struct(x.alias("written"), A.parse_millimes(x).alias("millimes"))).alias("recovered"))
+
+    def split(x: Column) -> Column:
+        fixed = F.transform(F.filter(x["items"], lambda i: i["is_fixed"]), lambda i: fixed_item(i["label"], i["written"], i["millimes"]))
+        variable = F.transform(
+            F.filter(x["items"], lambda i: i["is_variable"]),
+            lambda i: F.struct(i["label"].alias("libelle_original"), i["label"].alias("formule_originale"), F.lit(L.VARIABLE_REASON).alias("raison_non_calculable")),
+        )
+        return F.struct(fixed.alias("fixed"), variable.alias("variable"), x["recovered"].alias("recovered"))
+
+    def recover(x: Column) -> Column:
+        value = x["recovered"]["millimes"]
+        fresh = value.isNotNull() & ~F.exists(x["fixed"], lambda i: i["valeur_millimes"] == value)
+        extra = F.array(fixed_item(F.lit(L.RECOVERED_LABEL), F.concat(x["recovered"]["written"], F.lit(" د")), value))
+        return F.struct(F.when(fresh, F.concat(x["fixed"], extra)).otherwise(x["fixed"]).alias("fixed"), x["variable"].alias("variable"))
+
+    def add_up(x: Column) -> Column:
+        total = F.aggregate(x["fixed"], F.lit(0).cast("long"), lambda s, i: s + i["valeur_millimes"])
+        return F.struct(x["fixed"].alias("fixed"), x["variable"].alias("variable"), total.alias("millimes"), A.format_millimes(total).alias("total"))
+
+    def explain(x: Column) -> Column:
+        details = F.array_join(F.transform(x["fixed"], lambda i: F.concat(i["valeur_originale"], F.lit(" ("), i["libelle_original"], F.lit(")"))), " + ")
+        explanation = F.concat(
+            F.lit("نوع الحكم: "), F.coalesce(kind, F.lit("غير محدد")), F.lit(". "),
+            F.when(kind == "original", L.LIST_SOURCE_ORIGINAL).otherwise(L.LIST_SOURCE_CONFIRMED),
+            F.lit(f"المبالغ الثابتة المحتسبة لفائدة {L.BANK_NAME} هي: "), details,
+            F.lit(". المجموع الثابت هو "), x["total"], F.lit("."),
+            F.when(F.size(x["variable"]) > 0, L.VARIABLE_EXCLUDED).otherwise(""),
+        )
+        whole = F.struct(*(x[k].alias(k) for k in ("fixed", "variable", "millimes", "total")), explanation.alias("explanation"))
+        return F.when(F.size(x["fixed"]) > 0, whole)
+
+    def award(block: Column) -> Column:
+        steps = block
+        for step in (read, split, recover, add_up, explain):
+            steps = T.let(steps, step)
+        return F.when(block.isNotNull() & is_meant(block), steps)
+
+    return T.let(A.amount_list(text), award)
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -138,15 +153,17 @@ AMOUNT_PATTERN = r"\d{1,3}(?:\.\d{3})+,\d{3}"
 
 def nearest_bank_amount(text: Column) -> Column:
     """The amount that follows the bank's name most closely, within reach; of equals the first."""
-    banks = spans(text, f"(?U){L.BANK}")
 
-    def distance(x: Column) -> Column:
-        near = F.filter(banks, lambda b: (b["stop"] <= x["start"]) & (b["start"] >= x["start"] - L.AMOUNT_REACH))
-        return x["start"] - F.array_max(F.transform(near, lambda b: b["start"]))
+    def best(found: Column) -> Column:
+        def distance(x: Column) -> Column:
+            near = F.filter(found["banks"], lambda b: (b["stop"] <= x["start"]) & (b["start"] >= x["start"] - L.AMOUNT_REACH))
+            return x["start"] - F.array_max(F.transform(near, lambda b: b["start"]))
+
+        amounts = F.transform(found["amounts"], lambda x: F.struct(distance(x).alias("distance"), x["start"].alias("start"), x["value"].alias("value")))
+        return F.array_min(F.filter(amounts, lambda x: x["distance"].isNotNull()))["value"]
 
-    amounts = F.transform(spans(text, AMOUNT_PATTERN), lambda x: F.struct(distance(x).alias("distance"), x["start"].alias("start"), x["value"].alias("value")))
-    best = F.array_min(F.filter(amounts, lambda x: x["distance"].isNotNull()))
-    return F.when(X.mentions_bank(text), F.concat(best["value"], F.lit(f" {L.DINAR}")))
+    found = F.struct(spans(text, f"(?U){L.BANK}").alias("banks"), spans(text, AMOUNT_PATTERN).alias("amounts"))
+    return F.when(X.mentions_bank(text), F.concat(T.let(found, best), F.lit(f" {L.DINAR}")))
 
 
 def summary(text: Column, tribunal: Column, date: Column, amount: Column) -> Column:

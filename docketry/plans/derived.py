@@ -5,7 +5,7 @@ Each extracted fact is a source column, so an oracle reads the column and no tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import lexicon as L
@@ -89,7 +89,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second reading misses a line where l_partkey % 10 = 0, and reads an anchor before every third.
     """
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # Line numbers repeat within an order, so lines are numbered anew; an order has a handful of them.
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), "l_partkey", "l_suppkey", "l_quantity")
     readings = line.withColumn("psm", F.explode(F.array(F.lit("psm11"), F.lit("psm6"))))
     second = F.col("psm") == "psm11"
     readings = readings.filter(~(second & (F.col("l_partkey") % 10 == 0)))
@@ -128,7 +130,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper("c_name").alias("client"), F.col("o_orderdate").cast("timestamp").alias("date"), pick(STATUS_POOL, key % 7).alias("status"),
         F.concat(F.lower("c_mktsegment"), F.lit("_"), key.cast("string"), F.lit(".pdf")).alias("file_name"), key.cast("string").cast("binary").alias("file_data"), record.alias("extraction_result"),
         blank(court).alias("tribunal"), blank(number).alias("numero_dossier"), null.alias("date_decision"), null.alias("demandeur"), null.alias("defendeur"), blank(F.col("o_totalprice").cast("decimal(20,2)").cast("string")).alias("montant"),
-        null.alias("explication_montant"), null.cast("array<string>").alias("references_juridiques"), blank(null).alias("decision"), null.alias("decision_justification"), null.alias("resume"),
+        null.alias("explication_montant"), F.lit(None).cast("array<string>").alias("references_juridiques"), blank(null).alias("decision"), null.alias("decision_justification"), null.alias("resume"),
     )
 
 
