@@ -36,7 +36,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a recognisable language: null, or without any letter."""
     found = identify_languages(docs, docs.columns)
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return found.filter(~F.col("lang_pred").eqNullSafe(F.lit(UNKNOWN))).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

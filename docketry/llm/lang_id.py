@@ -215,7 +215,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, columns: list[str]) -> It
     for batch in batches:
         text = pc.fill_null(batch.column("_text"), "")
         lettered = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-        languages, scores = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
+        languages, scores = np.where(lettered, None, UNKNOWN), np.zeros(len(text))
         at = np.flatnonzero(lettered)
         if fitted and len(at):
             p = fitted.probabilities(letters_only(text.take(pa.array(at))).to_pylist())
@@ -233,8 +233,8 @@ def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None) -
     """`keep_columns` (doc_id if None) with lang_pred and score for every row of docs(doc_id, text, lang).
 
     The model learns from rows that are not held out and have text and lang. A text that is
-    null or has no letter is `und` with score 0; so is every text when there is nothing to
-    learn from. Repeated rows and ids are learnt and predicted as they stand; a null id counts
+    null or has no letter is `und` with score 0; when there is nothing to learn from, any other
+    text has a null lang_pred and score 0. Repeated rows and ids are learnt and predicted as they stand; a null id counts
     as the empty text in the fold. lang and doc_id take no part in a prediction.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
