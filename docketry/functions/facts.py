@@ -131,4 +131,4 @@ def legal_references(text: Column) -> Column:
 
 def final_references(text: Column) -> Column:
     """References of the grounds before the last ruling marker."""
-    return legal_references(T.last_chars(T.before_last(T.western_digits(text), L.FINAL_GROUNDS), L.GROUNDS_REACH))
+    return T.let(T.before_last(text, L.FINAL_GROUNDS), lambda grounds: legal_references(T.last_chars(grounds, L.GROUNDS_REACH)))

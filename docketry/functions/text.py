@@ -92,7 +92,7 @@ def clean_text(x: Column, keep_page_markers: bool = False) -> Column:
 
 def western_digits(x: Column) -> Column:
     """Arabic-Indic digits as ASCII, one for one."""
-    return F.translate(x, L.ARABIC_DIGITS, L.WESTERN_DIGITS)
+    return let(x, lambda v: F.when(v.rlike(f"[{L.ARABIC_DIGITS}]"), F.translate(v, L.ARABIC_DIGITS, L.WESTERN_DIGITS)).otherwise(v))
 
 
 def line_key(x: Column) -> Column:

@@ -49,31 +49,28 @@ def choose_reading(found: DataFrame, order: str = "psm") -> DataFrame:
     return close.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_most", "_best")
 
 
-def anchored_lines(found: DataFrame, anchor: str = L.STRUCTURED_ANCHOR) -> DataFrame:
-    """Lines from one before to two after each line with an anchor, first of equal keys only."""
-    reading = Window.partitionBy(*PAGE, "psm").orderBy("line")
-    near = F.max(T.has(F.col("text"), anchor).cast("int")).over(reading.rowsBetween(-2, 1))
-    kept = found.withColumn("_near", near).filter("_near = 1").withColumn("key", T.line_key(F.col("text"))).filter("key <> ''")
-    first = F.row_number().over(Window.partitionBy(*PAGE, "psm", "key").orderBy("line"))
-    return kept.withColumn("_n", first).filter("_n = 1").drop("_n", "_near")
-
-
 def merge_readings(found: DataFrame, chosen: DataFrame, anchor: str = L.STRUCTURED_ANCHOR) -> DataFrame:
     """(doc_id, page, position, text, supplementary): the chosen reading's lines after those that other readings
-    add around anchors. A line that the chosen one also has is added again only if it is an anchor itself."""
-    chosen = chosen.select(*PAGE, F.col("psm").alias("own"))
-    every = found.join(chosen, list(PAGE))
-    own = every.filter("psm = own").drop("own", "psm")
-    known = own.select(*PAGE, T.line_key(F.col("text")).alias("key")).distinct()
-    other = anchored_lines(every.filter("psm <> own").drop("own"), anchor)
-    fresh = other.join(known, [*PAGE, "key"], "left_anti")
-    again = other.filter(T.has(F.col("text"), anchor)).join(known, [*PAGE, "key"], "left_semi")
-    added = fresh.unionByName(again)
-    first = F.row_number().over(Window.partitionBy(*PAGE, "key").orderBy("psm", "line"))
-    added = added.withColumn("_n", first).filter("_n = 1").select(*PAGE, "psm", "line", "text", F.lit(True).alias("supplementary"))
-    both = added.unionByName(own.select(*PAGE, F.lit("~").alias("psm"), "line", "text", F.lit(False).alias("supplementary")))
-    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("supplementary"), "psm", "line"))
-    return both.select(*PAGE, (place - 1).alias("position"), "text", "supplementary")
+    add around anchors.
+
+    Another reading offers the lines from one before to two after each line with an anchor, of
+    equal ones the first. A line that the chosen reading also has is added only if it is an
+    anchor itself. Every step is a window within a page, so pages are dealt out once.
+    """
+    page = Window.partitionBy(*PAGE)
+    reading = Window.partitionBy(*PAGE, "psm").orderBy("line")
+    rows = found.join(chosen.select(*PAGE, F.col("psm").alias("_own")), list(PAGE)).select(
+        *PAGE, "psm", "line", "text", (F.col("psm") == F.col("_own")).alias("own"), T.line_key(F.col("text")).alias("key"), T.has(F.col("text"), anchor).alias("anchor")
+    )
+    rows = rows.withColumn("near", F.max("anchor").over(reading.rowsBetween(-2, 1)))
+    rows = rows.withColumn("known", F.max("own").over(Window.partitionBy(*PAGE, "key")))
+    rows = rows.filter("own or (near and key <> '')")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE, "psm", "key").orderBy("line")))
+    rows = rows.filter("own or (n = 1 and (anchor or not known))")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE, "own", "key").orderBy("psm", "line")))
+    rows = rows.filter("own or n = 1")
+    place = F.row_number().over(page.orderBy("own", "psm", "line"))
+    return rows.select(*PAGE, (place - 1).alias("position"), "text", (~F.col("own")).alias("supplementary"))
 
 
 def page_text(merged: DataFrame) -> DataFrame:

@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work whose cost is in its expressions: at least one a core, as many as shuffles have."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy expressions: a file that makes fewer splits than there are cores is dealt out first."""
+    df = table(spark, sf_dir, name)
+    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(tasks(spark))
+
+
 def pick(values: tuple[str, ...], at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (at + 1).cast("int"))
 
@@ -81,7 +92,8 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("عملا بأحكام "), cited, F.lit(" غيرها.\n"), F.lit("المبالغ المالية التالية:\n"), items, interest,
         F.lit("\nوبعد الاطلاع على الأوراق\nولهذه الأسباب\nقضت المحكمة "), pick(RULING_WORDS, ruling), F.lit("\n"), key.cast("string"), F.lit("\nعن الطور الحالي. ./\nوحرر في تاريخه"),
     )
-    return orders.select(key.alias("doc_id"), text.alias("text"))
+    # Rendering is cheap to move and dear to run: a fixed number of tasks, which Spark doesn't merge by size.
+    return orders.repartition(tasks(spark), "o_orderkey").select(key.alias("doc_id"), text.alias("text"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +110,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.when(second & (F.col("l_partkey") % 3 == 0), F.lit("المحكمة")).otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
     parts = F.array(lead, F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")), F.lit(" "))
     every = readings.select("l_orderkey", "l_linenumber", "l_partkey", "psm", F.posexplode(parts).alias("k", "text"))
-    return every.select(
+    return every.repartition(tasks(spark), "l_orderkey").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), "psm", (F.col("l_linenumber") * 10 + F.col("k")).cast("int").alias("idx"),
         F.lit(1).alias("block_num"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("par_num"), F.col("l_linenumber").cast("int").alias("line_num"), "text",
         F.when(F.col("k") == 3, -1.0).otherwise((F.col("l_partkey") % 40 + 60).cast("double")).alias("conf"),

@@ -66,7 +66,7 @@ COMPACT = "regexp_replace(coalesce(text, ''), '\\s+', '', 'g')"
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "documents").select("doc_id", T.corruption_metrics(T.compact(T.nfkc(F.col("text")))).alias("m"))
+    return D.texts(spark, sf_dir, "documents").select("doc_id", T.corruption_metrics(T.compact(T.nfkc(F.col("text")))).alias("m"))
 
 
 @query(f"WITH s AS (SELECT doc_id, {COMPACT} AS t FROM documents), {metrics_sql('s', 'doc_id')} SELECT doc_id, n_chars, n_repeated, n_tokens, n_bad_tokens, n_doubles FROM m")
@@ -83,7 +83,7 @@ PAGE = 600
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "documents")
+    rows = D.texts(spark, sf_dir, "documents")
     numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / PAGE).cast("int") - 1, F.lit(0)))
     return rows.select("doc_id", "text", F.explode(numbers).alias("k")).select("doc_id", (F.col("k") + 1).alias("page"), F.substring(F.col("text"), F.col("k") * PAGE + 1, F.lit(PAGE)).alias("text"))
 
@@ -106,14 +106,14 @@ def document_type(spark, sf_dir):
 
 @query(f"WITH s AS (SELECT doc_id, {COMPACT} AS t FROM documents), {metrics_sql('s', 'doc_id')} SELECT doc_id, CASE WHEN {FLAG} THEN 'ocr' ELSE 'native' END AS extraction_method, CAST(NULL AS VARCHAR) AS error FROM m")
 def native_or_ocr(spark, sf_dir):
-    rows = D.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("ocr of "), F.col("doc_id").cast("string")).alias("ocr_text"))
+    rows = D.texts(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("ocr of "), F.col("doc_id").cast("string")).alias("ocr_text"))
     return docs.route(rows).select("doc_id", "extraction_method", "error")
 
 
 @query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def clean_whitespace(spark, sf_dir):
     noisy = F.regexp_replace(F.regexp_replace("text", " ", " \t "), "\n", "  \n")
-    return D.table(spark, sf_dir, "documents").select("doc_id", T.clean_whitespace(noisy).alias("text"))
+    return D.texts(spark, sf_dir, "documents").select("doc_id", T.clean_whitespace(noisy).alias("text"))
 
 
 @query("SELECT p_partkey, p_name AS no_tatweel, p_name AS no_marks FROM part")
@@ -143,7 +143,7 @@ def segment_language(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n_lines FROM (SELECT CASE WHEN regexp_matches(line, '[A-Za-zÀ-ÿ]') THEN 'fr' ELSE 'unknown' END AS lang FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS line FROM documents) WHERE line <> '') GROUP BY lang")
 def line_language(spark, sf_dir):
-    lines = D.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(T.strip(F.col("line")).alias("line"))
+    lines = D.texts(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(T.strip(F.col("line")).alias("line"))
     return lines.filter("line <> ''").groupBy(T.segment_language(F.col("line")).alias("lang")).agg(F.count("*").alias("n_lines"))
 
 
@@ -156,12 +156,12 @@ def article_list_repair(spark, sf_dir):
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!؟؛]\\s+|\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS n_sentences FROM documents")
 def sentence_count(spark, sf_dir):
-    return D.table(spark, sf_dir, "documents").select("doc_id", T.count_sentences(F.col("text")).cast("long").alias("n_sentences"))
+    return D.texts(spark, sf_dir, "documents").select("doc_id", T.count_sentences(F.col("text")).cast("long").alias("n_sentences"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 4000 THEN substring(text, 1, 3997) || '...' WHEN text <> '' THEN text END AS message FROM documents")
 def error_truncate(spark, sf_dir):
-    return D.table(spark, sf_dir, "documents").select("doc_id", T.truncate_error(F.col("text")).alias("message"))
+    return D.texts(spark, sf_dir, "documents").select("doc_id", T.truncate_error(F.col("text")).alias("message"))
 
 
 @query("SELECT o_orderkey, CASE WHEN b > 1048576 THEN printf('%.1f MB', b / 1048576.0) ELSE CAST((b + 512) // 1024 AS VARCHAR) || ' KB' END AS size FROM (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) * 9 AS b FROM orders)")
@@ -227,7 +227,7 @@ def _distant(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = F.repeat(F.lit("x"), (F.col("o_custkey") % 90 * 10 + 10).cast("int"))
     amount = D.written(D.millimes(F.col("o_totalprice")) + 1_000_000, F.lit(0))
     text = F.concat(F.lit("9.999,999 "), F.lit(L.BANK_NAME), far, F.lit(" "), amount, F.lit(" ثم 8.888,888"))
-    return D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return D.texts(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 @query(f"SELECT o_orderkey AS doc_id, {FORMATTED.format('m')} AS amount FROM (SELECT o_orderkey, {MILLIMES.format('o_totalprice')} + 1000000 AS m FROM orders WHERE {GAP} + {len(L.BANK_NAME) + 1} <= 750)")
