@@ -10,6 +10,7 @@ among the pieces of its length.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -168,7 +169,7 @@ def _place(batches: Iterator[pa.RecordBatch], segments: dict[int, np.ndarray]) -
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 50_000
+    docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 256
 ) -> DataFrame:
     """One row for each piece of docs(doc_id, text): where it lies in which sequence.
 
@@ -181,9 +182,11 @@ def pack_documents(
     pieces = materialise(texts.mapInArrow(work, PIECES), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     segments = _segments(plan(counts, capacity))
-    buckets = 1 + sum(counts.values()) // bucket_rows
     # A rank without one task for a whole length: buckets of a length are counted, then ranked inside.
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # A length of n pieces has about n / bucket_rows buckets, and from bucket_rows squared on the root of n.
+    split = {k: 1 + n // max(bucket_rows, math.isqrt(n)) for k, n in counts.items() if n >= bucket_rows}
+    buckets = F.create_map(*(F.lit(v) for kv in split.items() for v in kv))[F.col("length")] if split else F.lit(1)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce(buckets, F.lit(1))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         pieces.groupBy("length", "bucket")
