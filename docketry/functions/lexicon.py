@@ -102,7 +102,7 @@ NEAREST_EXPLANATION = (
 
 # Excerpts for a model, report labels, service errors (exception, status, code) and what callers see.
 SHORTENED = "\n[… extrait raccourci …]\n"
-EXCERPTS = (("dispositif final", 1500), ("en-tete et parties", 1100), ("contexte BFPME 1", 400), ("contexte BFPME 2", 400), ("montants confirmes", 900))
+EXCERPTS = (("dispositif final", 1500), ("en-tete et parties", 1100), ("contexte banque 1", 400), ("contexte banque 2", 400), ("montants confirmes", 900))
 REPORT_LABELS = (
     "Tribunal", "Numero du dossier", "Date de decision", "Demandeur", "Defendeur", "Banque", "Entreprise", "Montant",
     "References juridiques", "Decision", "Justification", "Resume",

@@ -44,7 +44,7 @@ def normalize_record(r: Column) -> Column:
         "montants_variables": r["montants_variables"],
         "decision": T.gate(words["decision"], L.DECISIONS),
         "type_jugement": T.gate(words["type_jugement"], L.JUDGMENT_TYPES),
-        "role_bfpme": T.gate(words["role_bfpme"], L.ROLES),
+        "role_banque": T.gate(words["role_banque"], L.ROLES),
         "decision_justification": F.when(X.starts_with_marker(justified), justified),
         "explication_montant": F.coalesce(words["explication_montant"], words["montant_justification"]),
         "montant_justification": F.coalesce(words["montant_justification"], words["explication_montant"]),
@@ -66,7 +66,7 @@ def applicable_amounts(text: Column, kind: Column, role: Column) -> Column:
     def fixed_item(label: Column, written: Column, millimes: Column) -> Column:
         return F.struct(
             label.alias("libelle_original"), written.alias("valeur_originale"), millimes.alias("valeur_millimes"),
-            F.lit(True).alias("accorde_bfpme"), F.lit(True).alias("fixe"), F.lit(True).alias("include_dans_total"),
+            F.lit(True).alias("accorde_banque"), F.lit(True).alias("fixe"), F.lit(True).alias("include_dans_total"),
             reason.alias("raison_inclusion_exclusion"),
         )
 
@@ -199,7 +199,7 @@ def strengthen(docs: DataFrame, text: str = "text", record: str | None = None) -
     staged = staged.select(
         "*",
         F.coalesce(filled("type_jugement"), X.judgment_type(F.col("_t"), operative)).alias("_type"),
-        F.coalesce(filled("role_bfpme"), F.col("_role_text")).alias("_role"),
+        F.coalesce(filled("role_banque"), F.col("_role_text")).alias("_role"),
         F.coalesce(filled("tribunal"), X.tribunal(F.col("_t"))).alias("_tribunal"),
         F.coalesce(filled("date_decision"), X.decision_date(F.col("_t"))).alias("_date"),
     )
@@ -221,7 +221,7 @@ def strengthen(docs: DataFrame, text: str = "text", record: str | None = None) -
         "numero_dossier": F.coalesce(filled("numero_dossier"), X.case_number(F.col("_t"))),
         "date_decision": F.col("_date"),
         "type_jugement": kind,
-        "role_bfpme": role,
+        "role_banque": role,
         "parties": F.struct(party("demandeur", F.when(role == "demandeur", F.lit(L.BANK_NAME))).alias("demandeur"), party("defendeur", defendant).alias("defendeur")),
         "montants_fixes": F.coalesce(m["fixed"], r["montants_fixes"]),
         "montants_variables": F.coalesce(m["variable"], r["montants_variables"]),

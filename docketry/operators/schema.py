@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-FIXED = "array<struct<libelle_original:string,valeur_originale:string,valeur_millimes:bigint,accorde_bfpme:boolean,fixe:boolean,include_dans_total:boolean,raison_inclusion_exclusion:string>>"
+FIXED = "array<struct<libelle_original:string,valeur_originale:string,valeur_millimes:bigint,accorde_banque:boolean,fixe:boolean,include_dans_total:boolean,raison_inclusion_exclusion:string>>"
 VARIABLE = "array<struct<libelle_original:string,formule_originale:string,raison_non_calculable:string>>"
 FIELDS = {
     "tribunal": "string",
     "numero_dossier": "string",
     "date_decision": "string",
     "type_jugement": "string",
-    "role_bfpme": "string",
+    "role_banque": "string",
     "parties": "struct<demandeur:string,defendeur:string>",
     "montants_fixes": FIXED,
     "montants_variables": VARIABLE,

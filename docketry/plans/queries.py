@@ -349,7 +349,7 @@ def model_reply(spark, sf_dir):
 
 
 EXTRACTED = f"""SELECT o_orderkey AS doc_id, {COURT} AS tribunal,
-  o_orderkey || '/' || year(o_orderdate) AS numero_dossier, strftime(o_orderdate, '%d/%m/%Y') AS date_decision, {RULING} AS type_jugement, {ROLE} AS role_bfpme,
+  o_orderkey || '/' || year(o_orderdate) AS numero_dossier, strftime(o_orderdate, '%d/%m/%Y') AS date_decision, {RULING} AS type_jugement, {ROLE} AS role_banque,
   CASE WHEN o_orderkey % 5 = 0 THEN '{L.BANK_NAME}' END AS demandeur, CASE WHEN o_orderkey % 5 = 2 THEN '{L.BANK_NAME}' END AS defendeur,
   CASE WHEN (o_orderkey // 5) % 4 <> 2 AND o_orderkey % 5 <> 4 THEN {FORMATTED.format('millimes')} END AS total,
   CASE WHEN o_orderkey % 5 = 0 AND (o_orderkey // 5) % 4 = 3 THEN 'Favorable' END AS decision, refs
@@ -360,7 +360,7 @@ FROM {JUDGED} JOIN ({TOTALS}) ON o_orderkey = l_orderkey JOIN ({CITED}) ON o_ord
 def extraction(spark, sf_dir):
     e = F.col("extraction")
     rows = record.strengthen(D.judgments(spark, sf_dir))
-    fields = ["tribunal", "numero_dossier", "date_decision", "type_jugement", "role_bfpme"]
+    fields = ["tribunal", "numero_dossier", "date_decision", "type_jugement", "role_banque"]
     applied = F.when(e["montants_fixes"].isNotNull(), e["montant"])
     return rows.select("doc_id", *(e[k].alias(k) for k in fields), e["parties"]["demandeur"].alias("demandeur"), e["parties"]["defendeur"].alias("defendeur"), applied.alias("total"), e["decision"].alias("decision"), F.array_join(e["references_juridiques"], "|").alias("refs"))
 

@@ -110,7 +110,7 @@ def test_model_record_is_completed(spark):
     df = df.withColumn("reply", record.normalize_record(record.parse_model_reply(F.col("raw"))))
     e = record.strengthen(df, record="reply").first()["extraction"]
     assert (e["tribunal"], e["decision"], e["references_juridiques"], e["resume"]) == ("T", None, ["x"], "a. b. c. d. e. f.")
-    assert e["parties"]["demandeur"] == L.BANK_NAME and e["role_bfpme"] == "demandeur"
+    assert e["parties"]["demandeur"] == L.BANK_NAME and e["role_banque"] == "demandeur"
     broken = spark.createDataFrame([('{"tribunal": "T"',), ("none",), (None,)], "raw string")
     assert [r[0] for r in broken.select(record.parse_model_reply(F.col("raw"))).collect()] == [None] * 3
 
