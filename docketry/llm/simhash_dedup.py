@@ -4,6 +4,11 @@ A fingerprint has eight positional bytes. Two that differ in at most four bits s
 four of them, so every such pair meets in the posting list of some three positional bytes.
 There the shared positional bytes of a pair are tallied, pairs below the guaranteed four are
 let go, and the rest are verified by their differing bits. Equal fingerprints enter once.
+
+A posting list too long for one task is not compared pair by pair. Two fingerprints within four
+bits have a word midway, within two bits of both, and all fingerprints within two bits of a
+word are linked: each emits the words near it (2081), and those that meet at a word (2081 at
+most) are linked there. This is as exact, and grows with the list, not its square.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ SEED = 42
 #: Bytes that a posting key holds. Four are guaranteed to agree; three keep the index half as large.
 KEY_BYTES = 3
 COMBOS = list(combinations(range(8), KEY_BYTES))
+#: Fingerprints of a posting list that one task compares; longer lists are linked through the words midway.
+LONG_LIST = 20_000
+#: Nodes after which a task forgets its forest; it may then repeat links, never lose one.
+FOREST_NODES = 1_000_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -82,7 +91,7 @@ def verified(a: np.ndarray, b: np.ndarray, combo: np.ndarray, bits: int) -> np.n
 
 
 class Forest:
-    """Keeps of a stream of links only those that join two parts; memory follows the nodes seen."""
+    """Keeps of a stream of links only those that join two parts; one that it has forgotten may pass again."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -96,6 +105,8 @@ class Forest:
         return root
 
     def join(self, a: int, b: int) -> bool:
+        if len(self.up) > FOREST_NODES:
+            self.up = {}
         ra, rb = self.find(a), self.find(b)
         if ra == rb:
             return False
@@ -117,33 +128,95 @@ def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int, block: int) -> Ite
         step += 1
 
 
-def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the posting lists in a partition that is sorted by key."""
-    forest = Forest()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        kept = [
-            (x, y)
-            for a, b in _near_pairs(keys, fps, bits, 1 << 18)
-            for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)
-            if forest.join(x, y)
-        ]
-        return pa.RecordBatch.from_pydict({"u": [x for x, _ in kept], "v": [y for _, y in kept]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _spanning(forest: Forest, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """The links (u, v) that join two parts of the forest."""
+    kept = [(x, y) for x, y in zip(u.tolist(), v.tolist(), strict=True) if forest.join(x, y)]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], schema=LINKS)
+
+
+def _passed_on(fps: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64())], schema=LINKS)
+
 
+def _lists(batches: Iterator[pa.RecordBatch], long_list: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Whole posting lists (keys, fps, False) of rows sorted by key; longer ones in pieces (keys, fps, True)."""
+    held_keys, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    passed = None  # the key of a long list that may go on
     for batch in batches:
-        keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:  # the last run may go on in the next batch
-            yield links(np.concatenate([*(k for k, _ in held), keys[:cut]]), np.concatenate([*(f for _, f in held), fps[:cut]]))
-            held = []
-        if len(keys) > cut:
-            held.append((keys[cut:], fps[cut:]))
-    if held:
-        yield links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
-
-
-def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
+        keys = np.concatenate([held_keys, batch.column("key").to_numpy()])
+        fps = np.concatenate([held_fps, batch.column("fp").to_numpy().view(np.uint64)])
+        if not len(keys):
+            continue
+        starts, ends = np.searchsorted(keys, keys), np.searchsorted(keys, keys, side="right")
+        far = (ends - starts > long_list) | (keys == (-1 if passed is None else passed))
+        whole = ~far & (keys != keys[-1])
+        yield keys[far], fps[far], True
+        yield keys[whole], fps[whole], False
+        passed = int(keys[-1]) if far[-1] else None
+        rest = ~far & ~whole  # the last list may go on in the next batch
+        held_keys, held_fps = keys[rest], fps[rest]
+    yield held_keys, held_fps, False
+
+
+def _links(batches: Iterator[pa.RecordBatch], bits: int, long_list: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of the posting lists in a partition that is sorted by key.
+
+    Fingerprints of a list of more than `long_list` are passed on instead, without a v.
+    """
+    forest = Forest()
+    for keys, fps, far in _lists(batches, long_list):
+        if far:
+            yield _passed_on(fps)
+        else:
+            for a, b in _near_pairs(keys, fps, bits, 1 << 18):
+                yield _spanning(forest, a.view(np.int64), b.view(np.int64))
+
+
+def _words_near(batches: Iterator[pa.RecordBatch], radius: int, inner: int, block: int = 200) -> Iterator[pa.RecordBatch]:
+    """Each word within `radius` flips of a fingerprint; it is far where not within `inner`."""
+    flips = [c for n in range(radius + 1) for c in combinations(range(64), n)]
+    masks = np.array([sum(1 << b for b in c) for c in flips], np.uint64)
+    far = np.array([len(c) > inner for c in flips])
+    for batch in batches:
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        for at in range(0, len(fps), block):
+            own = fps[at : at + block]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((own[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.tile(far, len(own))), pa.array(np.repeat(own, len(masks)).view(np.int64))],
+                names=["word", "far", "fp"],
+            )
+
+
+def _word_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each word's first fingerprint, if it is not far, with the word's others; rows are sorted."""
+    forest, first = Forest(), None
+    for batch in batches:
+        word, far, fp = batch.column("word").to_numpy(), batch.column("far").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy()
+        if first is not None:  # the first of a word that may go on here
+            word, far, fp = (np.concatenate([[x], column]) for x, column in zip(first, (word, far, fp), strict=True))
+        if not len(word):
+            continue
+        new = np.concatenate([[True], word[1:] != word[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
+        met = ~new & ~far[head]
+        yield _spanning(forest, fp[met], fp[head][met])
+        first = word[head[-1]], far[head[-1]], fp[head[-1]]
+
+
+def long_list_links(lists: DataFrame, bits: int) -> DataFrame:
+    """Links (u, v) that join all of lists(fp), without repeats, that lies within `bits` bits.
+
+    A pair within `bits` has a word within bits // 2 flips of the one and the other flips of the
+    other. At each word one of those nearest is linked with the rest, all truly within `bits`.
+    """
+    words = lists.mapInArrow(partial(_words_near, radius=bits - bits // 2, inner=bits // 2), "word long, far boolean, fp long")
+    return words.repartition("word").sortWithinPartitions("word", "far", "fp").mapInArrow(_word_links, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, long_list: int = LONG_LIST) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text).
 
     component_id is the smallest doc_id that chains of links reach; links join fingerprints
@@ -166,7 +239,11 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
         return packed
 
     postings = distinct.select("fp", F.explode(F.array(*(key(i) for i in range(len(COMBOS))))).alias("key"))
-    links = postings.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_links, bits=bits), "u long, v long")
+    listed = postings.repartition("key").sortWithinPartitions("key", "fp")
+    found = materialise(listed.mapInArrow(partial(_links, bits=bits, long_list=long_list), "u long, v long"), "simhash-links")
+    links, lists = found.filter("v is not null"), found.filter("v is null").select(F.col("u").alias("fp")).distinct()
+    if not lists.isEmpty():
+        links = links.union(materialise(long_list_links(lists, bits), "simhash-long-lists"))
     roots = connected_components(links)
     of_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_fp = materialise(of_fp, "simhash-roots")

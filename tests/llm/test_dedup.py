@@ -8,13 +8,14 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
 from docketry.llm.components import connected_components
 from docketry.llm.exact_dedup import exact_duplicates
 from docketry.llm.queries import op4_exact_dedup, op5_simhash_dedup
-from docketry.llm.simhash_dedup import fingerprint, near_duplicates
+from docketry.llm.simhash_dedup import _lists, fingerprint, long_list_links, near_duplicates
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,8 +125,40 @@ def test_links_at_every_distance(spark, monkeypatch):
     rows = [(k, np.array([v], np.uint64).view(np.int64)[0].item()) for k, v in fps.items()]
     table = spark.createDataFrame(rows, "doc_id long, fp long").repartition(4)
     monkeypatch.setattr(module, "fingerprints", lambda docs, shingle: table)
-    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(table).collect()}
-    assert found == components(fps)
+    for long_list in (20_000, 30, 1):
+        found = {r["doc_id"]: r["component_id"] for r in near_duplicates(table, long_list=long_list).collect()}
+        assert found == components(fps), long_list
+
+
+def test_long_lists_link_what_lies_near(spark):
+    rng = random.Random(3)
+    fps = sorted({sum(1 << b for b in rng.sample(range(9), rng.randint(0, 7))) for _ in range(25)} | {1 << 40, 1 << 63, 31 << 50})
+    table = spark.createDataFrame([(np.array([v], np.uint64).view(np.int64)[0].item(),) for v in fps], "fp long").repartition(3)
+    for bits in range(5):
+        pairs = [(r["u"] % 2**64, r["v"] % 2**64) for r in long_list_links(table, bits).collect()]
+        assert all((a ^ b).bit_count() <= bits for a, b in pairs)
+        up = {f: {f} for f in fps}
+        for a, b in [*pairs, *pairs]:
+            for x in (joined := up[a] | up[b]):
+                up[x] = joined
+        want = {f: {f} for f in fps}
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= bits and want[a] is not want[b]:
+                    for x in (joined := want[a] | want[b]):
+                        want[x] = joined
+        assert up == want, bits
+
+
+def test_posting_lists_over_batches():
+    keys = np.repeat([1, 2, 5, 9], [3, 30, 4, 12])
+    fps = np.arange(len(keys))
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + size], "fp": fps[i : i + size]}) for i in range(0, len(keys), size)]
+        whole, far = [], []
+        for k, f, long in _lists(iter(batches), 8):
+            (far if long else whole).extend(f.tolist())
+        assert sorted(whole) == fps[(keys == 1) | (keys == 5)].tolist() and sorted(far) == fps[(keys == 2) | (keys == 9)].tolist()
 
 
 def test_simhash_odd_rows(spark):
