@@ -70,7 +70,7 @@ def test_mixed_bits_are_a_distribution():
     for slots in bits.slots:
         np.add.at(zeros, slots[bits.bit == 0], 1)
         np.add.at(ones, slots[bits.bit == 1], 1)
-    mixer = lm_score.Mixer.fresh(zeros.astype(np.float32), ones.astype(np.float32)).learn(tokens, np.ones(len(tokens)), 2, 0.2)
+    mixer = lm_score.Mixer.fresh(zeros.astype(np.float32), ones.astype(np.float32)).learn(tokens, 0.2)
     every = [bytes([b]) for b in range(256)]
     # A one-byte string ends with its terminator; the first eight bits alone must sum to one.
     all_bits = lm_score.Bits(every)
