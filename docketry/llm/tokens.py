@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import public_tokenizers
 import tiktoken
 
 #: Distinct chunks whose ids one Python worker remembers; later ones are encoded each time.
 CACHE_CHUNKS = 400_000
+#: A space inside a run of whitespace of any kind, unless it is the run's last before a word: the pattern may join it with what stands before.
+JOINED = re.compile(r"\s (?:\s|\Z)")
 
 
 def default_vocabulary() -> str:
@@ -19,9 +22,11 @@ def default_vocabulary() -> str:
 class ByteBpe:
     """Encodes whole texts to little-endian 32-bit ids.
 
-    The splitting pattern never joins what stands before a space with what follows it, as long
-    as no two spaces follow each other. Such texts are encoded one space-led chunk at a time,
-    so that a repeated word costs a dictionary look-up; any other text is encoded as a whole.
+    The splitting pattern joins a space with what stands before it only inside a run of
+    whitespace (U+00A0, line breaks and others alike) that goes on after the space or ends the
+    text. Texts without such a space and without two spaces in a row are encoded one space-led
+    chunk at a time, so that a repeated word costs a dictionary look-up; any other text is
+    encoded as a whole.
     Strings that look like special tokens are ordinary text.
     """
 
@@ -39,7 +44,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
-        if "  " in text:
+        if "  " in text or JOINED.search(text):
             return self._encode(text)
         head, *rest = text.split(" ")
         get = self._cache.get

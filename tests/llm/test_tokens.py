@@ -42,6 +42,16 @@ def test_ids_equal_the_tokenizer(spark, tokenizer):
             assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+def test_runs_of_mixed_whitespace_equal_the_tokenizer(tokenizer):
+    rng = random.Random(5)
+    runs = ["a \u00a0 \u00a0", "a \u00a0 \u00a0 \u00a0 \u00a0 x", " \u00a0 \u00a0", "a \n \n b", "a\n ", "a\u00a0 b", "a \u00a0b", "\u2003 \u2003 c"]
+    runs += ["".join(rng.choice("ab \u00a0  \n\u2003\u3000\x85\x1c.") for _ in range(rng.randrange(30))) for _ in range(1000)]
+    encoder = tokens.ByteBpe(tokens.default_vocabulary())
+    for text in runs:
+        ids = list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text)))
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def check_packing(rows, texts, tokenizer, capacity=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
