@@ -1,9 +1,8 @@
 """From raw documents to packed training sequences: five stages, each one of the operators.
 
 Every stage but the last takes and returns the columns of documents. Its result is written as
-Parquet into the shared folder and read again as the next stage's input. Rows that repeat a
-doc_id with the same text count as copies, of which the second stage leaves one; rows that repeat
-it with other texts share what later stages decide for any of them.
+Parquet into the shared folder and read again as the next stage's input. Every row is decided on
+by itself: a stage that drops rows keys its input first, as a doc_id may be null or repeated.
 """
 
 from __future__ import annotations
@@ -18,19 +17,23 @@ from docketry.llm.lang_id import UNKNOWN, identify_languages
 from docketry.llm.packing import pack_documents
 from docketry.llm.simhash_dedup import near_duplicates
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Up to so many dropped rows (8 bytes each) are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: The key of a stage's input rows: doc_id may be null or repeated.
+ROW = "_row"
 
 
-#: Up to so many dropped ids (8 bytes each) are sent to every task; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key that is unique by row, written so that it stays the same."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped(doc_id); a null id equals a null id."""
-    gone = materialise(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-ids")
-    if gone.count() <= BROADCAST_IDS:
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keyed without the rows in dropped, and without the key."""
+    gone = materialise(dropped.select(ROW), "dropped-rows")
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return keyed.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,26 +44,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays; of rows that share it too, one."""
-    ids = materialise(exact_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "exact-ids")
-    rest = _without(docs, ids.filter("not kept"))
-    again = ids.filter("kept and rows > 1")
-    if again.isEmpty():
-        return rest
-    marks = again.select(F.col("doc_id").alias("_again"))
-    repeated = rest.join(marks, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    same = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256)
-    one = repeated.groupBy("doc_id", same.alias("_same")).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return _without(rest, again).unionByName(one)
+    keyed = _keyed(docs)
+    return _without(keyed, exact_duplicates(keyed, key=ROW).filter("not kept"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the document with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs).filter("not (doc_id <=> component_id)"))
+    """Of near-duplicates, the row with the smallest doc_id stays; of rows that share it too, one."""
+    keyed = _keyed(docs)
+    return _without(keyed, near_duplicates(keyed, key=ROW).filter("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return _without(docs, contamination(docs, read_table(spark, sf_dir, "benchmark")).filter("n_hit > 0"))
+    """Rows that hold a window of a benchmark item go."""
+    keyed = _keyed(docs)
+    return _without(keyed, contamination(keyed, read_table(spark, sf_dir, "benchmark"), key=ROW).filter("n_hit > 0"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,20 +205,21 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4_000_000, chunk_bytes: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4_000_000, chunk_bytes: int = 2_000_000, key: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) for every row of docs(doc_id, text).
 
     Words are runs of 0-9, a-z and characters beyond ASCII after lower-casing A-Z. A word is hit
     inside any occurrence of ten consecutive words of one benchmark(item_id, text) item, or of a
     whole item of fewer words. Null texts have no words; a null item_id is written as the empty
     text; repeated rows and ids stand by themselves. spans are the hit runs of words.
+    `key` names a column of longs, unique by row, which is then returned too.
 
     Only one block of at most `block_bytes` of benchmark text is broadcast at a time. A larger
     benchmark makes more passes over docs, whose hits are then joined by row.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("uid", F.monotonically_increasing_id())
+    uid = F.col(key) if key else F.monotonically_increasing_id()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), uid.alias("uid"))
     passes = []
     for block in blocks_of(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(pickle.dumps(block))
@@ -248,7 +249,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4_00
         found = found.withColumn("hits", merged)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.col("hits").alias("spans")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.col("hits").alias("spans"), *([F.col("uid").alias(key)] if key else [])
     )
 
 

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import materialise
 
-LOCAL = "uid long, rep_id long, digest binary, text string, n long, best int, members array<long>"
+LOCAL = "uid long, rep_id long, digest binary, text string, n long, best int, members array<long>, rows array<long>"
 ARROW = pa.schema([
     ("uid", pa.int64()), ("rep_id", pa.int64()), ("digest", pa.binary()), ("text", pa.string()),
-    ("n", pa.int64()), ("best", pa.int32()), ("members", pa.list_(pa.int64())),
+    ("n", pa.int64()), ("best", pa.int32()), ("members", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())),
 ])
 
 
@@ -31,7 +31,7 @@ def sha256(text: bytes) -> bytes:
 
 
 def _combine_locally(
-    batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes], block_chars: int, members: int
+    batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes], block_chars: int, members: int, keyed: bool
 ) -> Iterator[pa.RecordBatch]:
     """One row for each distinct text of a block of rows, with the ids of its copies.
 
@@ -45,9 +45,11 @@ def _combine_locally(
     def rows(found: list[tuple[bytes, str, list]]) -> pa.RecordBatch:
         nonlocal serial
         out = {k: [] for k in ARROW.names}
-        for d, text, ids in found:
+        for d, text, own in found:
+            ids = [i for i, _ in own]
+            keys = [k for _, k in own] if keyed else None
             best = max(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
-            for k, v in zip(ARROW.names, ((task << 33) + serial, ids[best], d, text, len(ids), best, ids), strict=True):
+            for k, v in zip(ARROW.names, ((task << 33) + serial, ids[best], d, text, len(ids), best, ids, keys), strict=True):
                 out[k].append(v)
             serial += 1
         return pa.RecordBatch.from_pydict(out, schema=ARROW)
@@ -58,14 +60,14 @@ def _combine_locally(
             yield rows(found[i : i + 2000])
 
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for doc_id, text in zip(ids, pc.ascii_lower(batch.column("text")).to_pylist(), strict=True):
+        ids, keys = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+        for doc_id, key, text in zip(ids, keys, pc.ascii_lower(batch.column("text")).to_pylist(), strict=True):
             same = groups.setdefault(d := digest(text.encode()), [])
             own = next((x for t, x in same if t == text), None)
             if own is None:
                 same.append((text, own := []))
                 held += len(text) + 200
-            own.append(doc_id)
+            own.append((doc_id, key))
             if len(own) >= members:
                 yield rows([(d, text, own[:])])
                 own.clear()
@@ -81,21 +83,22 @@ def exact_duplicates(
     salts: int = 16,
     block_chars: int = 24_000_000,
     members: int = 8192,
+    key: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs(doc_id, text): which copy of its text stays.
 
     Texts are equal when identical after lower-casing A-Z; null counts as the empty text. The
     row with the largest doc_id stays, a null id being the smallest; of rows that also share
     the id exactly one stays. Other columns are ignored. Returns doc_id, keep_id, group_size,
-    kept, digest.
+    kept, digest, and `key` if given: a column of longs, unique by row, that tells which row is meant.
 
     Two texts count as copies only if the texts themselves are equal, so a weak digest (see
     the tests) costs time and changes nothing else.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(key).alias("row") if key else F.lit(None).cast("long").alias("row"))
     local = materialise(
         texts.mapInArrow(
-            partial(_combine_locally, digest=digest, block_chars=block_chars, members=members), LOCAL
+            partial(_combine_locally, digest=digest, block_chars=block_chars, members=members, keyed=key is not None), LOCAL
         ),
         "exact-local",
     )
@@ -120,7 +123,7 @@ def exact_duplicates(
     merged = parts.join(kept, "part_uid").select("uid", F.col("best.uid").alias("keep_uid"), F.col("best.rep_id").alias("keep_id"), "total")
     own = F.col("keep_uid").isNull()
     return (
-        local.select("uid", "rep_id", "digest", "n", "best", "members")
+        local.select("uid", "rep_id", "digest", "n", "best", "members", "rows")
         .join(merged, "uid", "left")
         .select(
             F.posexplode("members").alias("at", "doc_id"),
@@ -129,6 +132,7 @@ def exact_duplicates(
             (own | (F.col("keep_uid") == F.col("uid"))).alias("winner"),
             "best",
             "digest",
+            "rows",
         )
-        .select("doc_id", "keep_id", "group_size", (F.col("winner") & (F.col("at") == F.col("best"))).alias("kept"), "digest")
+        .select("doc_id", "keep_id", "group_size", (F.col("winner") & (F.col("at") == F.col("best"))).alias("kept"), "digest", *([F.col("rows")[F.col("at")].alias(key)] if key else []))
     )

@@ -53,7 +53,7 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         found = [
@@ -61,14 +61,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+            [*(batch.column(c) for c in keep), pa.array(np.array(found, np.uint64).view(np.int64))], names=[*keep, "fp"]
         )
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of every whole text of docs, as a signed long."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str | None = None) -> DataFrame:
+    """(doc_id, fp), with a `key` of longs as row if given: the 64-bit fingerprint of every whole text of docs, as a signed long."""
+    keep = ["doc_id", "row"] if key else ["doc_id"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(key).alias("row")] if key else []))
+    return texts.mapInArrow(partial(_fingerprints, shingle=shingle, keep=keep), ", ".join(f"{c} long" for c in [*keep, "fp"]))
 
 
 def _first_combos() -> np.ndarray:
@@ -216,29 +217,33 @@ def long_list_links(lists: DataFrame, bits: int) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word", "far", "fp").mapInArrow(_word_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, long_list: int = LONG_LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, long_list: int = LONG_LIST, key: str | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text).
 
     component_id is the smallest doc_id that chains of links reach; links join fingerprints
     that differ in at most `bits` (up to four) bits. Null is the empty text, which has
     fingerprint zero and is linked like any other. Null ids take part and are never the
     component_id unless all ids of the component are null. Other columns are ignored.
+
+    `key` names a column of longs, unique by row. It is returned too, with kept: true for one
+    row of each component, of those with its component_id the one with the smallest key.
     """
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees links of at most four differing bits")
-    rows = materialise(fingerprints(docs, shingle), "simhash-rows")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    rows = materialise(fingerprints(docs, shingle, key), "simhash-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row") if key else F.col("doc_id")
+    distinct = materialise(rows.groupBy("fp").agg(F.min(first).alias("least")), "simhash-distinct")
 
     def byte(p: int):
         return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
 
-    def key(i: int):
+    def posting(i: int):
         packed = F.lit(i)
         for p in COMBOS[i]:
             packed = F.shiftleft(packed.cast("long"), 8).bitwiseOR(byte(p))
         return packed
 
-    postings = distinct.select("fp", F.explode(F.array(*(key(i) for i in range(len(COMBOS))))).alias("key"))
+    postings = distinct.select("fp", F.explode(F.array(*(posting(i) for i in range(len(COMBOS))))).alias("key"))
     listed = postings.repartition("key").sortWithinPartitions("key", "fp")
     found = materialise(listed.mapInArrow(partial(_links, bits=bits, long_list=long_list), "u long, v long"), "simhash-links")
     links, lists = found.filter("v is not null"), found.filter("v is null").select(F.col("u").alias("fp")).distinct()
@@ -249,4 +254,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, long_list:
     of_fp = materialise(of_fp, "simhash-roots")
     component = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = of_fp.join(component, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    found = rows.join(of_fp, "fp")
+    if not key:
+        return found.select("doc_id", "fp", "component_id")
+    first = F.col("component_id")
+    return found.select("doc_id", "fp", first["doc_id"].alias("component_id"), F.col("row").alias(key), (F.col("row") == first["row"]).alias("kept"))

@@ -57,3 +57,23 @@ def test_odd_rows_pass_through(spark):
                 assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["3", "5", "None"]
         assert docs.count() == (3 if given else 0)
     assert zlib.crc32(b"") == 0 and docs.select(F.count("*")).first()[0] == 0
+
+
+def test_rows_that_share_an_id_are_decided_apart(spark, tmp_path):
+    words = [[f"{k}{i}" for i in range(60)] for k in ("alpha", "beta", "gamma", "delta", "epsilon")]
+    copied, alone, leaked, near, clean = (" ".join(w) for w in words)
+    spark.createDataFrame([("b", " ".join(words[2][20:40]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, copied), (9, copied), (None, alone), (7, leaked), (7, clean), (5, near), (5, near.replace(" ", "  ")), (None, copied.replace(" ", "  "))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left():
+        return sorted((str(r["doc_id"]), r["text"]) for r in docs.collect())
+
+    docs = stages["exact_dedup"](spark, docs, str(tmp_path))
+    assert left() == sorted((str(i), t) for i, t in rows[1:])
+    docs = stages["simhash_dedup"](spark, docs, str(tmp_path))
+    found = left()
+    assert [i for i, _ in found] == ["5", "7", "7", "9", "None"] and {t.replace("  ", " ") for _, t in found} == {copied, alone, leaked, near, clean}
+    docs = stages["decontamination"](spark, docs, str(tmp_path))
+    assert [(i, t.replace("  ", " ")) for i, t in left()] == [("5", near), ("7", clean), ("9", copied), ("None", alone)]
