@@ -17,7 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import crc_remainder
@@ -162,6 +162,19 @@ def fit_temperature(margins: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((lo + hi) / 2)
 
 
+def draw(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """labelled(doc_id, text, lang) with a rank: at most `per_language` rows of each language, of the smallest ranks.
+
+    The rank hashes id, text and row number: a null or repeated id is drawn like any other. Spark
+    cuts to so many rows in each task before it deals them out by language.
+    """
+    steps = 1 << 40
+    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(steps * 1.1 * per_language / n) + 1))))
+    ranked = labelled.withColumn("rank", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(steps)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    return ranked.filter(F.col("rank") < share[F.col("lang")]).withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
+
+
 def train(
     labelled: DataFrame, per_language: int = 500, max_languages: int = 200, epochs: int = 6,
     alpha: float = 2.0, beta: float = 0.1, l1: float = 1e-3, l2: float = 1e-3, scale: float = 30.0,
@@ -169,7 +182,7 @@ def train(
     """Fit on labelled(doc_id, text, lang), all non-null; None without any row.
 
     Document frequencies count every row. The fit takes about `per_language` documents of each
-    language, those of the smallest hashes of doc_id; a fifth of them only sets the temperature.
+    language (see `draw`); a fifth of them only sets the temperature.
     More than `max_languages` languages are an error. Only the hashed counts of the sample
     reach the driver.
     """
@@ -188,19 +201,14 @@ def train(
         else:
             df[place] = n
     idf = np.log((1 + docs) / (1 + df)) + 1
-    steps = 1 << 20
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(int(steps * 1.1 * per_language / sizes[k]) + 1))))
-    drawn = labelled.withColumn("rank", F.pmod(F.xxhash64("doc_id"), F.lit(steps))).filter(F.col("rank") < share[F.col("lang")])
+    drawn = draw(labelled, sizes, per_language)
     rows = drawn.select("lang", "rank", "text").mapInArrow(_examples, "lang string, rank long, places binary, counts binary").collect()
     rows.sort(key=lambda r: (r["rank"], r["lang"], r["places"], r["counts"]))
-    taken = dict.fromkeys(languages, 0)
     examples = []
     for r in rows:
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            places = np.frombuffer(r["places"], np.int32).astype(np.int64)
-            x = np.frombuffer(r["counts"], np.int32) * idf[places]
-            examples.append((languages.index(r["lang"]), places, scale * x / x.sum()))
+        places = np.frombuffer(r["places"], np.int32).astype(np.int64)
+        x = np.frombuffer(r["counts"], np.int32) * idf[places]
+        examples.append((languages.index(r["lang"]), places, scale * x / x.sum()))
     kept_back = examples[::5] if len(examples) >= 50 else []
     used = [e for i, e in enumerate(examples) if i % 5] if kept_back else examples
     w, bias = fit_ftrl(used, len(languages), epochs, alpha, beta, l1, l2)

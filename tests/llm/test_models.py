@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docketry.llm import lm_score
-from docketry.llm.lang_id import fit_ftrl, fit_temperature, identify_languages, softmax
+from docketry.llm.lang_id import draw, fit_ftrl, fit_temperature, identify_languages, softmax
 from docketry.llm.queries import op7_lm_scoring, op8_language_id
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +111,18 @@ def test_languages_odd_rows(spark):
     assert identify_languages(df.limit(0)).count() == 0
 
 
+def test_languages_draw_null_ids_like_others(spark):
+    """Most rows of a language have ids; its many null ids, wrongly labelled here, must not become the whole sample."""
+    given = [(None, "le chat est la " * 5, "en")] * 600 + [(i, "the dog is here " * 5, "en") for i in range(2400)]
+    given += [(i, "le chat est la " * 5, "fr") for i in range(5000, 7000)]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string").repartition(4)
+    drawn = draw(df, {"en": 3000, "fr": 2000}, 500).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("doc_id").isNull().cast("int")).alias("nulls")).collect()
+    found = {r["lang"]: (r["n"], r["nulls"]) for r in drawn}
+    assert found["fr"][1] == 0 and 50 < found["en"][1] < 150 and all(400 < n <= 500 for n, _ in found.values())
+    scores = {(r["lang_pred"], r["score"] > 0.8) for r in identify_languages(df).filter("doc_id < 2400").collect()}
+    assert scores == {("en", True)}
+
+
 def test_elastic_net_leaves_unused_places_at_zero():
     examples = [(i % 2, np.array([i % 2, 7]), np.array([1.0, 1.0])) for i in range(200)]
     w, _ = fit_ftrl(examples, 2, 5, 1.0, 0.1, 0.05, 0.01)
