@@ -222,31 +222,62 @@ def profile(lowered: bytes) -> np.ndarray:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's profile as the places that are not zero and their values, in 255ths."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        found = [profile(data[a:b].tobytes().lower()).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["profile"])
-
-
-def fit_classes(texts: DataFrame, drawn_docs: int = 2000, rounds: int = 15) -> np.ndarray:
-    """Centres of `CLASSES` groups of profiles, from about `drawn_docs` training documents of the smallest id hashes."""
-    train = texts.filter("not held_out")
-    steps = 1 << 30
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(steps))
-    drawn = train.filter(spot < F.lit(min(steps, steps * drawn_docs // max(1, train.count())))).select("text")
-    x = np.array([np.frombuffer(r["profile"], np.float32) for r in drawn.mapInArrow(_profiles, "profile binary").collect()], np.float32).reshape(-1, PROFILE)
-    if not len(x):
-        return np.zeros((CLASSES, PROFILE), np.float32)
-    x = x[np.lexsort(x.T[::-1])]
-    centres = x[:1]
+        rows: list[list[bytes]] = [[], []]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found = np.rint(profile(data[a:b].tobytes().lower()) * 255).astype(np.uint8)
+            at = np.flatnonzero(found)
+            rows[0].append(at.astype("<u2").tobytes())
+            rows[1].append(found[at].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in rows], names=["places", "values"])
+
+
+def _class_sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One task's sums of profiles by nearest centre, as whole numbers, so that their order changes nothing."""
+    sums = np.zeros((len(centres), PROFILE), np.int64)
+    for batch in batches:
+        for lo, hi in _chunks(batch.num_rows, 2000):
+            values = [np.frombuffer(x, np.uint8) for x in batch.column("values").slice(lo, hi - lo).to_pylist()]
+            places = np.frombuffer(b"".join(batch.column("places").slice(lo, hi - lo).to_pylist()), "<u2")
+            x = np.zeros((hi - lo, PROFILE), np.float32)
+            x[np.repeat(np.arange(hi - lo), [len(v) for v in values]), places] = np.concatenate(values)
+            nearest = (x @ centres.T).argmax(axis=1)
+            for k in range(len(centres)):
+                sums[k] += x[nearest == k].sum(axis=0, dtype=np.float64).astype(np.int64)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], names=["place", "n"])
+
+
+def fit_classes(texts: DataFrame, rounds: int = 5) -> np.ndarray:
+    """Centres of `CLASSES` groups of the profiles of all training documents.
+
+    Starts from the mean of all; each centre is split in two and `rounds` rounds of k-means
+    follow, until there are enough. Tasks sum the profiles by centre, so that only the sums
+    reach the driver.
+    """
+    profiles = materialise(texts.filter("not held_out").select("text").mapInArrow(_profiles, "places binary, values binary"), "lm-profiles")
+    rng = np.random.default_rng(0)
+
+    def moved(centres: np.ndarray) -> np.ndarray:
+        found = profiles.mapInArrow(partial(_class_sums, centres=centres), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        sums = np.zeros(centres.size)
+        sums[found["place"].to_numpy()] = found["n"].to_numpy()
+        sums = sums.reshape(centres.shape)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return np.where(norm > 0, sums / np.maximum(norm, 1), centres).astype(np.float32)
+
+    centres = moved(np.zeros((1, PROFILE), np.float32))
     while len(centres) < CLASSES:
-        centres = np.concatenate([centres, x[[int((x @ centres.T).max(axis=1).argmin())]]])
-    for _ in range(rounds):
-        nearest = (x @ centres.T).argmax(axis=1)
-        for k in range(CLASSES):
-            if (nearest == k).any():
-                mean = x[nearest == k].sum(axis=0)
-                centres[k] = mean / np.sqrt(max(1e-9, float(mean @ mean)))
+        # Apart from the centre by a hundredth of it, place by place at random.
+        apart = centres * rng.choice([-0.01, 0.01], centres.shape).astype(np.float32)
+        apart -= (apart * centres).sum(axis=1, keepdims=True) * centres
+        centres = np.stack([centres + apart, centres - apart], axis=1).reshape(-1, PROFILE)
+        for _ in range(rounds):
+            before, centres = centres, moved(centres)
+            if np.array_equal(before, centres):
+                break
     return centres
 
 

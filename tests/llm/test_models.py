@@ -62,6 +62,21 @@ def test_lm_odd_rows(spark):
     assert lm_score.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_classes_learn_from_every_document(spark):
+    """Centres are the means of all profiles nearest to them; null and repeated ids count like others."""
+    given = [(None, f"der hund und die katze {i} sind hier") for i in range(1500)] + [(i % 7, f"qxz zqx xqz {i} zxq") for i in range(1500)] + [(i, f"the dog {i} is with the cat") for i in range(1500)]
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("held_out", F.lit(False)).repartition(4)
+    centres = lm_score.fit_classes(df, rounds=30)
+    assert (lm_score.fit_classes(df.repartition(3), rounds=30) == centres).all()
+    x = np.array([np.rint(lm_score.profile(t.encode()) * 255) for _, t in given])
+    nearest = (x.astype(np.float32) @ centres.T).argmax(axis=1)
+    for k in set(nearest.tolist()):
+        mean = x[nearest == k].sum(axis=0)
+        assert np.abs(mean / np.sqrt(mean @ mean) - centres[k]).max() < 1e-5
+    kinds = [set(nearest[a : a + 1500].tolist()) for a in (0, 1500, 3000)]
+    assert not (kinds[0] & kinds[1] or kinds[0] & kinds[2] or kinds[1] & kinds[2])
+
+
 def test_mixed_bits_are_a_distribution():
     """Over all continuations of a prefix to a byte, probabilities of the eight bits sum to one."""
     tokens = [b"the", b"then", b"tea", b"a", lm_score.END] * 3
