@@ -22,9 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def documents(spark):
@@ -45,13 +43,20 @@ def test_ids_equal_the_tokenizer(spark, tokenizer):
 def test_runs_of_mixed_whitespace_equal_the_tokenizer(tokenizer):
     rng = random.Random(5)
     runs = ["a \u00a0 \u00a0", "a \u00a0 \u00a0 \u00a0 \u00a0 x", " \u00a0 \u00a0", "a \n \n b", "a\n ", "a\u00a0 b", "a \u00a0b", "\u2003 \u2003 c"]
-    runs += ["".join(rng.choice("ab \u00a0  \n\u2003\u3000\x85\x1c.") for _ in range(rng.randrange(30))) for _ in range(1000)]
+    runs += ["".join(rng.choice(["a", "b", " ", " ", " ", "\u00a0", "\n", "\t", "\u2003", "\u2009", "\u3000", "\x85", "\x1c", ".", "\u0660", "\u1e9e", "\U0001d7d8", "<|endoftext|>", "<|endoftext", "|>"]) for _ in range(rng.randrange(30))) for _ in range(1000)]
     encoder = tokens.ByteBpe(tokens.default_vocabulary())
     for text in runs:
         ids = list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text)))
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_settled_characters_mean_the_same_to_both_libraries(tokenizer):
+    encoder = tokens.ByteBpe(tokens.default_vocabulary())
+    for c in map(chr, range(ord(tokens.SETTLED))):
+        for text in (c, f"a{c}1", f" {c}{c} b", f"1{c}a{c}.", f"'{c}s"):
+            assert encoder._chunk(text) == encoder._encode(text), repr(text)
+
+
 def check_packing(rows, texts, tokenizer, capacity=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
