@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none (tests in local mode), a temporary folder becomes the
-    checkpoint directory of the context.
+    Where the session names none, local mode (tests) makes a temporary folder the checkpoint
+    directory of the context. On a cluster that is an error: each machine would have its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -43,6 +47,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(columns: Iterable[str], wish: str) -> str:
+    """A column name that none of `columns` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", hot_share: int = 1000) -> DataFrame:
+    """left joined with right, which is unique by `key` and tells in `weight` how many rows of left have it.
+
+    Keys that hold more than one in `hot_share` of the weight, fewer than `hot_share` by
+    arithmetic, are joined by a broadcast: their rows stay where they are. The rest is an
+    ordinary join. Rows of a null key are kept, unmatched, by a left join.
+    """
+    least = (right.agg(F.sum(weight)).first()[0] or 0) / hot_share
+    hot = right.filter(F.col(weight) > least)
+    cold = right.filter(F.col(weight) <= least).drop(weight)
+    keys = hot.select(key).collect()
+    if not keys:
+        return left.join(right.drop(weight), key, how)
+    kind = right.schema[key].dataType
+    listed = left.sparkSession.createDataFrame([(r[0],) for r in keys], StructType([StructField(key, kind)]))
+    few = F.broadcast(hot.drop(weight))
+    return left.join(few, key, "inner").unionByName(left.join(F.broadcast(listed), key, "left_anti").join(cold, key, how).select(*left.join(few, key, "inner").columns))
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -218,10 +218,12 @@ def train(
     return LanguageModel(languages, table, bias, temperature)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The columns as they stand, then prediction and score; the last column is the text, which goes."""
     fitted: LanguageModel | None = pickle.loads(model.value)
     for batch in batches:
-        text = pc.fill_null(batch.column("_text"), "")
+        *given, text = batch.columns
+        text = pc.fill_null(text, "")
         lettered = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
         languages, scores = np.where(lettered, None, UNKNOWN), np.zeros(len(text))
         at = np.flatnonzero(lettered)
@@ -229,7 +231,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, columns: list[str]) -> It
             p = fitted.probabilities(letters_only(text.take(pa.array(at))).to_pylist())
             languages[at] = np.array(fitted.languages, object)[p.argmax(axis=1)]
             scores[at] = p.max(axis=1)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(languages.tolist(), pa.string()), pa.array(scores)], names=[*columns, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*given, pa.array(languages.tolist(), pa.string()), pa.array(scores)], names=[f"c{i}" for i in range(len(given) + 2)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -237,8 +239,10 @@ def held_out(doc_id: Column) -> Column:
     return crc_remainder(doc_id, 3) == 1
 
 
-def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None) -> DataFrame:
-    """`keep_columns` (doc_id if None) with lang_pred and score for every row of docs(doc_id, text, lang).
+def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep_columns` (doc_id if None) with prediction and score, under `names`, for every row of docs(doc_id, text, lang).
+
+    Columns that are kept under the same names as the results must be told apart by other `names`.
 
     The model learns from rows that are not held out and have text and lang. A text that is
     null or has no letter is `und` with score 0; when there is nothing to learn from, any other
@@ -248,7 +252,9 @@ def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None) -
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
     model = train(labelled.filter(~held_out(F.col("doc_id"))).filter("lang is not null and text is not null"))
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    keep = keep_columns or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "lang_pred string", "score double"])
-    return rows.mapInArrow(partial(_predict, model=sent, columns=keep), schema)
+    kept = docs.select(*(docs[c] for c in keep_columns or ["doc_id"]))
+    # Columns travel under names of their own, so that none of docs can clash.
+    rows = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(kept.columns)), docs["text"].alias(f"c{len(kept.columns)}"))
+    kinds = [*(f.dataType.simpleString() for f in kept.schema), "string", "double"]
+    found = rows.mapInArrow(partial(_predict, model=sent), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    return found.toDF(*kept.columns, *names)

@@ -1,224 +1,89 @@
-"""Language-model scoring by logistic context mixing.
-
-A text is a sequence of tokens, and a token is a string of bytes that the model predicts bit by
-bit. Several predictors each look up, in a hashed table, how often a bit followed their context
-(the last one to four bytes, or the whole token so far) anywhere in the training tokens. A
-gate, set by how much those tables have seen, picks the weights with which the predictors'
-log odds are mixed; a second, interpolated table refines the mixed probability. Spelling serves
-tokens that are rare or new, so every distinct training token counts once. Weights and refinement
-are learnt online on all distinct training tokens, each with its own spelling taken out of the
-counts: one learner to a task, whose weights are averaged.
-
-Contexts reach back to the token's beginning, so Spark counts tokens over the whole corpus and
-the mixed bits of each distinct token are computed once. Beside a token, two more refinements
-adapt to the corpus and the text: the token's own counts, in all and by class of document, and
-what the text itself has repeated so far. The class is never told: a text's probability is the
-mixture over classes, which its own words settle.
+"""Language-model scoring by online logistic context mixing.
+
+A text is a sequence of tokens, coded bit by bit. A token among the most frequent ones has a
+code word; any other is an escape, followed by its spelling. Each bit of a code word is predicted
+from hashed contexts across tokens: none, the kind of text so far, the token before, the two
+tokens before, and what this text itself has done. Counts of all training tokens, summed by
+Spark into tables of a fixed size, give each predictor's log odds; a gate, set by how much the
+tables have seen, picks the weights that mix them; a second, interpolated table refines the
+mixed probability. Weights and refinement are learnt online inside each text, from the same
+start. (Starting from what training texts teach was tried: their copies teach too much trust in
+rare contexts, and held-out texts lose.) Texts go side by side, a segment of each at a time.
+
+Spellings are mixed in the same manner from contexts inside the word and the kind of text, with
+weights learnt online on distinct training tokens; a word's spelling costs the same wherever the
+kind is the same.
+
+A whole segment may also be a copy: other texts of the corpus may go on so after the same
+segment. Spark counts segments over the corpus for this, and a text's own occurrence is no
+evidence of copying.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, partial
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import crc_remainder, materialise, slices_by_bytes, text_bytes
+from docketry.llm.common import crc_remainder, join_skewed, materialise, slices_by_bytes, text_bytes
 
-#: Hashed slots of each predictor's table, as powers of two: one to four bytes back, and the token so far.
-TABLES = (16, 18, 20, 20, 22)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
-#: Weights: one for each predictor and a bias. Gates: the whole token's table, the three-byte table, the place in the token.
-INPUTS, GATES = len(TABLES) + 1, 4 * 4 * 3
-#: Cells of the refinement for each gate, over log odds from -8 to 8.
-CELLS = 33
-PRIOR = 0.4
 END = b"\n"
-#: Classes of documents, the places of their byte-pair profiles, and the share given to a text's own history.
-CLASSES, PROFILE, REPEAT = 8, 1024, 0.05
-COUNTS = [f"n_{k}" for k in range(CLASSES)]
-ENCODED = "kind int, block long, doc_id long, held_out boolean, n_tokens long, codes binary, token binary, code int, " + ", ".join(f"{k} long" for k in COUNTS)
-#: How a token's counts travel: only classes that have it.
-SPARSE = np.dtype([("k", "u1"), ("c", "<i8")])
-
-
-# ---- tokens and their bits
-
-
-class Bits:
-    """All bits of some tokens: the slot of each predictor, the bit, its token and its place.
-
-    A token is followed by a blank; the end of a text is a line break, which no token contains.
-    """
+#: Kinds of texts, the one more for a text's beginning, and the places of byte-pair profiles.
+CLASSES, PROFILE = 8, 1024
+KINDS = CLASSES + 1
+#: Tokens with a code word at most; the others are spelled.
+CODE_WORDS = 1 << 16
+#: Segments of a text end after so many tokens, and then every SEGMENT ones.
+FIRST_CUTS, SEGMENT = (16,), 64
+#: Hashed slots, as powers of two, of the contexts of one and two tokens before; a text's own slots.
+PAST_BITS, OWN_BITS = (20, 20), 12
+#: Predictors of a code bit (none, kind, one before, two before, own) and a bias; gates; cells of the refinement.
+INPUTS, GATES, CELLS = 6, 32, 33
+PRIOR = 0.4
+#: The share given to a copied segment.
+COPY = 0.05
 
-    def __init__(self, tokens: list[bytes]):
-        raw = [t if t == END else t + b" " for t in tokens]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        sizes = np.array([len(t) for t in raw], np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        at = np.arange(len(data)) - np.repeat(first, sizes)
-        wide = data.astype(np.uint64) + np.uint64(1)
-        zero = np.zeros(1, np.uint64)
-        contexts, running = [], np.zeros(len(data), np.uint64)
-        for n in range(1, 5):
-            back = np.concatenate([np.repeat(zero, n), wide[:-n]]) if len(data) > n else np.zeros(len(data), np.uint64)
-            running = running * np.uint64(257) + np.where(at >= n, back, np.uint64(0))
-            contexts.append(running * np.uint64(0x9E3779B97F4A7C15))
-        powers = np.cumprod(np.concatenate([[1], np.full(max(0, len(data) - 1), 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
-        inverse = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-        lows = np.cumprod(np.concatenate([[1], np.full(max(0, len(data) - 1), inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-        sums = np.concatenate([zero, np.cumsum(wide * powers, dtype=np.uint64)])[: len(data)]
-        start = np.repeat(first, sizes)
-        so_far = (sums - sums[start]) * lows[start] if len(data) else zero[:0]
-        contexts.append((so_far ^ (so_far >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-        shift = np.arange(7, -1, -1, dtype=np.uint8)
-        self.bit = ((data[:, None] >> shift) & 1).ravel().astype(np.int8)
-        node = ((256 | data.astype(np.int64))[:, None] >> (shift.astype(np.int64) + 1)).astype(np.uint64)
-        self.slots = np.empty((len(TABLES), node.size), np.int64)
-        mixed = node * np.uint64(0xD6E8FEB86659FD93)
-        for i, (context, b) in enumerate(zip(contexts, TABLES, strict=True)):
-            x = (context[:, None] ^ mixed) * np.uint64(0x94D049BB133111EB)
-            self.slots[i] = (x >> np.uint64(64 - b)).astype(np.int64).ravel() + OFFSETS[i]
-        self.place = np.repeat(np.minimum(at, 2), 8)
-        self.first = 8 * first  # of each token's bits
-        self.token = np.repeat(np.arange(len(tokens)), 8 * sizes)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
 
 def _chunks(n: int, size: int = 20_000) -> Iterator[tuple[int, int]]:
     yield from ((a, min(n, a + size)) for a in range(0, n, size))
 
 
-def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    zeros, ones = np.zeros(OFFSETS[-1]), np.zeros(OFFSETS[-1])
-    for batch in batches:
-        tokens = batch.column("token").to_pylist()
-        for a, b in _chunks(len(tokens)):
-            bits = Bits(tokens[a:b])
-            on = bits.bit == 1
-            for slots in bits.slots:
-                lo, hi = int(slots.min()), int(slots.max()) + 1
-                zeros[lo:hi] += np.bincount(slots[~on] - lo, minlength=hi - lo)
-                ones[lo:hi] += np.bincount(slots[on] - lo, minlength=hi - lo)
-    at = np.flatnonzero(zeros + ones)
-    for a, b in _chunks(len(at), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[a:b]), pa.array(zeros[at[a:b]]), pa.array(ones[at[a:b]])], names=["slot", "n0", "n1"])
-
-
-# ---- the model
-
-
 def _log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    odds = n1 + PRIOR
-    odds /= n0 + PRIOR
-    np.log(odds, out=odds)
-    return np.clip(odds, -8, 8, out=odds)
-
-
-@dataclass
-class Mixer:
-    """Counts of all tables, mixing weights by gate, refinement by gate."""
-
-    zeros: np.ndarray
-    ones: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-
-    @cached_property
-    def odds(self) -> np.ndarray:
-        """The log odds of every slot: a task scores more bits than there are slots."""
-        return _log_odds(self.zeros, self.ones)
-
-    @classmethod
-    def fresh(cls, zeros: np.ndarray, ones: np.ndarray) -> Mixer:
-        weights = np.full((GATES, INPUTS), 0.3)
-        weights[:, -1] = 0
-        odds = np.linspace(-8, 8, CELLS)
-        return cls(zeros, ones, weights, np.tile(1 / (1 + np.exp(-odds)), (GATES, 1)))
-
-    def inputs(self, bits: Bits, without_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds by bit and predictor, and the gate of each bit."""
-        x = np.empty((bits.bit.size, INPUTS), np.float32)
-        seen = []
-        for i, slots in enumerate(bits.slots):
-            gates = i in (2, len(TABLES) - 1)
-            if without_own:
-                n0, n1 = self.zeros[slots], self.ones[slots]
-                n0, n1 = np.maximum(n0 - (bits.bit == 0), 0), np.maximum(n1 - (bits.bit == 1), 0)
-                x[:, i], total = _log_odds(n0, n1), n0 + n1
-            else:
-                x[:, i], total = self.odds[slots], self.zeros[slots] + self.ones[slots] if gates else None
-            if gates:
-                seen.append((total > 0).astype(np.int64) + (total > 3) + (total > 30))
-        x[:, -1] = 1
-        return x, (seen[1] * 4 + seen[0]) * 3 + bits.place
+    return np.clip(np.log((n1 + PRIOR) / (n0 + PRIOR)), -8, 8)
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Log odds of a one after mixing."""
-        odds = np.zeros(len(gate))
-        for i in range(INPUTS):
-            odds += self.weights[:, i][gate] * x[:, i]
-        return np.clip(odds, -8, 8)
 
-    def probability(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The mixed probability averaged with its refinement."""
-        spot = (odds + 8) * ((CELLS - 1) / 16)
-        low = np.minimum(spot.astype(np.int64), CELLS - 2)
-        part = spot - low
-        flat = gate * CELLS + low
-        fine = self.refined.ravel()[flat] * (1 - part) + self.refined.ravel()[flat + 1] * part
-        return np.clip(0.5 / (1 + np.exp(-odds)) + 0.5 * fine, 1e-5, 1 - 1e-5)
+#: log(n + PRIOR) of every 16-bit count, and how much a count is worth as a gate.
+LOG = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
+ONE = np.uint32(1)
+GRADE = np.searchsorted([1, 4, 31], np.arange(1 << 17), side="right").astype(np.int8)
 
-    def learn(self, tokens: list[bytes], rate: float, step: int = 512) -> Mixer:
-        """Online gradient steps over tokens that the tables have counted, `step` tokens at a time."""
-        for a, b in _chunks(len(tokens), step):
-            bits = Bits(tokens[a:b])
-            x, gate = self.inputs(bits, without_own=True)
-            odds = self.mixed(x, gate)
-            error = bits.bit - 1 / (1 + np.exp(-odds))
-            sums = np.stack([np.bincount(gate, error * x[:, i], GATES) for i in range(INPUTS)], axis=1)
-            self.weights += rate * sums / np.maximum(1, np.bincount(gate, minlength=GATES))[:, None]
-            cell = np.rint((odds + 8) * ((CELLS - 1) / 16)).astype(np.int64) + gate * CELLS
-            hits = np.bincount(cell, minlength=GATES * CELLS)
-            drift = np.bincount(cell, bits.bit - self.refined.ravel()[cell], GATES * CELLS)
-            self.refined += (0.02 * drift / (1 + 0.02 * hits)).reshape(GATES, CELLS)
-        return self
 
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
-        """The log10 probability of each token."""
-        out = np.zeros(len(tokens))
-        for a, b in _chunks(len(tokens)):
-            bits = Bits(tokens[a:b])
-            x, gate = self.inputs(bits)
-            p = self.probability(self.mixed(x, gate), gate)
-            out[a:b] = np.add.reduceat(np.log10(np.where(bits.bit == 1, p, 1 - p)), bits.first)
-        return out
+# ---- kinds of texts
 
 
-def _learn(batches: Iterator[pa.RecordBatch], tables, rate: float) -> Iterator[pa.RecordBatch]:
-    """One task's learner: weights and refinement, and how many tokens it saw."""
-    mixer, seen = Mixer.fresh(*tables.value), 0
-    for batch in batches:
-        mixer.learn(batch.column("token").to_pylist(), rate)
-        seen += batch.num_rows
-    flat = np.concatenate([mixer.weights.ravel(), mixer.refined.ravel()])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["place", "value", "seen"])
+def profile(lowered: bytes) -> np.ndarray:
+    """Square roots of hashed byte-pair counts, of length one."""
+    data = np.frombuffer(lowered, np.uint8)
+    v = np.sqrt(np.bincount(_pairs(data), minlength=PROFILE)) if len(data) > 1 else np.zeros(PROFILE)
+    return (v / np.sqrt(max(1.0, float(v @ v)))).astype(np.float32)
 
 
-# ---- classes of documents
+_PLACE = ((np.arange(1 << 16) // 256 * 257 + np.arange(1 << 16) % 256) * 2654435761 % (1 << 32) >> 22).astype(np.int32)
 
 
-def profile(lowered: bytes) -> np.ndarray:
-    """Square roots of hashed byte-pair counts, of length one."""
-    data = np.frombuffer(lowered, np.uint8).astype(np.int64)
-    v = np.sqrt(np.bincount((data[:-1] * 257 + data[1:]) * 2654435761 % (1 << 32) >> 22, minlength=PROFILE)) if len(data) > 1 else np.zeros(PROFILE)
-    return (v / np.sqrt(max(1.0, float(v @ v)))).astype(np.float32)
+def _pairs(data: np.ndarray) -> np.ndarray:
+    return _PLACE.take((data[:-1].astype(np.uint16) << 8) | data[1:])
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,171 +146,655 @@ def fit_classes(texts: DataFrame, rounds: int = 5) -> np.ndarray:
     return centres
 
 
-# ---- documents
+def votes_of(centres: np.ndarray) -> np.ndarray:
+    """What one byte pair adds to the log likelihood of each kind, by place and kind."""
+    share = centres.astype(np.float64) ** 2 + 1e-5
+    return np.log(share / share.sum(axis=1, keepdims=True)).T.astype(np.float32)
+
 
+# ---- texts as tokens and segments
 
-def _encode(batches: Iterator[pa.RecordBatch], centres: np.ndarray, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents as codes into their own list of tokens: kind 0 documents, kind 1 tokens."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *[pa.int64()] * CLASSES]
-    names = [x.split()[0] for x in ENCODED.split(", ")]
-    task, serial, held = TaskContext.get().partitionId(), 0, 0
-    codes: defaultdict[bytes, int] = defaultdict(count().__next__)
-    used = np.zeros((0, CLASSES), np.int64)
 
-    def rows(n: int, **given) -> pa.RecordBatch:
-        columns = {"block": pa.array(np.full(n, (task << 33) + serial)), **given}
-        return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names=names)
+def cuts_of(n: int) -> list[int]:
+    """Where the segments of a text of n tokens begin, and n."""
+    return [0, *(c for c in FIRST_CUTS if c < n), *range(SEGMENT, n, SEGMENT), n]
 
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal codes, used, serial, held
-        tokens = list(codes)
-        for a, b in _chunks(len(tokens), 50_000):
-            counts = {name: pa.array(used[a:b, k]) for k, name in enumerate(COUNTS)}
-            yield rows(b - a, kind=pa.array(np.ones(b - a, np.int32)), token=pa.array(tokens[a:b], pa.binary()), code=pa.array(np.arange(a, b, dtype=np.int32)), **counts)
-        codes, used, serial, held = defaultdict(count().__next__), np.zeros((0, CLASSES), np.int64), serial + 1, 0
 
+class Texts:
+    """Some texts as tokens, cut into segments, each with the kind that the segments before it suggest."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, votes: np.ndarray):
+        self.words: list[bytes] = []
+        self.first, cuts, joined, self.segments = [0], [], [], [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = data[a:b].tobytes().lower().split()
+            own.append(END)
+            at = cuts_of(len(own))
+            joined += [b" ".join(own[i:j]) for i, j in zip(at, at[1:], strict=False)]
+            cuts += [self.first[-1] + i for i in at[:-1]]
+            self.segments.append(len(cuts))
+            self.words += own
+            self.first.append(len(self.words))
+        self.joined, self.cuts = joined, np.array([*cuts, len(self.words)], np.int64)
+        self.sizes = np.diff(self.first)
+        self.kind = self._kinds(votes)
+
+    def _kinds(self, votes: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(x) for x in self.joined], np.int64)
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(self.joined), np.uint8)
+        kinds = np.full(len(sizes), CLASSES, np.int64)
+        if len(data) < 2:
+            return kinds
+        pairs = _pairs(data)
+        inside = np.ones(len(pairs), bool)
+        inside[ends[:-1] - 1] = False
+        spot = np.repeat(np.arange(len(sizes)), sizes)[:-1] * PROFILE + pairs
+        sums = np.zeros((len(sizes), votes.shape[1]), np.float32)
+        for lo, hi in _chunks(len(sizes), 4096):
+            a, b = max(0, int(ends[lo] - sizes[lo])), min(int(ends[hi - 1]), len(pairs))
+            counts = np.bincount(spot[a:b][inside[a:b]] - lo * PROFILE, minlength=(hi - lo) * PROFILE)[: (hi - lo) * PROFILE]
+            sums[lo:hi] = counts.reshape(-1, PROFILE).astype(np.float32) @ votes
+        before = np.concatenate([np.zeros((1, votes.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+        start = np.repeat(self.segments[:-1], np.diff(self.segments))
+        at = np.arange(len(sizes))
+        return np.where(at > start, (before[at] - before[start]).argmax(axis=1), CLASSES)
+
+
+def _read(batches: Iterator[pa.RecordBatch], votes: np.ndarray, size: int = 2_000_000, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Slices of rows of (text, ...) with their tokens; a long text stands alone."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        outside = batch.column("held_out").to_pylist()
-        for lo, hi in slices_by_bytes(offsets, 1_000_000):
-            packed, sizes = [], []
-            for k in range(lo, hi):
-                lowered = data[offsets[k] : offsets[k + 1]].tobytes().lower()
-                words = lowered.split()
-                words.append(END)
-                own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-                if len(codes) > len(used):
-                    used = np.concatenate([used, np.zeros((max(len(codes) - len(used), len(used)), CLASSES), np.int64)])
-                if not outside[k]:
-                    np.add.at(used[:, int((centres @ profile(lowered)).argmax())], own, 1)
-                # Three bytes a code, byte by byte: the high ones are mostly equal and pack well.
-                packed.append(own.astype("<i4").view(np.uint8).reshape(-1, 4).T[:3].tobytes())
-                sizes.append(len(words))
-            yield rows(hi - lo, kind=pa.array(np.zeros(hi - lo, np.int32)), doc_id=batch.column("doc_id").slice(lo, hi - lo), held_out=batch.column("held_out").slice(lo, hi - lo), n_tokens=pa.array(sizes), codes=pa.array(packed, pa.binary()))
-            held += int(offsets[hi] - offsets[lo])
-            if held >= block_bytes:
-                yield from close()
-    yield from close()
-
-
-def unpack(codes: bytes) -> np.ndarray:
-    planes = np.frombuffer(codes, np.uint8).reshape(3, -1).astype(np.int32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
-
-
-def _score_tokens(batches: Iterator[pa.RecordBatch], tables, weights: np.ndarray, refined: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The mixed bits of each token, and its counts by class, packed."""
-    mixer = Mixer(*tables.value, weights, refined)
-    for batch in batches:
-        c = np.stack([batch.column(k).to_numpy() for k in COUNTS], axis=1)
-        at, k = np.nonzero(c)
-        found = np.empty(len(at), SPARSE)
-        found["k"], found["c"] = k, c[at, k]
-        ends = np.concatenate([[0], np.cumsum((c > 0).sum(axis=1))]) * SPARSE.itemsize
-        counts = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.tobytes())])
-        logp = mixer.log10(batch.column("token").to_pylist()).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([batch.column("token"), counts, pa.array(logp)], names=["token", "counts", "logp"])
-
-
-def _log10_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """log10 of the sum of two numbers given by their log10."""
-    return np.logaddexp(a * np.log(10), b * np.log(10)) / np.log(10)
-
-
-def _score_block(docs: pa.Table, tokens: pa.Table, totals: list[int], distinct: int) -> pa.Table:
-    """Join a block's documents with its tokens' counts and probabilities, by code."""
-    at, n = tokens["code"].to_numpy(), tokens.num_rows
-    spelled, size, by_class = np.zeros(n), np.zeros(n), np.zeros((CLASSES, n))
-    spelled[at], size[at] = tokens["logp"].to_numpy(), tokens["bytes"].to_numpy() + 1
-    counts = tokens["counts"].to_pylist()
-    found = np.frombuffer(b"".join(counts), SPARSE)
-    by_class[found["k"], np.repeat(at, [len(x) // SPARSE.itemsize for x in counts])] = found["c"]
-    c, total, each = by_class.sum(axis=0), sum(totals), np.array(totals, float)[:, None]
-    base = np.log10((c + 1) / (total + (distinct + 1)))
-    # A token's counts refine its spelling, and its counts in a class refine both.
-    wide, narrow = max(1, distinct), max(1, distinct) / 4
-    with np.errstate(divide="ignore"):
-        overall = _log10_sum(np.log10(c), np.log10(wide) + spelled) - np.log10(total + wide)
-        logp = _log10_sum(np.log10(by_class), np.log10(narrow) + overall) - np.log10(each + narrow)
-    share = np.log10((each[:, 0] + 1) / (total + CLASSES))
-    out: list[list] = [[], [], [], []]
-    for codes in docs["codes"].to_pylist():
-        own = unpack(codes)
-        parts = logp[:, own]
-        sums = share + parts.sum(axis=1) + (len(own) - 1) * np.log10(1 - REPEAT)
-        order = np.argsort(own, kind="stable")
-        place = np.arange(len(own))
-        new = np.concatenate([[True], own[order][1:] != own[order][:-1]])
-        earlier = np.empty(len(own))
-        earlier[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-        again = np.flatnonzero(earlier)
-        gain = REPEAT / (1 - REPEAT) * earlier[again] / again
-        sums += np.log10(1 + gain * 10 ** -np.maximum(parts[:, again], -290)).sum(axis=1)
-        score = float(sums.max() + np.log10((10 ** (sums - sums.max())).sum()))
-        values = int((c[own] > 0).sum()), float(base[own].sum()), score, -score / np.log10(2) / float(size[own].sum() - 1)
-        for column, value in zip(out, values, strict=True):
-            column.append(value)
-    return pa.table({
-        "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"],
-        "n_known": pa.array(out[0], pa.int64()), "train_tokens": pa.array([total] * docs.num_rows, pa.int64()),
-        "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64()), "bits_per_byte": pa.array(out[3], pa.float64()),
-    })
-
-
-def count_tables(vocabulary: DataFrame, distinct: int, task_tokens: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """How often each slot's bit was zero and one in the spelling of distinct training tokens.
-
-    The tables have a fixed number of slots, which bounds what reaches the driver.
+        for a, b in slices_by_bytes(offsets, size):
+            for lo, hi in ((a + i, min(b, a + j)) for i, j in _chunks(b - a, rows)):
+                yield batch.slice(lo, hi - lo), Texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], votes)
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch], votes: np.ndarray, held: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Tokens with their number, and a bit for each kind of text they stood in; counted anew after `held` distinct ones."""
+    found = [Counter() for _ in range(KINDS)]
+
+    def drain() -> Iterator[pa.RecordBatch]:
+        for kind, counter in enumerate(found):
+            tokens = list(counter)
+            for a, b in _chunks(len(tokens), 50_000):
+                n = np.fromiter((counter[t] for t in tokens[a:b]), np.int64, b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[a:b], pa.binary()), pa.array(n), pa.array(np.full(b - a, 1 << kind, np.int32))], names=["token", "n", "kinds"])
+            counter.clear()
+
+    for _, texts in _read(batches, votes):
+        for a, b, kind in zip(texts.cuts.tolist(), texts.cuts[1:].tolist(), texts.kind.tolist(), strict=False):
+            found[kind].update(texts.words[a:b])
+        if sum(map(len, found)) > held:
+            yield from drain()
+    yield from drain()
+
+
+# ---- code words
+
+
+class _Symbols(dict):
+    def __missing__(self, token: bytes) -> int:
+        return 0
+
+
+@dataclass
+class Code:
+    """Huffman code of the most frequent training tokens; symbol 0 is the escape.
+
+    Tokens that training has once tell how often a token is new: there they count as an escape
+    beside themselves, and with their own occurrence taken out they are one.
     """
-    zeros, ones = np.zeros(OFFSETS[-1], np.float32), np.zeros(OFFSETS[-1], np.float32)
-    if distinct:
-        counted = vocabulary.filter("c > 0").select("token").coalesce(1 + distinct // task_tokens).mapInArrow(_count_bits, "slot long, n0 double, n1 double")
-        sums = counted.groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
-        sums = sums.select(F.col("slot").cast("int").alias("slot"), "n0", "n1").toArrow()
-        at = sums["slot"].to_numpy()
-        zeros[at], ones[at] = sums["n0"].to_numpy(), sums["n1"].to_numpy()
-    return zeros, ones
+
+    tokens: list[bytes]
+    counts: np.ndarray  # by symbol; the escape's is what all other tokens have
+    first: np.ndarray = field(init=False)
+    sizes: np.ndarray = field(init=False)
+    nodes: np.ndarray = field(init=False)
+    bits: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        n = len(self.tokens) + 1
+        heap = [(int(c), i) for i, c in enumerate(np.maximum(self.counts, 1))]
+        heapq.heapify(heap)
+        up, side, serial = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int8), n
+        while len(heap) > 1:
+            (c0, a), (c1, b) = heapq.heappop(heap), heapq.heappop(heap)
+            up[a] = up[b] = serial
+            side[b] = 1
+            heapq.heappush(heap, (c0 + c1, serial))
+            serial += 1
+        root = serial - 1
+        # From the leaves up, all symbols at once; node numbers count inner nodes from 0.
+        at, levels = np.arange(n), []
+        while (live := at != root).any():
+            levels.append((np.where(live, up[at] - n, -1), np.where(live, side[at], 0)))
+            at = np.where(live, up[at], at)
+        nodes = np.array([x for x, _ in reversed(levels)], np.int32).reshape(len(levels), n).T
+        bits = np.array([x for _, x in reversed(levels)], np.int8).reshape(len(levels), n).T
+        used = nodes >= 0
+        self.sizes = used.sum(axis=1)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.nodes, self.bits = nodes[used].astype(np.int64), bits[used].astype(np.int64)
+
+    @property
+    def inner(self) -> int:
+        return len(self.tokens)
+
+    @cached_property
+    def once(self) -> np.ndarray:
+        """Symbols of tokens that training has once."""
+        return np.concatenate([[False], self.counts[1:] == 1])
+
+    @cached_property
+    def symbol(self) -> dict[bytes, int]:
+        return _Symbols({t: i + 1 for i, t in enumerate(self.tokens)})
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.array([0, *(zlib.crc32(t) for t in self.tokens)], np.uint64)
+
+
+class Coded:
+    """The code words of some texts: symbols and contexts. Texts marked `learnt` are coded as if training did not have them."""
+
+    def __init__(self, texts: Texts, code: Code, learnt: np.ndarray | None = None):
+        self.symbols = np.fromiter(map(code.symbol.__getitem__, texts.words), np.int64, len(texts.words))
+        own = code.hashes[self.symbols]
+        self.learnt = np.ones(len(texts.sizes), bool) if learnt is None else learnt
+        self.once = code.once[self.symbols] & np.repeat(self.learnt, texts.sizes)
+        self.own = self.symbols.copy()  # with those that count as new
+        self.symbols[self.once] = 0
+        self.spelled = np.flatnonzero(self.symbols == 0)
+        own[self.spelled] = np.fromiter(map(zlib.crc32, map(texts.words.__getitem__, self.spelled.tolist())), np.uint64, len(self.spelled))
+        start = np.zeros(len(own), bool)
+        start[texts.first[:-1]] = True
+        one = np.concatenate([own[:1], own[:-1]])
+        one[start] = np.uint64(1)
+        two = np.concatenate([one[:1], one[:-1]])
+        two[start] = np.uint64(1)
+        self.past = [(one * _A) ^ (one >> np.uint64(7)), ((one * _B) ^ two) * _A]
+
+
+class Bits:
+    """Bits of code words, with the slots of the four shared predictors unless only `hashed` ones are wanted."""
+
+    def __init__(self, code: Code, symbols: np.ndarray, past: list[np.ndarray], kinds: np.ndarray, hashed: bool = False):
+        self.sizes = sizes = code.sizes[symbols]
+        ends = np.cumsum(sizes)
+        spot = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(code.first[symbols] - (ends - sizes), sizes)
+        self.node, self.bit = code.nodes.take(spot), code.bits.take(spot)
+        self.slots = [] if hashed else [self.node, np.repeat(code.inner * (1 + kinds), sizes) + self.node]
+        mixed = (self.node.view(np.uint64) + np.uint64(1)) * _B
+        base = (1 + KINDS) * code.inner
+        for context, b in zip(past, PAST_BITS, strict=True):
+            x = np.repeat(context, sizes)
+            x ^= mixed
+            x *= _C
+            x >>= np.uint64(64 - b)
+            self.slots.append(x.view(np.int64) + base)
+            base += 1 << b
 
 
-def learn_mixing(vocabulary: DataFrame, distinct: int, tables, rate: float = 0.2, task_tokens: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refinement after one pass over all distinct training tokens.
+def slots_of(code: Code) -> int:
+    return (1 + KINDS) * code.inner + sum(1 << b for b in PAST_BITS)
 
-    About `task_tokens` go to one learner, in the order of their hashes; the learners' average,
-    weighted by their tokens, is what reaches the driver.
+
+#: Slots of the tables that travel as one row.
+BLOCK = 1 << 16
+
+
+def _rows_of(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of an array of counts, but for empty ones, in as few bytes as they need."""
+    for a in range(0, len(counts), 2 * BLOCK):
+        part = counts[a : a + 2 * BLOCK]
+        if part.any():
+            wide = part.astype("<u4") if part.max() > 65535 else part.astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([a // (2 * BLOCK)]), pa.array([wide.itemsize], pa.int32()), pa.array([wide.tobytes()], pa.binary())], names=["block", "width", "counts"])
+
+
+def _count_bits(batches: Iterator[pa.RecordBatch], code, votes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often each hashed slot's bit was zero and one in a task's texts; in the last blocks, how often each symbol stood in each kind of text."""
+    book: Code = code.value
+    counts = np.zeros(2 * sum(1 << b for b in PAST_BITS), np.uint32)
+    base = 2 * (1 + KINDS) * book.inner
+    symbols = np.zeros(KINDS * (book.inner + 1), np.uint32)
+    for _, texts in _read(batches, votes):
+        coded = Coded(texts, book)
+        kinds = np.repeat(texts.kind, np.diff(texts.cuts))
+        again = np.flatnonzero(coded.once)
+        for found, at in ((coded.symbols, np.arange(len(kinds))), (coded.own, again)):
+            np.add.at(symbols, kinds[at] * (book.inner + 1) + found[at], ONE)
+            for a, b in _chunks(len(at), 50_000):
+                bits = Bits(book, found[at[a:b]], [x[at[a:b]] for x in coded.past], kinds[at[a:b]], hashed=True)
+                for slots in bits.slots:
+                    np.add.at(counts, 2 * slots + bits.bit - base, ONE)
+    yield from _rows_of(np.concatenate([counts, symbols]))
+
+
+def _merge_blocks(table: pa.Table) -> pa.Table:
+    """The sum of one block's rows."""
+    total = sum(np.frombuffer(x, f"<u{w}").astype(np.uint64) for x, w in zip(table["counts"].to_pylist(), table["width"].to_pylist(), strict=True))
+    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def gathered(counted: DataFrame, size: int) -> np.ndarray:
+    """The merged blocks as one array; its fixed size bounds what reaches the driver."""
+    out = np.zeros(size, np.uint64)
+    for r in counted.groupBy("block").applyInArrow(_merge_blocks, "block long, counts binary").toLocalIterator():
+        part = np.frombuffer(r["counts"], np.uint64)
+        out[r["block"] * 2 * BLOCK : r["block"] * 2 * BLOCK + len(part)] = part
+    return out
+
+
+def halved(total: np.ndarray) -> np.ndarray:
+    """(slots, 2) counts in 16 bits: both of a slot are halved until they fit."""
+    total = total.reshape(-1, 2).copy()
+    while len(over := np.flatnonzero(total.max(axis=1) > 65535)):
+        total[over] >>= np.uint64(1)
+    return total.astype(np.uint16)
+
+
+def count_tables(training: DataFrame, code, votes: np.ndarray) -> np.ndarray:
+    """(slots, 2) counts of zeros and ones over all training texts: by node, by kind and node, and by hashed context and node."""
+    book: Code = code.value
+    hashed = 2 * sum(1 << b for b in PAST_BITS)
+    counted = training.mapInArrow(partial(_count_bits, code=code, votes=votes), "block long, width int, counts binary")
+    found = gathered(counted, hashed + KINDS * (book.inner + 1))
+    return halved(np.concatenate([by_node(book, found[hashed:]), found[:hashed]]))
+
+
+def by_node(code: Code, symbols: np.ndarray) -> np.ndarray:
+    """Zeros and ones of each node, in all and then by kind, from how often each symbol stood in each kind of text."""
+    each = symbols.reshape(KINDS, code.inner + 1).astype(np.float64)
+    spot = 2 * code.nodes + code.bits
+    return np.concatenate([np.bincount(spot, np.repeat(n, code.sizes), 2 * code.inner) for n in (each.sum(axis=0), *each)]).astype(np.uint64)
+
+
+# ---- mixing
+
+
+#: The weights that every text starts from, by input; the refinement starts as no change.
+START = np.array([0.2, 0.6, 0.2, 0.2, 0.3, 0.0], np.float32)
+#: How fast weights and refinement follow a text.
+RATES = (0.2, 0.02)
+
+
+class Tables:
+    """Log odds, in STEPth parts, and below them two bits of grade, of all slots: with a zero of its own taken out, with a one, and as counted."""
+
+    STEP = 1000
+
+    def __init__(self, counts: np.ndarray):
+        n0, n1 = counts[:, 0].astype(np.int32), counts[:, 1].astype(np.int32)
+        self.packed = np.empty((len(counts), 3), np.int16)
+        for i, (a, b) in enumerate(((np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0)), (n0, n1))):
+            odds = np.rint(np.clip(LOG[b] - LOG[a], -8, 8) * self.STEP).astype(np.int16)
+            self.packed[:, i] = odds * 4 + GRADE[a + b]
+
+
+class Mixer:
+    """Predicts the bits of texts side by side, with weights and a refinement of its own for each, learnt as it goes.
+
+    In texts that the tables have counted, each bit's own count is taken out first.
     """
-    fresh = Mixer.fresh(*tables.value)
-    if not distinct:
-        return fresh.weights, fresh.refined
-    ordered = vocabulary.filter("c > 0").select("token").coalesce(1 + distinct // task_tokens).sortWithinPartitions(F.xxhash64("token"), "token")
-    learners = ordered.mapInArrow(partial(_learn, tables=tables, rate=rate), "place long, value double, seen long")
-    means = learners.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("mean")).toArrow().sort_by("place")["mean"].to_numpy()
-    return means[: GATES * INPUTS].reshape(GATES, INPUTS), means[GATES * INPUTS :].reshape(GATES, CELLS)
+
+    def __init__(self, code: Code, counts: np.ndarray, start: np.ndarray = START, rates: tuple[float, float] = RATES):
+        self.code, self.tables, self.start, self.rates = code, Tables(counts), start, rates
+
+    def run(self, texts: Texts, coded: Coded) -> np.ndarray:
+        """The log10 probability of each token's code word."""
+        n_texts = len(texts.sizes)
+        weights = np.repeat(self.start[:, None], n_texts * GATES, axis=1)
+        refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))).astype(np.float32), n_texts * GATES)
+        own = np.zeros((n_texts << OWN_BITS, 2), np.uint16)
+        out = np.zeros(len(texts.words))
+        # Texts in the order of their lengths: those still going on are always the first ones.
+        per_text = np.diff(texts.segments)
+        order = np.argsort(-per_text, kind="stable")
+        first_segment, falling = np.array(texts.segments[:-1])[order], -per_text[order]
+        learnt = np.where(coded.learnt[order], 0, 2)
+        for step in range(int(per_text.max(initial=0))):
+            live = int(np.searchsorted(falling, -step, side="left"))
+            segment = first_segment[:live] + step
+            lo, sizes = texts.cuts[segment], texts.cuts[segment + 1] - texts.cuts[segment]
+            ends = np.cumsum(sizes)
+            tokens = np.arange(ends[-1]) + np.repeat(lo - (ends - sizes), sizes)
+            bits = Bits(self.code, coded.symbols[tokens], [x[tokens] for x in coded.past], np.repeat(texts.kind[segment], sizes))
+            if not len(bits.bit):
+                continue
+            starts = np.concatenate([[0], np.cumsum(bits.sizes)])
+            text = np.repeat(np.arange(live), np.diff(starts[np.concatenate([[0], ends])]))
+            logs = self._step(bits, text, learnt, live, own, weights, refined)
+            have = bits.sizes > 0
+            out[tokens[have]] = np.add.reduceat(logs, starts[:-1][have], dtype=np.float64) / np.log(10)
+            if step % 256 == 255:  # a node is met at most SEGMENT times a step, so counts stay below 2 ** 16
+                own[own.max(axis=1) > 40_000] >>= 1
+        return out
+
+    def _step(self, bits: Bits, text: np.ndarray, learnt: np.ndarray, live: int, own: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+        bit, x, grades, packed = bits.bit, [], [], self.tables.packed.ravel()
+        variant = np.maximum(learnt.take(text), bit) if learnt[:live].any() else bit
+        for i, slots in enumerate(bits.slots):
+            spot = slots * 3
+            spot += variant
+            found = packed.take(spot)
+            if i >= 2:
+                grades.append((found & 3).astype(np.int8))
+            found >>= 2
+            x.append(found * np.float32(1 / Tables.STEP))
+        mine = bits.node * 2654435761
+        mine >>= 8
+        mine &= (1 << OWN_BITS) - 1
+        mine += text << OWN_BITS
+        seen = own.take(mine, axis=0)
+        x.append(LOG.take(seen[:, 1]) - LOG.take(seen[:, 0]))
+        x.append(np.ones(1, np.float32))
+        place = grades[1] * np.int8(4)
+        place += grades[0]
+        place *= np.int8(2)
+        place += seen.view(np.uint32).ravel() > 0
+        place = place + text * GATES
+        sets = live * GATES
+        odds = weights[-1].take(place)
+        for w, value in zip(weights[:-1], x, strict=False):
+            odds += w.take(place) * value
+        np.clip(odds, -8, 8, out=odds)
+        p = 1 / (1 + np.exp(-odds))
+        odds += 8
+        odds *= np.float32((CELLS - 1) / 16)
+        cell = np.minimum(odds.astype(np.int32), CELLS - 2)
+        odds -= cell
+        cell = cell + place * CELLS
+        fine = refined.take(cell)
+        fine += (refined.take(cell + 1) - fine) * odds
+        fine += p
+        fine *= 0.5
+        np.subtract(1, fine, out=fine, where=bit == 0)
+        logs = np.log(np.maximum(fine, np.float32(1e-4), out=fine), out=fine)
+        # Learn from this segment.
+        error = bit - p
+        total = np.maximum(np.bincount(place, minlength=sets), 1)
+        for w, value in zip(weights, x, strict=True):
+            w[:sets] += self.rates[0] * np.bincount(place, error * value, sets) / total
+        cell += odds > 0.5
+        hits = np.bincount(cell, minlength=sets * CELLS)
+        drift = np.bincount(cell, bit - refined.take(cell), sets * CELLS)
+        refined[: sets * CELLS] += self.rates[1] * drift / (1 + self.rates[1] * hits)
+        np.add.at(own.ravel(), 2 * mine + bit, np.uint16(1))
+        return logs
+
+
+# ---- spelling
+
+#: Hashed slots of each spelling predictor, as powers of two: one to three bytes back with the kind, four bytes back, the token so far.
+TABLES = (18, 20, 21, 20, 22)
+OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
+#: Inputs: the predictors and a bias. Gates: the whole token's table, the three-byte table, the place in the token.
+SPELL_INPUTS, SPELL_GATES = len(TABLES) + 1, 4 * 4 * 3
+
+
+class Letters:
+    """All bits of some spelled tokens, each followed by a blank: slots, the bit, its token and its place."""
+
+    def __init__(self, tokens: list[bytes], kinds: np.ndarray):
+        raw = [t + b" " for t in tokens]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sizes = np.array([len(t) for t in raw], np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        at = np.arange(len(data)) - np.repeat(first, sizes)
+        wide = data.astype(np.uint64) + np.uint64(1)
+        kind = np.repeat(np.asarray(kinds).astype(np.uint64) + np.uint64(1), sizes) * _A
+        zero = np.zeros(1, np.uint64)
+        contexts, running = [], np.zeros(len(data), np.uint64)
+        for n in range(1, 5):
+            back = np.concatenate([np.repeat(zero, n), wide[:-n]]) if len(data) > n else np.zeros(len(data), np.uint64)
+            running = running * np.uint64(257) + np.where(at >= n, back, np.uint64(0))
+            contexts.append((running * _A) ^ kind if n < 4 else running * _A)
+        powers = np.cumprod(np.concatenate([[1], np.full(max(0, len(data) - 1), 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
+        inverse = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+        lows = np.cumprod(np.concatenate([[1], np.full(max(0, len(data) - 1), inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        sums = np.concatenate([zero, np.cumsum(wide * powers, dtype=np.uint64)])[: len(data)]
+        so_far = (sums - sums[np.repeat(first, sizes)]) * lows[np.repeat(first, sizes)] if len(data) else zero[:0]
+        contexts.append((so_far ^ (so_far >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+        shift = np.arange(7, -1, -1, dtype=np.uint8)
+        self.bit = ((data[:, None] >> shift) & 1).ravel().astype(np.int8)
+        node = ((256 | data.astype(np.int64))[:, None] >> (shift.astype(np.int64) + 1)).astype(np.uint64)
+        self.slots = np.empty((len(TABLES), node.size), np.int64)
+        mixed = node * _B
+        for i, (context, b) in enumerate(zip(contexts, TABLES, strict=True)):
+            x = (context[:, None] ^ mixed) * _C
+            self.slots[i] = (x >> np.uint64(64 - b)).astype(np.int64).ravel() + OFFSETS[i]
+        self.place = np.repeat(np.minimum(at, 2), 8)
+        self.first = 8 * first  # of each token's bits
+
+
+@dataclass
+class Speller:
+    """Counts of all tables, mixing weights by gate, refinement by gate."""
+
+    counts: np.ndarray
+    weights: np.ndarray
+    refined: np.ndarray
+
+    @classmethod
+    def fresh(cls, counts: np.ndarray) -> Speller:
+        weights = np.full((SPELL_GATES, SPELL_INPUTS), 0.3)
+        weights[:, -1] = 0
+        return cls(counts, weights, np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, CELLS))), (SPELL_GATES, 1)))
+
+    def inputs(self, letters: Letters, without_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds by bit and predictor, and the gate of each bit."""
+        x = np.empty((letters.bit.size, SPELL_INPUTS), np.float32)
+        seen, bit = [], letters.bit.astype(np.int32)
+        for i, slots in enumerate(letters.slots):
+            n0, n1 = self.counts.take(slots, axis=0).astype(np.int32).T
+            if without_own:
+                n1, n0 = np.maximum(n1 - bit, 0), np.maximum(n0 - (1 - bit), 0)
+            np.subtract(LOG.take(n1), LOG.take(n0), out=x[:, i])
+            if i in (2, len(TABLES) - 1):
+                seen.append(GRADE.take(n0 + n1).astype(np.int64))
+        x[:, -1] = 1
+        return np.clip(x, -8, 8, out=x), (seen[1] * 4 + seen[0]) * 3 + letters.place
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Log odds of a one after mixing."""
+        odds = np.zeros(len(gate))
+        for i in range(SPELL_INPUTS):
+            odds += self.weights[:, i][gate] * x[:, i]
+        return np.clip(odds, -8, 8)
+
+    def probability(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The mixed probability averaged with its refinement."""
+        spot = (odds + 8) * ((CELLS - 1) / 16)
+        low = np.minimum(spot.astype(np.int64), CELLS - 2)
+        part, flat = spot - low, gate * CELLS + low
+        fine = self.refined.ravel()[flat] * (1 - part) + self.refined.ravel()[flat + 1] * part
+        return np.clip(0.5 / (1 + np.exp(-odds)) + 0.5 * fine, 1e-5, 1 - 1e-5)
+
+    def learn(self, tokens: list[bytes], kinds: np.ndarray, rate: float, step: int = 512) -> Speller:
+        """Online gradient steps over tokens that the tables have counted, `step` tokens at a time."""
+        for a, b in _chunks(len(tokens), step):
+            letters = Letters(tokens[a:b], kinds[a:b])
+            x, gate = self.inputs(letters, without_own=True)
+            odds = self.mixed(x, gate)
+            error = letters.bit - 1 / (1 + np.exp(-odds))
+            sums = np.stack([np.bincount(gate, error * x[:, i], SPELL_GATES) for i in range(SPELL_INPUTS)], axis=1)
+            self.weights += rate * sums / np.maximum(1, np.bincount(gate, minlength=SPELL_GATES))[:, None]
+            cell = np.rint((odds + 8) * ((CELLS - 1) / 16)).astype(np.int64) + gate * CELLS
+            hits = np.bincount(cell, minlength=SPELL_GATES * CELLS)
+            drift = np.bincount(cell, letters.bit - self.refined.ravel()[cell], SPELL_GATES * CELLS)
+            self.refined += (0.02 * drift / (1 + 0.02 * hits)).reshape(SPELL_GATES, CELLS)
+        return self
+
+    def log10(self, tokens: list[bytes], kinds: np.ndarray) -> np.ndarray:
+        """The log10 probability of each token's spelling."""
+        out = np.zeros(len(tokens))
+        for a, b in _chunks(len(tokens)):
+            letters = Letters(tokens[a:b], kinds[a:b])
+            x, gate = self.inputs(letters)
+            p = self.probability(self.mixed(x, gate), gate)
+            out[a:b] = np.add.reduceat(np.log10(np.where(letters.bit == 1, p, 1 - p)), letters.first)
+        return out
+
+
+def _in_kinds(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """A batch's tokens, once for each kind of text they stand in, and the kinds."""
+    at, kind = np.nonzero((batch.column("kinds").to_numpy()[:, None] >> np.arange(KINDS)) & 1)
+    tokens = batch.column("token").to_pylist()
+    return [tokens[i] for i in at.tolist()], kind
 
 
-def score_texts(docs: DataFrame, block_bytes: int = 24_000_000) -> DataFrame:
+def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(2 * int(OFFSETS[-1]), np.uint32)
+    for batch in batches:
+        tokens, kinds = _in_kinds(batch)
+        for a, b in _chunks(len(tokens)):
+            letters = Letters(tokens[a:b], kinds[a:b])
+            for slots in letters.slots:
+                np.add.at(counts, 2 * slots + letters.bit, ONE)
+    yield from _rows_of(counts)
+
+
+def _learn_letters(batches: Iterator[pa.RecordBatch], counts, rate: float, every: int) -> Iterator[pa.RecordBatch]:
+    """One task's learner of spelling; tokens come in the order of their hashes."""
+    speller, seen = Speller.fresh(counts.value), 0
+    for batch in batches:
+        tokens, kinds = _in_kinds(batch)
+        for i, (a, b) in enumerate(_chunks(len(tokens), 512)):
+            if i % every == 0:
+                speller.learn(tokens[a:b], kinds[a:b], rate)
+                seen += b - a
+    flat = np.concatenate([speller.weights.ravel(), speller.refined.ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["place", "value", "seen"])
+
+
+# ---- scoring
+
+SCORED = (
+    "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, "
+    "segments array<struct<at:int,past:long,self:long,coded:double,base:double,known:int>>, "
+    "spelled array<struct<at:int,token:binary,kind:int>>"
+)
+
+
+def _lists(ends: np.ndarray, columns: dict[str, pa.Array]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def _score(batches: Iterator[pa.RecordBatch], code, counts, votes: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Code bits and base scores by segment, the hashes of the segment and the one before, and what is to be spelled."""
+    book: Code = code.value
+    mixer = Mixer(book, counts.value)
+    for batch, texts in _read(batches, votes):
+        coded = Coded(texts, book, ~batch.column("held_out").to_numpy(zero_copy_only=False))
+        logs, begin = mixer.run(texts, coded), texts.cuts[:-1]
+        own = np.array([xxhash.xxh64_intdigest(x) for x in texts.joined], np.uint64).view(np.int64)
+        past = np.concatenate([own[:1], own[:-1]])
+        past[texts.segments[:-1]] = 0
+        segment = np.repeat(np.arange(len(begin)), np.diff(texts.cuts))
+        at = (np.arange(len(begin)) - np.repeat(texts.segments[:-1], np.diff(texts.segments))).astype(np.int32)
+        where = segment[coded.spelled]
+        text_ends = np.searchsorted(coded.spelled, texts.first)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(k) for k in ("row", "doc_id", "held_out")),
+                pa.array(texts.sizes, pa.int64()),
+                batch.column("n_bytes"),
+                _lists(np.array(texts.segments), {
+                    "at": pa.array(at), "past": pa.array(past), "self": pa.array(own), "coded": pa.array(np.add.reduceat(logs, begin)),
+                    "base": pa.array(np.add.reduceat(base[coded.symbols], begin)),
+                    "known": pa.array(np.add.reduceat((coded.symbols > 0).astype(np.int32), begin), pa.int32()),
+                }),
+                _lists(text_ends, {
+                    "at": pa.array(at[where], pa.int32()), "token": pa.array([texts.words[i] for i in coded.spelled.tolist()], pa.binary()),
+                    "kind": pa.array(texts.kind[where], pa.int32()),
+                }),
+            ],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "segments", "spelled"],
+        )
+
+
+def _spell(batches: Iterator[pa.RecordBatch], speller, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """What spelled tokens add to their segments; a token that stands there again in the same kind is computed once a batch."""
+    for batch in batches:
+        pairs: dict[tuple[bytes, int], int] = {}
+        spot = np.array([pairs.setdefault(x, len(pairs)) for x in zip(batch.column("token").to_pylist(), batch.column("kind").to_pylist(), strict=True)], np.int64)
+        logs = speller.value.log10([t for t, _ in pairs], np.array([k for _, k in pairs], np.int64))
+        c = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("at"), pa.array(logs[spot]), pa.array(np.log10((c + 1) / (total + distinct + 1))), pa.array((c > 0).astype(np.int32))],
+            names=["row", "at", "coded", "base", "known"],
+        )
+
+
+def score_texts(docs: DataFrame, code_words: int = CODE_WORDS, learn_every: int = 1) -> DataFrame:
     """Score every row of docs(doc_id, text); learns from rows that are not held out.
 
     Held out are rows whose crc32 of doc_id, written as text, is 2 modulo 7 (a null id counts as
     the empty text). Tokens are words between blanks after lower-casing A-Z, and one end; null is
     the empty text, which is the end alone. Returns doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (log10 of the add-one unigram probability), score (log10
-    probability by the model), bits_per_byte (over the tokens with one blank between them).
+    probability by the model), bits_per_byte (of the text and its end).
     Repeated rows and ids are learnt and scored as they stand; other columns are ignored.
+
+    `code_words` bounds the code; rarer tokens are spelled, none is left out. The driver gets
+    the code's tokens and tables of a fixed number of slots. One in `learn_every`
+    distinct training tokens teaches the weights of spelling.
+    A training text is scored with its own bits taken out of the counts, one at a time, so that
+    its score compares with a held-out one's.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("held_out", crc_remainder(F.col("doc_id"), 7) == 2)
-    centres = fit_classes(texts)
-    encoded = materialise(texts.mapInArrow(partial(_encode, centres=centres, block_bytes=block_bytes), ENCODED), "lm-blocks")
-    listed = encoded.filter("kind = 1").select("block", "token", "code", *COUNTS)
-    vocabulary = listed.groupBy("token").agg(*(F.sum(k).alias(k) for k in COUNTS)).withColumn("c", sum(F.col(k) for k in COUNTS))
-    vocabulary = materialise(vocabulary, "lm-vocabulary")
-    distinct, *totals = vocabulary.agg(F.count(F.when(F.col("c") > 0, 1)), *(F.coalesce(F.sum(k), F.lit(0)) for k in COUNTS)).first()
-    tables = docs.sparkSession.sparkContext.broadcast(count_tables(vocabulary, distinct))
-    weights, refined = learn_mixing(vocabulary, distinct, tables)
-    scored = vocabulary.select("token", *COUNTS).mapInArrow(partial(_score_tokens, tables=tables, weights=weights, refined=refined), "token binary, counts binary, logp float")
-    sizes = listed.select("block", "token", "code").join(scored, "token").select("block", "code", "counts", "logp", F.octet_length("token").alias("bytes"))
-    documents = encoded.filter("kind = 0").select(F.col("block").alias("home"), "doc_id", "held_out", "n_tokens", "codes")
-    return documents.groupBy("home").cogroup(sizes.groupBy("block")).applyInArrow(
-        partial(_score_block, totals=totals, distinct=distinct),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
-    )
+    training = texts.filter("not held_out").select("text")
+    votes = votes_of(fit_classes(texts))
+    listed = training.mapInArrow(partial(_count_tokens, votes=votes), "token binary, n long, kinds int")
+    vocabulary = materialise(listed.groupBy("token").agg(F.sum("n").alias("n"), F.bit_or("kinds").alias("kinds")), "lm-vocabulary")
+    distinct, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = vocabulary.select("token", "n").orderBy(F.desc("n"), "token").limit(code_words).toArrow()
+    n_top = top["n"].to_numpy() if len(top) else np.zeros(0, np.int64)
+    escapes = total - n_top.sum() + (n_top == 1).sum() + 1
+    code = spark.sparkContext.broadcast(Code([bytes(t) for t in top["token"].to_pylist()], np.concatenate([[escapes], n_top])))
+    base = np.log10((np.concatenate([[0], n_top]) + 1) / (total + distinct + 1))
+    base[0] = 0.0
+    counts = spark.sparkContext.broadcast(count_tables(training, code, votes))
+    # Spelling is counted and learnt on distinct training tokens, by kind of text.
+    letters = np.zeros((int(OFFSETS[-1]), 2), np.uint16)
+    words = vocabulary.select("token", "kinds")
+    if distinct:
+        counted = words.coalesce(1 + distinct // 1_000_000).mapInArrow(_count_letters, "block long, width int, counts binary")
+        letters = halved(gathered(counted, 2 * int(OFFSETS[-1])))
+    speller = Speller.fresh(letters)
+    if distinct:
+        sent = spark.sparkContext.broadcast(letters)
+        ordered = words.coalesce(1 + distinct // 250_000).sortWithinPartitions(F.xxhash64("token"), "token")
+        learners = ordered.mapInArrow(partial(_learn_letters, counts=sent, rate=0.5, every=learn_every), "place long, value double, seen long")
+        means = learners.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("mean")).toArrow().sort_by("place")["mean"].to_numpy()
+        speller.weights, speller.refined = means[: SPELL_GATES * SPELL_INPUTS].reshape(SPELL_GATES, -1), means[SPELL_GATES * SPELL_INPUTS :].reshape(SPELL_GATES, -1)
+    rows = texts.withColumns({"row": F.monotonically_increasing_id(), "n_bytes": F.octet_length("text").cast("long")})
+    scored = materialise(rows.mapInArrow(partial(_score, code=code, counts=counts, votes=votes, base=base), SCORED), "lm-scored")
+    # Each spelled token meets its count in training; tokens of the code are not among them.
+    rare = scored.select("row", F.explode("spelled").alias("x")).select("row", "x.at", "x.token", "x.kind")
+    met = rare.join(vocabulary.select("token", "n"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    spelled = met.mapInArrow(partial(_spell, speller=spark.sparkContext.broadcast(speller), total=total, distinct=distinct), "row long, at int, coded double, base double, known int")
+    parts = scored.select("row", "held_out", F.explode("segments").alias("x")).select("row", "held_out", "x.*").withColumn("pair", F.xxhash64("past", "self"))
+    pairs = parts.filter("not held_out").groupBy("pair").agg(F.first("past").alias("past"), F.count("*").alias("n"))
+    pairs = materialise(pairs, "lm-segments")
+    after = pairs.groupBy("past").agg(F.sum("n").alias("n_past"), F.count("*").alias("pairs"))
+    pairs = materialise(join_skewed(pairs, after, "past", "pairs").select("pair", "n", "n_past", F.col("n").alias("rows")), "lm-copies")
+    copied = join_skewed(parts, pairs, "pair", "rows", "left")
+    others = F.col("n") - F.when(F.col("held_out"), 0).otherwise(1)
+    copied = copied.withColumn("copy", F.when(others > 0, others / (F.col("n_past") - F.col("n") + others)))
+    both = copied.select("row", "at", "coded", "base", "known", "copy").unionByName(spelled.withColumn("copy", F.lit(None).cast("double")))
+    by_segment = both.repartition("row").groupBy("row", "at").agg(*(F.sum(k).alias(k) for k in ("coded", "base", "known")), F.max("copy").alias("copy"))
+    # A segment is a copy or it is coded: the sum of both, by its larger part.
+    plain, copy = F.col("coded") + F.log10(F.lit(1 - COPY)), F.log10(F.col("copy") * COPY)
+    more, less = F.greatest(plain, copy), F.least(plain, copy)
+    by_segment = by_segment.withColumn("score", F.when(F.col("copy").isNull(), plain).otherwise(more + F.log10(1 + F.pow(F.lit(10.0), F.greatest(less - more, F.lit(-300.0))))))
+    by_row = by_segment.groupBy("row").agg(F.sum("score").alias("score"), F.sum("base").alias("base_score"), F.sum("known").alias("n_known"))
+    heads = scored.select("row", "doc_id", "held_out", "n_tokens", "n_bytes")
+    return heads.join(by_row, "row").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+    )
