@@ -372,21 +372,6 @@ def _count_bits(batches: Iterator[pa.RecordBatch], code, votes: np.ndarray) -> I
     yield from _rows_of(np.concatenate([counts, symbols]))
 
 
-def _merge_blocks(table: pa.Table) -> pa.Table:
-    """The sum of one block's rows."""
-    total = sum(np.frombuffer(x, f"<u{w}").astype(np.uint64) for x, w in zip(table["counts"].to_pylist(), table["width"].to_pylist(), strict=True))
-    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def gathered(counted: DataFrame, size: int) -> np.ndarray:
-    """The merged blocks as one array; its fixed size bounds what reaches the driver."""
-    out = np.zeros(size, np.uint64)
-    for r in counted.groupBy("block").applyInArrow(_merge_blocks, "block long, counts binary").toLocalIterator():
-        part = np.frombuffer(r["counts"], np.uint64)
-        out[r["block"] * 2 * BLOCK : r["block"] * 2 * BLOCK + len(part)] = part
-    return out
-
-
 def halved(total: np.ndarray) -> np.ndarray:
     """(slots, 2) counts in 16 bits: both of a slot are halved until they fit."""
     total = total.reshape(-1, 2).copy()
@@ -395,13 +380,34 @@ def halved(total: np.ndarray) -> np.ndarray:
     return total.astype(np.uint16)
 
 
+def _merge_blocks(table: pa.Table, pairs: int) -> pa.Table:
+    """The sum of one block's rows; the first `pairs` blocks hold pairs, which are halved to 16 bits."""
+    block = table["block"][0].as_py()
+    total = sum(np.frombuffer(x, f"<u{w}").astype(np.uint64) for x, w in zip(table["counts"].to_pylist(), table["width"].to_pylist(), strict=True))
+    return pa.table({"block": pa.array([block], pa.int64()), "counts": pa.array([(halved(total) if block < pairs else total).tobytes()], pa.binary())})
+
+
+def gathered(counted: DataFrame, slots: int, others: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The merged blocks as (slots, 2) counts in 16 bits and `others` whole ones; their fixed number bounds what reaches the driver."""
+    pairs, whole = np.zeros(2 * slots, np.uint16), np.zeros(others, np.uint64)
+    merged = counted.groupBy("block").applyInArrow(partial(_merge_blocks, pairs=slots // BLOCK), "block long, counts binary")
+    for r in merged.toLocalIterator():
+        at = r["block"] * 2 * BLOCK
+        if at < 2 * slots:
+            part = np.frombuffer(r["counts"], np.uint16)
+            pairs[at : at + len(part)] = part
+        else:
+            part = np.frombuffer(r["counts"], np.uint64)
+            whole[at - 2 * slots : at - 2 * slots + len(part)] = part
+    return pairs.reshape(-1, 2), whole
+
+
 def count_tables(training: DataFrame, code, votes: np.ndarray) -> np.ndarray:
     """(slots, 2) counts of zeros and ones over all training texts: by node, by kind and node, and by hashed context and node."""
     book: Code = code.value
-    hashed = 2 * sum(1 << b for b in PAST_BITS)
     counted = training.mapInArrow(partial(_count_bits, code=code, votes=votes), "block long, width int, counts binary")
-    found = gathered(counted, hashed + KINDS * (book.inner + 1))
-    return halved(np.concatenate([by_node(book, found[hashed:]), found[:hashed]]))
+    pairs, symbols = gathered(counted, sum(1 << b for b in PAST_BITS), KINDS * (book.inner + 1))
+    return np.concatenate([halved(by_node(book, symbols)), pairs])
 
 
 def by_node(code: Code, symbols: np.ndarray) -> np.ndarray:
@@ -764,7 +770,7 @@ def score_texts(docs: DataFrame, code_words: int = CODE_WORDS, learn_every: int
     words = vocabulary.select("token", "kinds")
     if distinct:
         counted = words.coalesce(1 + distinct // 1_000_000).mapInArrow(_count_letters, "block long, width int, counts binary")
-        letters = halved(gathered(counted, 2 * int(OFFSETS[-1])))
+        letters, _ = gathered(counted, int(OFFSETS[-1]))
     speller = Speller.fresh(letters)
     if distinct:
         sent = spark.sparkContext.broadcast(letters)

@@ -1,23 +1,33 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
 Base patterns give spans that always stay. High-recall generators propose further, overlapping
-spans; boosted trees over format and context features score them, and a threshold calibrated on
-candidates that the base patterns decide selects what else is redacted. Features are
-discrete, so all candidates of the corpus fit in one table of feature cells, of a size fixed by
-the features, on which the trees are fitted.
+spans. What tells whether a candidate is real is kept apart from what describes it: its check
+(Luhn, ranges, digits, a top-level name, letters with digits) and its exact form make the labels,
+its normalised format and its context make the features. A candidate that a base span or, for a
+secret, an assignment confirms is positive; one that fails its check is negative; one that
+passes it in another form is unlabelled and teaches nothing. Trees boosted on these labels give
+the share of a candidate's likes that pass. As random strings pass a check at a known rate, that
+share tells how likely one that passes is real; a threshold for each kind, set on documents that
+the trees have not seen, selects what is redacted besides.
+
+Features are discrete, so all candidates of the corpus fit in one table of feature cells, of a
+size fixed by the features, on which the trees are fitted.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans: the base ones, and secrets such as access tokens.
+ALL_KINDS = (*KINDS, "secret")
 
 # Each pattern starts where the leftmost match of the plain one would and never backtracks over
 # what it has read: `\G` is the end of the match before.
@@ -31,21 +41,27 @@ BASE = {
 #: Cheap signs without which a base pattern cannot match.
 SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: Generators: wide forms of each kind, also inside or across base matches.
+_AT, _DOT = r"(?: ?[\[(]at[\])] ?|@)", r"(?: ?[\[(](?:dot|\.)[\])] ?|\.)"
 WIDE = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?: ?\[at\] ?| ?\(at\) ?|@)[A-Za-z0-9-]++(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:(?:\.|\[\.\]| \. )[0-9]{1,3}+){3}+(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
-    "phone": r"\+?(?<![0-9])(?:[0-9]{1,3}[ .-]?)?+(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?:{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
+    "ip": r"(?<![0-9])[0-9]{1,4}+(?:(?:\.| ?[\[(](?:dot|\.)[\])] ?| \. | dot )[0-9]{1,4}+){3}+(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?:[ ./_-][0-9]{4}){3}|[0-9]{4}[ ./_-][0-9]{6}[ ./_-][0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+ ?)?+\(?[0-9]++(?:[ ().-]{1,3}+[0-9]++)++",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])",
 }
 WIDE_SIGN = {
-    "email": r"@|\[at\]|\(at\)",
-    "ip": r"[0-9](?:\.|\[\.\]| \. )[0-9]{1,3}(?:\.|\[\.\]| \. )[0-9]",
-    "card": r"[0-9]{13}|[0-9]{4}[ -][0-9]{4}",
-    "phone": r"[0-9][ .)-]{0,2}[0-9]{3}[ .-]?[0-9]{4}",
+    "email": r"@|[\[(]at[\])]| at [A-Za-z0-9-]+ dot ",
+    "ip": r"[0-9](?:\.| ?[\[(](?:dot|\.)[\])] ?| \. | dot )[0-9]",
+    "card": r"[0-9]{13}|[0-9]{4}[ ./_-][0-9]{4}",
+    "phone": r"[0-9][ ().-]{1,3}[0-9]",
+    "secret": r"[A-Za-z0-9_+/-]{16}",
 }
 #: Features of a candidate and how many values each may take: their product bounds the table of cells.
-FEATURES = {"kind": 4, "valid": 2, "digits": 5, "separators": 3, "plus": 2, "before": 5, "after": 5, "cue": 2}
+FEATURES = {"kind": 5, "groups": 6, "gaps": 3, "paren": 2, "tail": 4, "size": 6, "before": 5, "after": 5, "cue": 2}
+#: How often a random string of the generator's form passes the kind's check: Luhn's is one in ten; the others are on the safe side.
+CHANCE = {"email": 0.5, "ip": 0.1, "card": 0.1, "phone": 0.5, "secret": 0.3}
 CUE = r"(?i)(?:card|visa|iban|phone|tel|call|fax|mobile|mail|contact|addr|host|server|ip)[^A-Za-z]{0,12}$"
+ASSIGNED = r"(?i)(?:token|secret|password|passwd|pwd|key|bearer|auth)[^A-Za-z0-9]{1,6}$"
 
 
 def _digits(value: Column) -> Column:
@@ -71,6 +87,7 @@ def octets(value: Column) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
+    """Whether a base match passes its kind's check."""
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
@@ -79,34 +96,70 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(13, 19) & luhn(value) if kind == "card" else n.between(9, 15)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once; lambdas would evaluate it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _normal(kind: str, value: Column) -> Column:
+    """A candidate as it would stand in the base form."""
+    if kind == "email":
+        value = F.regexp_replace(F.regexp_replace(value, r" ?[\[(]at[\])] ?| at ", "@"), r" ?[\[(](?:dot|\.)[\])] ?| dot ", ".")
+    if kind == "ip":
+        value = F.regexp_replace(value, r" ?[\[(](?:dot|\.)[\])] ?| \. | dot ", ".")
+    if kind == "card":
+        value = F.translate(value, "./_-", "    ")
+    return F.regexp_replace(value, r"^\+ ?", "") if kind == "phone" else value
+
+
+def _passes(kind: str, normal: Column) -> Column:
+    """Whether a candidate passes its kind's check."""
+    if kind == "email":
+        return normal.rlike(r"\.[A-Za-z]{2,}$")
+    if kind == "secret":
+        return normal.rlike("[0-9]") & normal.rlike("[A-Za-z]")
+    return _valid(kind, normal)
+
+
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array of numbers. Two levels of about its root keep the copying linear."""
+    def running(array: Column) -> Column:
+        none = F.expr("cast(array() as array<int>)")
+        return F.aggregate(array, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out")))["out"]
+
+    def in_parts(v: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / wide).cast("int") - 1, F.lit(0))), lambda i: running(F.slice(v, i * wide + 1, wide)))
+
+    def joined(inner: Column) -> Column:
+        ends = running(F.transform(inner, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))))
+        return let(F.concat(F.array(F.lit(0)), ends), lambda e: F.flatten(F.transform(inner, lambda p, i: let(F.get(e, i), lambda add: F.transform(p, lambda x: x + add)))))
+
+    return let(values, lambda v: let(in_parts(v), joined))
+
+
 def matches(text: Column, pattern: str, sign: str) -> Column:
-    """Non-overlapping matches as array<struct<start, stop, value>>, in code points."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
-    walked = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(x["value"].isNull(), s["out"]).otherwise(
-                F.array_append(
-                    s["out"],
-                    F.struct(
-                        (s["at"] + F.length(x["piece"])).alias("start"),
-                        (s["at"] + F.length(x["piece"]) + F.length(x["value"])).alias("stop"),
-                        x["value"].alias("value"),
-                    ),
-                )
-            ).alias("out"),
-        ),
-    )
-    return F.when(text.rlike(sign), walked["out"]).otherwise(none)
+    """Non-overlapping matches as array<struct<start, stop, value, ahead, behind>>: places in code points, up to 24 characters ahead, one behind."""
+    kind = "array<struct<start:int,stop:int,value:string,ahead:string,behind:string>>"
+
+    def spans(v: Column) -> Column:
+        def span(stop: Column, i: Column) -> Column:
+            m = F.get(v["found"], i)
+            ahead = F.concat(F.coalesce(F.get(v["found"], i - 1), F.lit("")), F.get(v["pieces"], i))
+            behind = F.concat(F.get(v["pieces"], i + 1), F.coalesce(F.get(v["found"], i + 1), F.lit("")))
+            return F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("value"), F.right(ahead, F.lit(24)).alias("ahead"), F.left(behind, F.lit(1)).alias("behind"))
+
+        stops = prefix_sums(F.transform(v["found"], lambda m, i: F.length(F.get(v["pieces"], i)) + F.length(m)))
+        return F.transform(stops, span)
+
+    cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(sign), let(cut, spans)).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """The base spans of a kind: the pattern's matches that pass the kind's check."""
-    return F.filter(matches(text, BASE[kind], SIGN[kind]), lambda x: _valid(kind, x["value"]))
+    found = F.filter(matches(text, BASE[kind], SIGN[kind]), lambda x: _valid(kind, x["value"]))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
 
 
 def _edge(char: Column) -> Column:
@@ -116,24 +169,31 @@ def _edge(char: Column) -> Column:
 
 
 def candidates(text: Column, kind: str) -> Column:
-    """The generator's spans of a kind with their features."""
-    def features(x: Column) -> Column:
-        n = F.length(_digits(x["value"]))
-        gaps = F.array_distinct(F.regexp_extract_all(x["value"], F.lit("[^0-9A-Za-z]"), F.lit(0)))
-        ahead = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+    """The generator's spans of a kind, with features, and whether they pass their check and stand assigned."""
+    def features(x: Column, normal: Column, groups: Column) -> Column:
+        last, other = F.length(F.try_element_at(groups, F.lit(-1))), F.length(F.try_element_at(groups, F.lit(-2)))
+        n = F.length(normal)
         return F.struct(
             x["start"].alias("start"),
             x["stop"].alias("stop"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            _valid(kind, x["value"]).cast("int").alias("valid"),
-            F.when(n < 9, 0).when(n < 13, 1).when(n < 16, 2).when(n == 16, 3).otherwise(4).alias("digits"),
-            F.least(F.size(gaps), F.lit(2)).alias("separators"),
-            x["value"].startswith("+").cast("int").alias("plus"),
-            _edge(F.substring(ahead, -1, 1)).alias("before"),
-            _edge(F.substring(text, x["stop"] + 1, F.lit(1))).alias("after"),
-            ahead.rlike(CUE).cast("int").alias("cue"),
+            F.lit(ALL_KINDS.index(kind)).alias("kind"),
+            F.lit(False).alias("base"),
+            _passes(kind, normal).alias("passes"),
+            (x["ahead"].rlike(ASSIGNED) if kind == "secret" else F.lit(False)).alias("assigned"),
+            F.least(F.size(groups), F.lit(5)).alias("groups"),
+            F.least(F.size(F.array_distinct(F.regexp_extract_all(normal, F.lit("[^0-9A-Za-z]"), F.lit(0)))), F.lit(2)).alias("gaps"),
+            normal.contains("(").cast("int").alias("paren"),
+            F.when(F.size(groups) < 2, 0).when((last == 4) & (other == 3), 1).when((last == 4) & (other == 4), 2).otherwise(3).alias("tail"),
+            F.when(n < 8, 0).when(n < 12, 1).when(n < 16, 2).when(n < 20, 3).when(n < 32, 4).otherwise(5).alias("size"),
+            _edge(F.right(x["ahead"], F.lit(1))).alias("before"),
+            _edge(x["behind"]).alias("after"),
+            (F.lit(0) if kind == "secret" else x["ahead"].rlike(CUE).cast("int")).alias("cue"),
         )
-    return F.transform(matches(text, WIDE[kind], WIDE_SIGN[kind]), features)
+
+    def described(x: Column) -> Column:
+        return let(_normal(kind, x["value"]), lambda n: let(F.filter(F.split(n, "[^0-9A-Za-z]+", -1), lambda g: g != ""), lambda g: features(x, n, g)))
+
+    return F.transform(matches(text, WIDE[kind], WIDE_SIGN[kind]), described)
 
 
 @dataclass
@@ -144,8 +204,8 @@ class Boosted:
     trees: list[tuple] = field(default_factory=list)  # (feature, value, (feature, value, yes, no), (..., ...))
     thresholds: dict[int, float] = field(default_factory=dict)
 
-    def fit(self, cells: list[tuple[dict[str, int], float, float]], rounds: int, rate: float, precision: float) -> Boosted:
-        """cells: features, candidates in the cell, those among them that base spans confirm."""
+    def fit(self, cells: list[tuple[dict[str, int], float, float]], rounds: int, rate: float) -> Boosted:
+        """cells: features, labelled candidates in the cell, positive ones among them."""
         total, good = sum(n for _, n, _ in cells) + 2.0, sum(p for _, _, p in cells) + 1.0
         self.bias = math.log(good / (total - good))
         margin = [self.bias] * len(cells)
@@ -176,28 +236,35 @@ class Boosted:
                 sides.append((k2, v2, leaf(yes), leaf(no)))
             self.trees.append((k, v, *sides))
             margin = [m + self._tree(self.trees[-1], x) for (x, _, _), m in zip(cells, margin, strict=True)]
-        self._calibrate(cells, margin, precision)
         return self
 
+    def margin(self, x: dict[str, int]) -> float:
+        return self.bias + sum(self._tree(t, x) for t in self.trees)
+
     @staticmethod
     def _tree(tree: tuple, x: dict[str, int]) -> float:
         k, v, yes, no = tree
         k2, v2, a, b = yes if x[k] == v else no
         return a if x[k2] == v2 else b
 
-    def _calibrate(self, cells: list, margin: list[float], precision: float) -> None:
-        """By kind, the lowest margin above which confirmed candidates make up `precision` of all."""
-        for kind in range(len(KINDS)):
-            rows = sorted(((m, n, p) for (x, n, p), m in zip(cells, margin, strict=True) if x["kind"] == kind), reverse=True)
-            self.thresholds[kind], seen, sure = math.inf, 0.0, 0.0
+    def calibrate(self, cells: list[tuple[dict[str, int], float, float]], precision: float) -> Boosted:
+        """By kind, the lowest margin at which candidates of unseen cells that pass their check are real at `precision`.
+
+        Where a share of them passes and random ones pass at a rate q, (share - q) / (1 - q) are
+        real, and of those that pass (share - q) / ((1 - q) * share).
+        """
+        for kind, name in enumerate(ALL_KINDS):
+            rows = sorted(((self.margin(x), n, p) for x, n, p in cells if x["kind"] == kind), reverse=True)
+            self.thresholds[kind], seen, sure, q = math.inf, 0.0, 0.0, CHANCE[name]
             for i, (m, n, p) in enumerate(rows):
                 seen, sure = seen + n, sure + p
-                if (i + 1 == len(rows) or rows[i + 1][0] < m) and sure >= precision * seen:
+                if (i + 1 == len(rows) or rows[i + 1][0] < m) and sure and sure / seen - q >= precision * (1 - q) * sure / seen:
                     self.thresholds[kind] = m
+        return self
 
     def selects(self, x: Column) -> Column:
         """Whether the trees' margin for a candidate reaches its kind's threshold."""
-        margin = F.lit(self.bias)
+        margin = F.lit(float(self.bias))
         for k, v, (yk, yv, ya, yb), (nk, nv, na, nb) in self.trees:
             margin = margin + F.when(x[k] == v, F.when(x[yk] == yv, ya).otherwise(yb)).otherwise(F.when(x[nk] == nv, na).otherwise(nb))
         least = F.lit(math.inf)
@@ -206,49 +273,73 @@ class Boosted:
         return margin >= least - 1e-9
 
 
-def _overlaps(x: Column, y: Column) -> Column:
-    return (x["start"] < y["stop"]) & (y["start"] < x["stop"])
+def _touches(x_start: Column, x_stop: Column, among: Column) -> Column:
+    """Whether some span of the same text for which `among` holds overlaps the row's own; spans are rows (row, start, stop)."""
+    up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    behind = F.max(F.when(among, F.col("stop"))).over(up) > x_start
+    return F.coalesce(behind, F.lit(False)) | F.coalesce(F.min(F.when(among, F.col("start"))).over(down) < x_stop, F.lit(False))
 
 
-def personal_data(docs: DataFrame, rounds: int = 24, rate: float = 0.4, precision: float = 0.9) -> DataFrame:
+def label(found: DataFrame) -> DataFrame:
+    """One row for each candidate of found(row, fold, base, wide): its fields, hit (a base span is the same) and free (touches none)."""
+    blank = {k: F.lit(0) for k in FEATURES if k != "kind"}
+    given = F.transform(
+        "base", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"), F.lit(True).alias("base"), F.lit(True).alias("passes"), F.lit(False).alias("assigned"), *(v.alias(k) for k, v in blank.items()))
+    )
+    spans = found.filter(F.size("wide") > 0).select("row", "fold", F.explode(F.concat(given, "wide")).alias("x")).select("row", "fold", "x.*")
+    same = Window.partitionBy("row", "kind", "start", "stop")
+    spans = spans.withColumns({"hit": F.max("base").over(same), "free": ~_touches(F.col("start"), F.col("stop"), F.col("base"))})
+    return spans.filter("not base")
+
+
+def fit_trees(labelled: DataFrame, rounds: int, rate: float, precision: float, folds: int) -> Boosted:
+    """Trees on all folds but the first, thresholds on that one; the cells, bounded by the features, reach the driver."""
+    positive = F.col("hit") | (F.col("free") & F.col("passes") & F.col("assigned"))
+    rows = labelled.withColumn("positive", positive).filter(F.col("positive") | (F.col("free") & ~F.col("passes")))
+    counted = rows.groupBy((F.col("fold") == 0).alias("unseen"), *FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("long")).alias("sure"))
+    cells = [(r["unseen"], {k: r[k] for k in FEATURES}, float(r["n"]), float(r["sure"])) for r in counted.orderBy("unseen", *FEATURES).collect()]
+    model = Boosted().fit([c for unseen, *c in cells if not unseen], rounds, rate)
+    return model.calibrate([c for unseen, *c in cells if unseen], precision)
+
+
+def personal_data(docs: DataFrame, rounds: int = 24, rate: float = 0.4, precision: float = 0.9, folds: int = 4) -> DataFrame:
     """(doc_id, email, ip, card, phone, added) for every row of docs(doc_id, text).
 
     email to phone hold the base spans of a kind as array<struct<start, stop, value>>, start
     and stop in code points; added holds the spans that the trees select beside them, with
-    their kind. A candidate that touches a base span is never added. Null is the empty text;
-    repeated rows and ids stand by themselves; other columns are ignored.
-
-    A candidate is confirmed where a base span is the same span, and refuted where it is not a
-    base span and touches none; candidates that overlap a base span otherwise teach nothing.
+    their kind, in order. Only a candidate that passes its check is added, and never one that
+    touches a base span or a selected span of an earlier kind. Null is the empty text; repeated
+    rows and ids stand by themselves; other columns are ignored. Copies of a text are in one of
+    `folds` folds, as it is the text that deals them out.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select(
+    text = F.col("text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        *(base_spans(F.col("text"), k).alias(k) for k in KINDS),
-        F.concat(*(candidates(F.col("text"), k) for k in KINDS)).alias("wide"),
+        F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"),
+        *(base_spans(text, k).alias(k) for k in KINDS),
+        F.concat(*(candidates(text, k) for k in ALL_KINDS)).alias("wide"),
     )
     found = materialise(found, "pii-candidates")
     base = F.concat(*(of_kind(k) for k in KINDS))
-    marked = F.transform(
-        "wide",
-        lambda x: x.withField("hit", F.exists("base", lambda y: (x["kind"] == y["kind"]) & (x["start"] == y["start"]) & (x["stop"] == y["stop"]))).withField(
-            "free", ~F.exists("base", lambda y: _overlaps(x, y))
-        ),
-    )
-    marked = found.filter(F.size("wide") > 0).withColumn("base", base).select(F.explode(marked).alias("x"))
-    cells = marked.filter("x.hit or x.free").groupBy(*(F.col(f"x.{k}").alias(k) for k in FEATURES)).agg(F.count("*").alias("n"), F.sum(F.col("x.hit").cast("long")).alias("sure"))
-    cells = [({k: r[k] for k in FEATURES}, float(r["n"]), float(r["sure"])) for r in cells.orderBy(*FEATURES).collect()]
-    model = Boosted().fit(cells, rounds, rate, precision)
-    chosen = F.filter("wide", lambda x: model.selects(x) & ~F.exists("base", lambda y: _overlaps(x, y)))
-    added = F.transform(chosen, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    # Wide spans of two kinds may overlap: the earlier kind stays.
-    added = F.filter(added, lambda x: ~F.exists(added, lambda y: (y["kind"] < x["kind"]) & _overlaps(x, y)))
-    return found.withColumn("base", base).select("doc_id", *KINDS, added.alias("added"))
+    labelled = materialise(label(found.withColumn("base", base)), "pii-labelled")
+    model = fit_trees(labelled, rounds, rate, precision, folds)
+    x = {k: F.col(k) for k in FEATURES}
+    chosen = labelled.filter(F.col("free") & F.col("passes") & model.selects(x)).select("row", "kind", "start", "stop")
+    start, stop, kind = F.col("start"), F.col("stop"), F.col("kind")
+    taken = F.lit(False)
+    for k in range(len(ALL_KINDS) - 1):
+        taken = taken | ((kind > k) & _touches(start, stop, kind == k))
+    chosen = chosen.withColumn("taken", taken).filter("not taken")
+    added = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
+    none = F.expr("cast(array() as array<struct<kind:int,start:int,stop:int>>)")
+    return found.select("row", "doc_id", *KINDS).join(added, "row", "left").select("doc_id", *KINDS, F.coalesce("added", none).alias("added"))
 
 
 def span_list(spans: Column) -> Column:
     """kind:start:end of array<struct<kind, start, stop>>, by kind as listed, then start, comma-joined."""
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in ALL_KINDS))
     return F.array_join(
         F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ","
     )
@@ -261,7 +352,7 @@ def of_kind(kind: str) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """text with each span of array<struct<kind, start, stop>> replaced by its kind in brackets; overlapping spans merge."""
-    names = F.array(*(F.lit(k.upper()) for k in KINDS))
+    names = F.array(*(F.lit(k.upper()) for k in ALL_KINDS))
     by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     walked = F.aggregate(
         by_start,

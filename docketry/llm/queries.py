@@ -20,6 +20,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(span_list(base), 256).alias("base_sha256"),
         span_list(F.concat(base, "added")).alias("spans"),
+        (F.size(base) + F.size("added")).cast("long").alias("n_spans"),
     )
 
 
