@@ -390,7 +390,7 @@ def _merge_blocks(table: pa.Table, pairs: int) -> pa.Table:
 def gathered(counted: DataFrame, slots: int, others: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The merged blocks as (slots, 2) counts in 16 bits and `others` whole ones; their fixed number bounds what reaches the driver."""
     pairs, whole = np.zeros(2 * slots, np.uint16), np.zeros(others, np.uint64)
-    merged = counted.groupBy("block").applyInArrow(partial(_merge_blocks, pairs=slots // BLOCK), "block long, counts binary")
+    merged = counted.groupBy("block").applyInArrow(lambda table: _merge_blocks(table, slots // BLOCK), "block long, counts binary")
     for r in merged.toLocalIterator():
         at = r["block"] * 2 * BLOCK
         if at < 2 * slots:

@@ -248,18 +248,31 @@ class Boosted:
         return a if x[k2] == v2 else b
 
     def calibrate(self, cells: list[tuple[dict[str, int], float, float]], precision: float) -> Boosted:
-        """By kind, the lowest margin at which candidates of unseen cells that pass their check are real at `precision`.
-
-        Where a share of them passes and random ones pass at a rate q, (share - q) / (1 - q) are
-        real, and of those that pass (share - q) / ((1 - q) * share).
+        """A threshold for each kind, from unseen cells, above which candidates that pass their check are real at `precision`.
+
+        Where a share passes and random ones pass at a rate q, (share - q) / (1 - q) are real, and
+        of those that pass (share - q) / ((1 - q) * share); so the share must reach
+        q / (1 - precision * (1 - q)). The margin is shifted until it foretells the share of all
+        unseen candidates of the kind (half of one is taken for a miss); the threshold is where
+        it foretells the share that is needed, or higher, where unseen cells above fall short.
+        A kind without unseen candidates adds nothing.
         """
         for kind, name in enumerate(ALL_KINDS):
             rows = sorted(((self.margin(x), n, p) for x, n, p in cells if x["kind"] == kind), reverse=True)
-            self.thresholds[kind], seen, sure, q = math.inf, 0.0, 0.0, CHANCE[name]
-            for i, (m, n, p) in enumerate(rows):
-                seen, sure = seen + n, sure + p
-                if (i + 1 == len(rows) or rows[i + 1][0] < m) and sure and sure / seen - q >= precision * (1 - q) * sure / seen:
-                    self.thresholds[kind] = m
+            self.thresholds[kind], q = math.inf, CHANCE[name]
+            if not rows:
+                continue
+            need, total = q / (1 - precision * (1 - q)), sum(n for _, n, _ in rows)
+            target, lo, hi = (sum(p for *_, p in rows) + 0.5) / (total + 1) * total, -20.0, 20.0
+            for _ in range(60):
+                shift = (lo + hi) / 2
+                lo, hi = (shift, hi) if sum(n / (1 + math.exp(-m - shift)) for m, n, _ in rows) < target else (lo, shift)
+            least = math.log(need / (1 - need)) - shift
+            above = [r for r in rows if r[0] >= least]
+            while above and sum(p for *_, p in above) < need * sum(n for _, n, _ in above):
+                least = min((m for m, *_ in above if m > above[-1][0]), default=math.inf)
+                above = [r for r in above if r[0] >= least]
+            self.thresholds[kind] = least
         return self
 
     def selects(self, x: Column) -> Column:

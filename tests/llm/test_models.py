@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docketry.llm import lm_score
@@ -45,18 +46,18 @@ def test_lm_query(spark):
     assert base(found) == plain_base(rows)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
     held = [r for r in found if r["held_out"]]
-    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -6
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert sum(r["bits_per_byte"] for r in held) / len(held) < 3
     texts = dict(rows)
     same = {}
-    for r in found:
+    for r in held:
         assert same.setdefault(texts[r["doc_id"]], round(r["score"], 6)) == round(r["score"], 6)
 
 
 def test_lm_odd_rows(spark):
     rows = [(1, None), (1, None), (2, ""), (3, " \t A a\x0bB"), (None, "word"), (9, "long " * 60_000), (10, "z" * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("token", F.lit(1)).withColumn("code", F.lit(2))
-    found = lm_score.score_texts(df, block_bytes=100_000).collect()
+    found = lm_score.score_texts(df, code_words=4).collect()
     assert base(found) == plain_base(rows)
     assert all(math.isfinite(r["score"]) for r in found)
     assert lm_score.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -77,29 +78,165 @@ def test_classes_learn_from_every_document(spark):
     assert not (kinds[0] & kinds[1] or kinds[0] & kinds[2] or kinds[1] & kinds[2])
 
 
-def test_mixed_bits_are_a_distribution():
-    """Over all continuations of a prefix to a byte, probabilities of the eight bits sum to one."""
-    tokens = [b"the", b"then", b"tea", b"a", lm_score.END] * 3
-    zeros, ones = np.zeros(lm_score.OFFSETS[-1]), np.zeros(lm_score.OFFSETS[-1])
-    bits = lm_score.Bits(tokens)
-    for slots in bits.slots:
-        np.add.at(zeros, slots[bits.bit == 0], 1)
-        np.add.at(ones, slots[bits.bit == 1], 1)
-    mixer = lm_score.Mixer.fresh(zeros.astype(np.float32), ones.astype(np.float32)).learn(tokens, 0.2)
-    every = [bytes([b]) for b in range(256)]
-    # A one-byte string ends with its terminator; the first eight bits alone must sum to one.
-    all_bits = lm_score.Bits(every)
-    x, gate = mixer.inputs(all_bits)
-    p = mixer.probability(mixer.mixed(x, gate), gate)
-    logs = np.log(np.where(all_bits.bit == 1, p, 1 - p))
-    first = [logs[a : a + 8].sum() for a in all_bits.first]
-    assert abs(np.exp(first).sum() - 1) < 1e-6
-    assert mixer.log10([b"the"])[0] > mixer.log10([b"qzx"])[0]
-
-
-def test_unpacked_codes():
-    codes = np.array([0, 1, 255, 256, 65535, 65536, 9_000_000], np.int32)
-    assert (lm_score.unpack(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()) == codes).all()
+KINDLESS = np.zeros((lm_score.PROFILE, lm_score.CLASSES), np.float32)
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def read(texts):
+    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return next(lm_score._read(iter([column]), KINDLESS))[1]
+
+
+def make_code(texts, code_words=1000):
+    counts = Counter(w for t in texts for w in [*t.encode().lower().split(), lm_score.END])
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:code_words]
+    n = np.array([c for _, c in top])
+    return counts, lm_score.Code([t for t, _ in top], np.concatenate([[sum(counts.values()) - n.sum() + (n == 1).sum() + 1], n]))
+
+
+def make_tables(texts, code):
+    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    pairs, whole = np.zeros(2 * sum(1 << b for b in lm_score.PAST_BITS), np.uint64), np.zeros(lm_score.KINDS * (code.inner + 1), np.uint64)
+    for batch in lm_score._count_bits(iter([column]), Sent(code), KINDLESS):
+        for block, width, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at, part = block * 2 * lm_score.BLOCK, np.frombuffer(x, f"<u{width}")
+            if at < len(pairs):
+                pairs[at : at + len(part)] += part
+            else:
+                whole[at - len(pairs) : at - len(pairs) + len(part)] += part
+    return np.concatenate([lm_score.halved(lm_score.by_node(code, whole)), lm_score.halved(pairs)])
+
+
+def plain_mixing(training, text, code, counts, learnt):
+    """log10 of each token's code word, one bit after the other, with contexts as they are and tables as dictionaries."""
+    def path(symbol):
+        a = int(code.first[symbol])
+        return [(int(code.nodes[a + i]), int(code.bits[a + i])) for i in range(int(code.sizes[symbol]))]
+
+    def kind_of(i):  # without votes every later segment is of kind 0
+        return 0 if i >= lm_score.FIRST_CUTS[0] else lm_score.CLASSES
+
+    def contexts(words, i):
+        one = words[i - 1] if i else None
+        return None, ("kind", kind_of(i)), ("one", one), ("two", one, words[i - 2] if i > 1 else one)
+
+    table = Counter()
+    for t in training:
+        words = [*t.encode().lower().split(), lm_score.END]
+        for i, w in enumerate(words):
+            symbols = {code.symbol[w]} | ({0} if counts[w] == 1 else set())
+            for s in symbols:
+                for node, bit in path(s):
+                    for c in contexts(words, i):
+                        table[c, node, bit] += 1
+    weights, refined, own = {}, {}, Counter()
+    words = [*text.encode().lower().split(), lm_score.END]
+    cells, prior = lm_score.CELLS, lm_score.PRIOR
+    start = [1 / (1 + math.exp(-(8 - 0 - 16 * (cells - 1 - k) / (cells - 1)))) for k in range(cells)]
+    out, pending, segment = [], [], 0
+    cuts = lm_score.cuts_of(len(words))
+
+    def grade(n):
+        return (n > 0) + (n > 3) + (n > 30)
+
+    def learn():
+        groups = {}
+        for gate, x, p, cell, bit, slot in pending:
+            groups.setdefault(gate, []).append((x, bit - p))
+        drift = {}
+        for gate, _, _, cell, bit, _ in pending:
+            drift.setdefault((gate, cell), []).append(bit - refined.get((gate, cell), start[cell]))
+        for gate, found in groups.items():
+            w = weights.get(gate, list(lm_score.START))
+            weights[gate] = [w[j] + lm_score.RATES[0] * sum(e * x[j] for x, e in found) / len(found) for j in range(len(w))]
+        for (gate, cell), found in drift.items():
+            refined[gate, cell] = refined.get((gate, cell), start[cell]) + lm_score.RATES[1] * sum(found) / (1 + lm_score.RATES[1] * len(found))
+        for *_, bit, slot in pending:
+            own[slot, bit] += 1
+        pending.clear()
+
+    for i, w in enumerate(words):
+        if i == cuts[segment + 1]:
+            learn()
+            segment += 1
+        symbol = code.symbol[w]
+        if learnt and counts[w] == 1:
+            symbol = 0
+        log = 0.0
+        for node, bit in path(symbol):
+            x, grades = [], []
+            for c in contexts(words, i):
+                n = [max(0, table[c, node, b] - (learnt and b == bit)) for b in (0, 1)]
+                x.append(max(-8, min(8, math.log((n[1] + prior) / (n[0] + prior)))))
+                grades.append(grade(sum(n)))
+            slot = (node * 2654435761 >> 8) & ((1 << lm_score.OWN_BITS) - 1)
+            x += [math.log((own[slot, 1] + prior) / (own[slot, 0] + prior)), 1.0]
+            gate = (grades[3] * 4 + grades[2]) * 2 + (own[slot, 0] + own[slot, 1] > 0)
+            odds = max(-8, min(8, sum(a * b for a, b in zip(weights.get(gate, lm_score.START), x, strict=True))))
+            p = 1 / (1 + math.exp(-odds))
+            spot = (odds + 8) * (cells - 1) / 16
+            low = min(int(spot), cells - 2)
+            at = [refined.get((gate, low + k), start[low + k]) for k in (0, 1)]
+            final = 0.5 * (p + at[0] * (1 - spot + low) + at[1] * (spot - low))
+            log += math.log10(max(1e-4, final if bit else 1 - final))
+            pending.append((gate, x, p, low + (spot - low > 0.5), bit, slot))
+        out.append(log)
+    return out
+
+
+def test_mixing_equals_one_bit_after_the_other():
+    training = ["the cat sat on the mat the cat ran", "a cat and the dog sat on a mat", "the dog ran " * 40, "new words once only"]
+    texts = ["the cat sat on the mat and the bird ran", "the dog ran on the mat " * 30, "", "new words once only"]
+    counts, code = make_code(training)
+    tables = make_tables(training, code)
+    for learnt in (False, True):
+        found = read(texts)
+        logs = lm_score.Mixer(code, tables).run(found, lm_score.Coded(found, code, np.full(len(texts), learnt)))
+        expected = [x for t in texts for x in plain_mixing(training, t, code, counts, learnt)]
+        assert np.abs(logs - expected).max() < 0.01
+
+
+def test_code_words_share_out_all_probability():
+    """Whatever has come before, the code words of all symbols have probabilities that sum to one."""
+    training = ["the cat sat on the mat " * 5, "a dog ran over the mat", "once"]
+    _, code = make_code(training)
+    assert abs(sum(0.5 ** int(n) for n in code.sizes) - 1) < 1e-12
+    tables = make_tables(training, code)
+    total = 0.0
+    for word in [*code.tokens, b"unheard"]:
+        found = read([f"the cat {word.decode()}" if word != lm_score.END else "the cat"])
+        total += 10 ** lm_score.Mixer(code, tables).run(found, lm_score.Coded(found, code, np.zeros(1, bool)))[2]
+    assert abs(total - 1) < 0.01
+
+
+def test_spelling_is_a_distribution():
+    tokens = [b"the", b"then", b"tea", b"a"] * 3
+    letters, counts = lm_score.Letters(tokens, np.zeros(12, np.int64)), np.zeros((int(lm_score.OFFSETS[-1]), 2), np.uint16)
+    for slots in letters.slots:
+        np.add.at(counts, (slots, letters.bit), 1)
+    speller = lm_score.Speller.fresh(counts).learn(tokens, np.zeros(12, np.int64), 0.2)
+    every = lm_score.Letters([bytes([b]) for b in range(256)], np.zeros(256, np.int64))
+    x, gate = speller.inputs(every)
+    p = speller.probability(speller.mixed(x, gate), gate)
+    logs = np.log(np.where(every.bit == 1, p, 1 - p))
+    assert abs(np.exp([logs[a : a + 8].sum() for a in every.first]).sum() - 1) < 1e-6
+    assert speller.log10([b"the"], np.zeros(1, np.int64))[0] > speller.log10([b"qzx"], np.zeros(1, np.int64))[0]
+
+
+def test_copies_are_cheap(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 300, p=np.arange(400, 0, -1) / 80200)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1001, texts[3]), (1002, texts[5])]
+    found = {r["doc_id"]: r for r in lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone = [found[i]["bits_per_byte"] for i in range(60) if i not in (3, 5)]
+    pairs = [(3, 1001), (5, 1002)]
+    assert all(not found[i]["held_out"] for pair in pairs for i in pair)
+    assert max(found[i]["bits_per_byte"] for pair in pairs for i in pair) < min(alone) / 2
 
 
 def test_languages_query(spark):
