@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialise, read_table
+from docketry.llm.common import fresh_name, materialise, read_table
 from docketry.llm.decontam import contamination
 from docketry.llm.exact_dedup import exact_duplicates
 from docketry.llm.lang_id import UNKNOWN, identify_languages
@@ -19,45 +19,45 @@ from docketry.llm.simhash_dedup import near_duplicates
 
 #: Up to so many dropped rows (8 bytes each) are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: The key of a stage's input rows: doc_id may be null or repeated.
-ROW = "_row"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that is unique by row, written so that it stays the same."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key that is unique by row, written so that it stays the same, and the key's name."""
+    key = fresh_name(docs.columns, "row_key")
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """keyed without the rows in dropped, and without the key."""
-    gone = materialise(dropped.select(ROW), "dropped-rows")
+    gone = materialise(dropped.select(key), "dropped-rows")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return keyed.join(gone, ROW, "left_anti").drop(ROW)
+    return keyed.join(gone, key, "left_anti").drop(key)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a recognisable language: null, or without any letter."""
-    found = identify_languages(docs, docs.columns)
-    return found.filter(~F.col("lang_pred").eqNullSafe(F.lit(UNKNOWN))).select(*docs.columns)
+    found, sure = fresh_name(docs.columns, "found"), fresh_name(docs.columns, "sure")
+    told = identify_languages(docs, docs.columns, (found, sure))
+    return told.filter(~F.col(found).eqNullSafe(F.lit(UNKNOWN))).drop(found, sure)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays; of rows that share it too, one."""
-    keyed = _keyed(docs)
-    return _without(keyed, exact_duplicates(keyed, key=ROW).filter("not kept"))
+    keyed, key = _keyed(docs)
+    return _without(keyed, key, exact_duplicates(keyed, key=key).filter("not kept"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates, the row with the smallest doc_id stays; of rows that share it too, one."""
-    keyed = _keyed(docs)
-    return _without(keyed, near_duplicates(keyed, key=ROW).filter("not kept"))
+    keyed, key = _keyed(docs)
+    return _without(keyed, key, near_duplicates(keyed, key=key).filter("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a window of a benchmark item go."""
-    keyed = _keyed(docs)
-    return _without(keyed, contamination(keyed, read_table(spark, sf_dir, "benchmark"), key=ROW).filter("n_hit > 0"))
+    keyed, key = _keyed(docs)
+    return _without(keyed, key, contamination(keyed, read_table(spark, sf_dir, "benchmark"), key=key).filter("n_hit > 0"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
