@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,18 +59,15 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
 
     Keys that hold more than one in `hot_share` of the weight, fewer than `hot_share` by
     arithmetic, are joined by a broadcast: their rows stay where they are. The rest is an
-    ordinary join. Rows of a null key are kept, unmatched, by a left join.
+    ordinary join. Both are read twice, so they should be tables. A left join keeps rows of left
+    that have no match, those of a null key too.
     """
     least = (right.agg(F.sum(weight)).first()[0] or 0) / hot_share
-    hot = right.filter(F.col(weight) > least)
+    hot = right.filter(F.col(weight) > least).drop(weight)
+    hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)
     cold = right.filter(F.col(weight) <= least).drop(weight)
-    keys = hot.select(key).collect()
-    if not keys:
-        return left.join(right.drop(weight), key, how)
-    kind = right.schema[key].dataType
-    listed = left.sparkSession.createDataFrame([(r[0],) for r in keys], StructType([StructField(key, kind)]))
-    few = F.broadcast(hot.drop(weight))
-    return left.join(few, key, "inner").unionByName(left.join(F.broadcast(listed), key, "left_anti").join(cold, key, how).select(*left.join(few, key, "inner").columns))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
 
 
 def crc_remainder(doc_id: Column, modulus: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialise
+from docketry.llm.common import join_skewed, materialise
 
 LOCAL = "uid long, rep_id long, digest binary, text string, n long, best int, members array<long>, rows array<long>"
 ARROW = pa.schema([
@@ -102,10 +102,10 @@ def exact_duplicates(
         ),
         "exact-local",
     )
-    shared = local.groupBy("digest").agg(F.count("*").alias("parts")).filter("parts > 1").select("digest")
+    # Texts of a digest that many tasks have stay where they are until they are salted.
+    shared = local.groupBy("digest").agg(F.count("*").alias("parts")).filter("parts > 1")
     by_salt = (
-        local.select("uid", "rep_id", "digest", "text", "n")
-        .join(shared, "digest")
+        join_skewed(local.select("uid", "rep_id", "digest", "text", "n"), materialise(shared, "exact-shared"), "digest", "parts")
         .withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
         .groupBy("digest", "salt", "text")
         .agg(
