@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialise, text_bytes
+from docketry.llm.common import join_skewed, materialise, text_bytes
 from docketry.llm.components import connected_components
 
 SEED = 42
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, long_list:
         raise ValueError("the index guarantees links of at most four differing bits")
     rows = materialise(fingerprints(docs, shingle, key), "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row") if key else F.col("doc_id")
-    distinct = materialise(rows.groupBy("fp").agg(F.min(first).alias("least")), "simhash-distinct")
+    distinct = materialise(rows.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")), "simhash-distinct")
 
     def byte(p: int):
         return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
@@ -250,11 +250,12 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, long_list:
     if not lists.isEmpty():
         links = links.union(materialise(long_list_links(lists, bits), "simhash-long-lists"))
     roots = connected_components(links)
-    of_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     of_fp = materialise(of_fp, "simhash-roots")
-    component = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = of_fp.join(component, "root").select("fp", "component_id")
-    found = rows.join(of_fp, "fp")
+    component = materialise(of_fp.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "simhash-components")
+    # A component may hold most fingerprints, and a fingerprint most rows.
+    of_fp = materialise(join_skewed(of_fp, component, "root", "fps").select("fp", "component_id", "n"), "simhash-found")
+    found = join_skewed(rows, of_fp, "fp", "n")
     if not key:
         return found.select("doc_id", "fp", "component_id")
     first = F.col("component_id")

@@ -124,7 +124,7 @@ def test_links_at_every_distance(spark, monkeypatch):
 
     rows = [(k, np.array([v], np.uint64).view(np.int64)[0].item()) for k, v in fps.items()]
     table = spark.createDataFrame(rows, "doc_id long, fp long").repartition(4)
-    monkeypatch.setattr(module, "fingerprints", lambda docs, shingle: table)
+    monkeypatch.setattr(module, "fingerprints", lambda docs, shingle, key=None: table)
     for long_list in (20_000, 30, 1):
         found = {r["doc_id"]: r["component_id"] for r in near_duplicates(table, long_list=long_list).collect()}
         assert found == components(fps), long_list
