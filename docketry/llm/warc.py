@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from docketry.llm.common import scratch_path
+from docketry.llm.common import join_skewed, materialise, scratch_path
 
 MANIFEST = "file string, shard long, part int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -119,9 +119,11 @@ class _File:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, date: str, level: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their shard; one without payload tells what the rows of its id and digest behind it refer to."""
     rows: list[tuple] = []
     shard = part = None
     now: _File | None = None
+    told: tuple = ()
 
     def close() -> None:
         if now:
@@ -129,6 +131,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, date
 
     for batch in batches:
         for row in batch.to_pylist():
+            if row["payload"] is None:
+                told = (row["page_id"], row["payload_digest"], row["payload_bytes"], row["refers_to"])
+                continue
             if row["shard"] != shard:
                 close()
                 now, shard, part = None, row["shard"], -1
@@ -138,36 +143,50 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, date
             if now is None:
                 part += 1
                 now = _File(folder, f"shard-{shard:06d}-{part:05d}.warc.gz", date, level)
-            row["payload"] = row["payload"] and zlib.decompress(row["payload"])
-            now.add(record(*(row[k] for k in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")), date))
+            key = (row["page_id"], row["payload_digest"], row["payload_bytes"])
+            revisit = told[:3] == key
+            payload = None if revisit else zlib.decompress(row["payload"])
+            now.add(record(row["page_id"], row["url"], payload, row["payload_bytes"], row["payload_digest"], told[3] if revisit else None, date))
     close()
     columns = list(zip(*rows, strict=True)) or [[]] * 6
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "shard", "part", "records", "bytes", "sha256"])
 
 
-def _borders(pages: DataFrame, shard_bytes: int, max_shards: int) -> list[int]:
-    """Ids at which shards begin: every 16th of a sample drawn by the ids' hashes, about 16 a shard."""
-    total, n = pages.agg(F.sum("payload_bytes"), F.count("page_id")).first()
-    shards = min(max_shards, 1 + (total or 0) // shard_bytes)
+def _keys(known: np.ndarray, ids: np.ndarray, digests: list[str]) -> np.ndarray:
+    """Twelve bytes that sort as the id, an unknown one first, and then by the digest."""
+    out = np.zeros(len(ids), [("id", ">u8"), ("digest", ">u4")])
+    out["id"] = np.where(known, ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), np.uint64(0))
+    out["digest"] = [int(d[:8], 16) for d in digests]
+    return out.view("S12")
+
+
+def _borders(listed: DataFrame, shard_bytes: int) -> np.ndarray:
+    """Keys at which shards begin, from a sample drawn by hashes: 16 rows a shard, or as many as make 16 million in all."""
+    total, n = listed.agg(F.sum("payload_bytes"), F.count("*")).first()
+    shards = 1 + (total or 0) // shard_bytes
     if shards == 1:
-        return []
-    every = max(1, n // (16 * shards))
-    drawn = pages.filter((F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0) & F.col("page_id").isNotNull()).select("page_id")
-    return sorted({r[0] for r in drawn.distinct().collect()})[16::16]
+        return np.zeros(0, "S12")
+    each = max(2, min(16, 16_000_000 // shards))
+    every = max(1, n // (each * shards))
+    drawn = listed.filter(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(every)) == 0)
+    drawn = drawn.select(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("id"), F.substring("payload_digest", 1, 8).alias("head")).distinct().toArrow()
+    return np.sort(_keys(drawn["known"].to_numpy(), drawn["id"].to_numpy(), drawn["head"].to_pylist()))[each::each]
 
 
 def write_warc(
-    pages: DataFrame, folder: str, shard_bytes: int = 32_000_000, roll_bytes: int = 6_000_000, max_shards: int = 4096,
+    pages: DataFrame, folder: str, shard_bytes: int = 32_000_000, roll_bytes: int = 6_000_000,
     revisit_bytes: int = 1000, date: str = "2000-01-01T00:00:00Z", level: int = 6,
 ) -> DataFrame:
     """Write pages(page_id, url, html) below `folder`; returns the committed manifest.
 
-    Null html is the empty payload, a null url becomes urn:page:<id>, a null page_id goes to
-    the first shard. Of payloads of at least `revisit_bytes` that are equal, the row with the
-    largest page_id is the response and the others are revisits without payload; rows that repeat
-    that id are responses too. An empty table gives an empty manifest. Other columns are ignored.
-    The borders take about 16 ids a shard, of at most `max_shards`, to the driver.
+    Null html is the empty payload, a null url becomes urn:page:<id>. Of payloads of at least
+    `revisit_bytes` that are equal, the row with the largest page_id is the response and the
+    others are revisits without payload; rows that repeat that id are responses too. An empty
+    table gives an empty manifest. Other columns are ignored.
+
+    Records are sorted by page_id, null first, and digest. Which copies are revisits is found on
+    ids and digests alone; payloads travel once, to their shard.
     """
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
@@ -175,25 +194,23 @@ def write_warc(
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}
     )
-    large = F.col("payload_bytes") >= revisit_bytes
-    groups = (
-        rows.filter(large).groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("response"), F.count("*").alias("copies"))
-        .filter("copies > 1").drop("copies")
-    )
-    rows = rows.withColumn("payload", packed("payload")).join(groups, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.coalesce((F.col("page_id") != F.col("response")) | (F.col("page_id").isNull() & F.col("response").isNotNull()), F.lit(False))
-    rows = rows.withColumn("refers_to", F.when(revisit, F.col("response"))).withColumn("payload", F.when(~revisit, F.col("payload")))
-    borders = np.array(_borders(pages.select("page_id", F.octet_length(payload).alias("payload_bytes")), shard_bytes, max_shards), np.int64)
+    listed = materialise(rows.select("page_id", "payload_bytes", "payload_digest"), "warc-listed")
+    content = F.concat_ws(":", "payload_digest", "payload_bytes").alias("content")
+    ids = listed.filter(F.col("payload_bytes") >= revisit_bytes).select("page_id", "payload_bytes", "payload_digest", content)
+    groups = materialise(ids.groupBy("content").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).filter("copies > 1 and response is not null"), "warc-groups")
+    revisits = join_skewed(ids, groups, "content", "copies").filter("page_id is null or page_id <> response")
+    revisits = revisits.select("page_id", "payload_bytes", "payload_digest", F.col("response").alias("refers_to")).distinct()
+    borders = _borders(listed, shard_bytes)
 
     @F.pandas_udf("long")
-    def shard(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(np.where(known, np.searchsorted(borders, ids.fillna(0).astype(np.int64), side="right"), 0))
+    def shard(known: pd.Series, ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(borders, _keys(known.to_numpy(), ids.to_numpy(), digests.tolist()), side="right").astype(np.int64))
 
-    rows = rows.withColumn("shard", shard("page_id")).drop("response")
+    rows = rows.withColumn("payload", packed("payload")).withColumn("refers_to", F.lit(None).cast("long"))
+    both = rows.unionByName(revisits.withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}))
+    both = both.withColumns({"shard": shard(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "payload_digest"), "told": F.col("payload").isNotNull()})
     written = (
-        rows.repartition("shard").sortWithinPartitions("shard", "page_id", "payload_digest", "url")
+        both.repartition("shard").sortWithinPartitions("shard", "page_id", F.substring("payload_digest", 1, 8), "payload_digest", "payload_bytes", "told", "url")
         .mapInArrow(partial(_write, folder=folder, roll_bytes=roll_bytes, date=date, level=level), MANIFEST)
     )
     written.write.parquet(f"{folder}/_manifest")
@@ -254,10 +271,11 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
             yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
 
-def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The page records of the files that the manifest of `folder` lists, digests checked."""
-    files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("file")
-    files = files.repartition(max(1, files.count()), "file")
+def read_warc(spark: SparkSession, folder: str, payloads: bool = True, task_bytes: int = 8_000_000) -> DataFrame:
+    """The page records of the files that the manifest of `folder` lists, digests checked; a task reads about `task_bytes`."""
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    files = files.select("file").repartitionByRange(max(1, min(n, total // task_bytes)), "file")
     return files.mapInArrow(partial(_read, folder=folder, payloads=payloads), RECORDS)
 
 
