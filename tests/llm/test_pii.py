@@ -91,8 +91,12 @@ OBFUSCATED = {
 def planted():
     rows = []
     for i in range(240):
-        rows.append(f"write joe{i}@mail{i % 7}.example.com or call +1 ({200 + i}) 555-{1000 + i}, from 10.0.{i}.9 with 4111 1111 1111 1111 and token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" now")
-        rows.append(f"from {1900 + i}-{1910 + i} on, of 12-{i} or {i} {i + 1} {i + 2}; at version 999.{300 + i}.1.2 it is incomprehensibilities{'x' * (i % 9)} and run_of_words_in_a_name")
+        mail = (f"joe{i}@mail.com", f"amy.{i}@corp{i % 7}.example.org", f"x{i}@a-b.co", f"info@mail{i}.example.net")[i % 4]
+        call = (f"+1 ({200 + i}) 555-{1000 + i}", f"+1 {200 + i} 555 {1000 + i}", f"+{200 + i}-555-{1000 + i}", f"+{200 + i}.555.{1000 + i}")[i // 4 % 4]
+        ways = ("write {} for this", "is {}, or", "contact: {} now", "({})")
+        parts = (mail, call, f"10.{i % 3}.{i}.{i % 10}", "4111 1111 1111 1111", f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"')
+        rows.append("; ".join(ways[(i // 3 + j) % 4].format(x) for j, x in enumerate(parts)))
+        rows.append(f"from {1900 + i}-{1910 + i} on, of 12-{i} or {i} {i + 1} {i + 2}; it is incomprehensibilities{'x' * (i % 9)} and run_of_words_in_a_name" + (f" at version {300 + i}.1.2.{i}" if i % 20 == 0 else ""))
     odd = [(k, v) for k, found in OBFUSCATED.items() for v in found]
     return rows, odd
 
