@@ -176,21 +176,20 @@ def draw(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> DataF
 
 
 def train(
-    labelled: DataFrame, per_language: int = 500, max_languages: int = 200, epochs: int = 6,
+    labelled: DataFrame, per_language: int = 500, max_languages: int = 256, epochs: int = 6,
     alpha: float = 2.0, beta: float = 0.1, l1: float = 1e-3, l2: float = 1e-3, scale: float = 30.0,
 ) -> LanguageModel | None:
     """Fit on labelled(doc_id, text, lang), all non-null; None without any row.
 
     Document frequencies count every row. The fit takes about `per_language` documents of each
     language (see `draw`); a fifth of them only sets the temperature.
-    More than `max_languages` languages are an error. Only the hashed counts of the sample
-    reach the driver.
+    The `max_languages` labels of most documents are learnt, of equal ones the first by name; a
+    rarer label is never predicted. Only the hashed counts of the sample reach the driver.
     """
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()}
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return None
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     languages = sorted(sizes)
     frequencies = labelled.select("text").mapInArrow(_document_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(PLACES)
@@ -239,10 +238,10 @@ def held_out(doc_id: Column) -> Column:
     return crc_remainder(doc_id, 3) == 1
 
 
-def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), **options) -> DataFrame:
     """`keep_columns` (doc_id if None) with prediction and score, under `names`, for every row of docs(doc_id, text, lang).
 
-    Columns that are kept under the same names as the results must be told apart by other `names`.
+    `options` go to `train`. Columns that are kept under the same names as the results must be told apart by other `names`.
 
     The model learns from rows that are not held out and have text and lang. A text that is
     null or has no letter is `und` with score 0; when there is nothing to learn from, any other
@@ -250,7 +249,7 @@ def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None, n
     as the empty text in the fold. lang and doc_id take no part in a prediction.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
-    model = train(labelled.filter(~held_out(F.col("doc_id"))).filter("lang is not null and text is not null"))
+    model = train(labelled.filter(~held_out(F.col("doc_id"))).filter("lang is not null and text is not null"), **options)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     kept = docs.select(*(docs[c] for c in keep_columns or ["doc_id"]))
     # Columns travel under names of their own, so that none of docs can clash.

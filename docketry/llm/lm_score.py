@@ -46,8 +46,8 @@ CODE_WORDS = 1 << 16
 FIRST_CUTS, SEGMENT = (16,), 64
 #: Hashed slots, as powers of two, of the contexts of one and two tokens before; a text's own slots.
 PAST_BITS, OWN_BITS = (20, 20), 12
-#: Predictors of a code bit (none, kind, one before, two before, own) and a bias; gates; cells of the refinement.
-INPUTS, GATES, CELLS = 6, 32, 33
+#: Predictors of a code bit (none, kind, one before, two before, own) and a bias; gates of the weights; gates and cells of the refinement.
+INPUTS, GATES, FINE, CELLS = 6, 32, 4, 33
 PRIOR = 0.4
 #: The share given to a copied segment.
 COPY = 0.05
@@ -215,11 +215,16 @@ def _count_tokens(batches: Iterator[pa.RecordBatch], votes: np.ndarray, held: in
     found = [Counter() for _ in range(KINDS)]
 
     def drain() -> Iterator[pa.RecordBatch]:
+        kinds: dict[bytes, int] = {}
         for kind, counter in enumerate(found):
-            tokens = list(counter)
-            for a, b in _chunks(len(tokens), 50_000):
-                n = np.fromiter((counter[t] for t in tokens[a:b]), np.int64, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[a:b], pa.binary()), pa.array(n), pa.array(np.full(b - a, 1 << kind, np.int32))], names=["token", "n", "kinds"])
+            for t in counter:
+                kinds[t] = kinds.get(t, 0) | 1 << kind
+        tokens = list(kinds)
+        for a, b in _chunks(len(tokens), 50_000):
+            n = sum(np.fromiter(map(counter.__getitem__, tokens[a:b]), np.int64, b - a) for counter in found)
+            masks = np.fromiter(map(kinds.__getitem__, tokens[a:b]), np.int32, b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[a:b], pa.binary()), pa.array(n), pa.array(masks)], names=["token", "n", "kinds"])
+        for counter in found:
             counter.clear()
 
     for _, texts in _read(batches, votes):
@@ -452,7 +457,7 @@ class Mixer:
         """The log10 probability of each token's code word."""
         n_texts = len(texts.sizes)
         weights = np.repeat(self.start[:, None], n_texts * GATES, axis=1)
-        refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))).astype(np.float32), n_texts * GATES)
+        refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))).astype(np.float32), n_texts * FINE)
         own = np.zeros((n_texts << OWN_BITS, 2), np.uint16)
         out = np.zeros(len(texts.words))
         # Texts in the order of their lengths: those still going on are always the first ones.
@@ -496,12 +501,13 @@ class Mixer:
         seen = own.take(mine, axis=0)
         x.append(LOG.take(seen[:, 1]) - LOG.take(seen[:, 0]))
         x.append(np.ones(1, np.float32))
+        met = seen.view(np.uint32).ravel() > 0
         place = grades[1] * np.int8(4)
         place += grades[0]
         place *= np.int8(2)
-        place += seen.view(np.uint32).ravel() > 0
+        place += met
         place = place + text * GATES
-        sets = live * GATES
+        sets, cells = live * GATES, live * FINE * CELLS
         odds = weights[-1].take(place)
         for w, value in zip(weights[:-1], x, strict=False):
             odds += w.take(place) * value
@@ -511,7 +517,7 @@ class Mixer:
         odds *= np.float32((CELLS - 1) / 16)
         cell = np.minimum(odds.astype(np.int32), CELLS - 2)
         odds -= cell
-        cell = cell + place * CELLS
+        cell = cell + ((grades[0] > 0) * np.int8(2) + met + text * FINE) * CELLS
         fine = refined.take(cell)
         fine += (refined.take(cell + 1) - fine) * odds
         fine += p
@@ -524,9 +530,9 @@ class Mixer:
         for w, value in zip(weights, x, strict=True):
             w[:sets] += self.rates[0] * np.bincount(place, error * value, sets) / total
         cell += odds > 0.5
-        hits = np.bincount(cell, minlength=sets * CELLS)
-        drift = np.bincount(cell, bit - refined.take(cell), sets * CELLS)
-        refined[: sets * CELLS] += self.rates[1] * drift / (1 + self.rates[1] * hits)
+        hits = np.bincount(cell, minlength=cells)
+        drift = np.bincount(cell, bit - refined.take(cell), cells)
+        refined[:cells] += self.rates[1] * drift / (1 + self.rates[1] * hits)
         np.add.at(own.ravel(), 2 * mine + bit, np.uint16(1))
         return logs
 
@@ -534,7 +540,7 @@ class Mixer:
 # ---- spelling
 
 #: Hashed slots of each spelling predictor, as powers of two: one to three bytes back with the kind, four bytes back, the token so far.
-TABLES = (18, 20, 21, 20, 22)
+TABLES = (16, 18, 20, 19, 21)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 #: Inputs: the predictors and a bias. Gates: the whole token's table, the three-byte table, the place in the token.
 SPELL_INPUTS, SPELL_GATES = len(TABLES) + 1, 4 * 4 * 3
@@ -721,17 +727,13 @@ def _score(batches: Iterator[pa.RecordBatch], code, counts, votes: np.ndarray, b
         )
 
 
-def _spell(batches: Iterator[pa.RecordBatch], speller, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """What spelled tokens add to their segments; a token that stands there again in the same kind is computed once a batch."""
+def _spell(batches: Iterator[pa.RecordBatch], speller) -> Iterator[pa.RecordBatch]:
+    """The log10 probability of spelled tokens; one that stands there again in the same kind is computed once a batch."""
     for batch in batches:
         pairs: dict[tuple[bytes, int], int] = {}
         spot = np.array([pairs.setdefault(x, len(pairs)) for x in zip(batch.column("token").to_pylist(), batch.column("kind").to_pylist(), strict=True)], np.int64)
-        logs = speller.value.log10([t for t, _ in pairs], np.array([k for _, k in pairs], np.int64))
-        c = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("at"), pa.array(logs[spot]), pa.array(np.log10((c + 1) / (total + distinct + 1))), pa.array((c > 0).astype(np.int32))],
-            names=["row", "at", "coded", "base", "known"],
-        )
+        logs = speller.value.log10([t for t, _ in pairs], np.array([k for _, k in pairs], np.int64)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), pa.array(logs[spot]), batch.column("n")], names=["row", "at", "coded", "n"])
 
 
 def score_texts(docs: DataFrame, code_words: int = CODE_WORDS, learn_every: int = 1) -> DataFrame:
@@ -783,7 +785,7 @@ def score_texts(docs: DataFrame, code_words: int = CODE_WORDS, learn_every: int
     # Each spelled token meets its count in training; tokens of the code are not among them.
     rare = scored.select("row", F.explode("spelled").alias("x")).select("row", "x.at", "x.token", "x.kind")
     met = rare.join(vocabulary.select("token", "n"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    spelled = met.mapInArrow(partial(_spell, speller=spark.sparkContext.broadcast(speller), total=total, distinct=distinct), "row long, at int, coded double, base double, known int")
+    spelled = met.mapInArrow(partial(_spell, speller=spark.sparkContext.broadcast(speller)), "row long, at int, coded float, n long")
     parts = scored.select("row", "held_out", F.explode("segments").alias("x")).select("row", "held_out", "x.*").withColumn("pair", F.xxhash64("past", "self"))
     pairs = parts.filter("not held_out").groupBy("pair").agg(F.first("past").alias("past"), F.count("*").alias("n"))
     pairs = materialise(pairs, "lm-segments")
@@ -792,8 +794,15 @@ def score_texts(docs: DataFrame, code_words: int = CODE_WORDS, learn_every: int
     copied = join_skewed(parts, pairs, "pair", "rows", "left")
     others = F.col("n") - F.when(F.col("held_out"), 0).otherwise(1)
     copied = copied.withColumn("copy", F.when(others > 0, others / (F.col("n_past") - F.col("n") + others)))
-    both = copied.select("row", "at", "coded", "base", "known", "copy").unionByName(spelled.withColumn("copy", F.lit(None).cast("double")))
-    by_segment = both.repartition("row").groupBy("row", "at").agg(*(F.sum(k).alias(k) for k in ("coded", "base", "known")), F.max("copy").alias("copy"))
+    # What is shuffled of a spelled token is its logarithm and its count.
+    both = copied.select("row", "at", "coded", "base", "known", "copy", F.lit(None).cast("long").alias("c")).unionByName(
+        spelled.select("row", "at", "coded", F.lit(None).cast("double").alias("base"), F.lit(None).cast("int").alias("known"), F.lit(None).cast("double").alias("copy"), F.col("n").alias("c"))
+    )
+    both = both.repartition("row").withColumns({
+        "base": F.coalesce("base", F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))),
+        "known": F.coalesce("known", (F.col("c") > 0).cast("int")),
+    })
+    by_segment = both.groupBy("row", "at").agg(*(F.sum(k).alias(k) for k in ("coded", "base", "known")), F.max("copy").alias("copy"))
     # A segment is a copy or it is coded: the sum of both, by its larger part.
     plain, copy = F.col("coded") + F.log10(F.lit(1 - COPY)), F.log10(F.col("copy") * COPY)
     more, less = F.greatest(plain, copy), F.least(plain, copy)

@@ -128,8 +128,9 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS i FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-r AS (SELECT t.conv_id, perspective, i, i // 64 AS part, role = perspective AS own, text || '<|end|>' || chr(10) AS body,
-    CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head
+r AS (SELECT t.conv_id, perspective, i, i // 64 AS part, role = perspective AS own, replace(replace(text, '<\\', '<\\\\'), '<|', '<\\|') || '<|end|>' || chr(10) AS body,
+    CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+      ELSE '<|user:' || replace(replace(replace(replace(role, '|\\', '|\\\\'), '|>', '|\\>'), '<\\', '<\\\\'), '<|', '<\\|') || '|>' END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM r),
 g AS (SELECT conv_id, perspective, part, count(*) AS n_turns, CAST(count(*) FILTER (own) AS BIGINT) AS n_assistant,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docketry.llm import lm_score
+from docketry.llm import lang_id, lm_score
 from docketry.llm.lang_id import draw, fit_ftrl, fit_temperature, identify_languages, softmax
 from docketry.llm.queries import op7_lm_scoring, op8_language_id
 
@@ -145,11 +146,11 @@ def plain_mixing(training, text, code, counts, learnt):
 
     def learn():
         groups = {}
-        for gate, x, p, cell, bit, slot in pending:
+        for gate, _, x, p, _, bit, _ in pending:
             groups.setdefault(gate, []).append((x, bit - p))
         drift = {}
-        for gate, _, _, cell, bit, _ in pending:
-            drift.setdefault((gate, cell), []).append(bit - refined.get((gate, cell), start[cell]))
+        for _, fine, _, _, cell, bit, _ in pending:
+            drift.setdefault((fine, cell), []).append(bit - refined.get((fine, cell), start[cell]))
         for gate, found in groups.items():
             w = weights.get(gate, list(lm_score.START))
             weights[gate] = [w[j] + lm_score.RATES[0] * sum(e * x[j] for x, e in found) / len(found) for j in range(len(w))]
@@ -180,10 +181,11 @@ def plain_mixing(training, text, code, counts, learnt):
             p = 1 / (1 + math.exp(-odds))
             spot = (odds + 8) * (cells - 1) / 16
             low = min(int(spot), cells - 2)
-            at = [refined.get((gate, low + k), start[low + k]) for k in (0, 1)]
+            fine = (grades[2] > 0) * 2 + (own[slot, 0] + own[slot, 1] > 0)
+            at = [refined.get((fine, low + k), start[low + k]) for k in (0, 1)]
             final = 0.5 * (p + at[0] * (1 - spot + low) + at[1] * (spot - low))
             log += math.log10(max(1e-4, final if bit else 1 - final))
-            pending.append((gate, x, p, low + (spot - low > 0.5), bit, slot))
+            pending.append((gate, fine, x, p, low + (spot - low > 0.5), bit, slot))
         out.append(log)
     return out
 
@@ -275,6 +277,90 @@ def test_languages_draw_null_ids_like_others(spark):
     assert scores == {("en", True)}
 
 
+def plain_places(text):
+    """Hashed n-grams of one to three characters at every place of a text between its blanks."""
+    points = [*map(ord, f"  {text} "), 32, 32, 32]
+    mask, out = (1 << 64) - 1, []
+    for n in (1, 2, 3):
+        for i in range(len(points) - 3):
+            h = 0
+            for c in points[i : i + n]:
+                h = (h * 0x100000001B3 + c) & mask
+            out.append((((h ^ n) * 0x9E3779B97F4A7C15) & mask) >> (64 - lang_id.BITS))
+    return out
+
+
+def plain_letters(text):
+    return re.sub(r"[\x00-`{-\x7f]+", " ", text.lower())
+
+
+def plain_fit(examples, classes, epochs, alpha, beta, l1, l2):
+    """FTRL with elastic net, one coordinate after the other."""
+    z, n = {}, {}
+
+    def weight(place, k):
+        zi = z.get((place, k), 0.0)
+        free = place == lang_id.PLACES
+        if abs(zi) <= (0 if free else l1):
+            return 0.0
+        return -math.copysign(abs(zi) - (0 if free else l1), zi) / ((beta + math.sqrt(n.get((place, k), 0.0))) / alpha + (0 if free else l2))
+
+    for _ in range(epochs):
+        for label, x in examples:
+            x = x | {lang_id.PLACES: 1.0}
+            w = {(p, k): weight(p, k) for p in x for k in range(classes)}
+            margins = [sum(v * w[p, k] for p, v in x.items()) for k in range(classes)]
+            e = [math.exp(m - max(margins)) for m in margins]
+            for k in range(classes):
+                error = e[k] / sum(e) - (k == label)
+                for p, v in x.items():
+                    g, before = v * error, n.get((p, k), 0.0)
+                    n[p, k] = before + g * g
+                    z[p, k] = z.get((p, k), 0.0) + g - (math.sqrt(n[p, k]) - math.sqrt(before)) / alpha * w[p, k]
+    return weight
+
+
+def test_languages_against_a_plain_version(spark):
+    """Document frequencies, weighting, regression and prediction, place by place, on a small table."""
+    words = {"en": "the dog is here with all of them", "fr": "le chat est là avec tous les autres", "de": "der hund ist hier mit allen übrigen"}
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(words[k].split())), k) for i, k in enumerate(["en", "fr", "de"] * 10)] + [(100, "Été 12 DER the", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(df).collect()}
+    learnt = [(i, t, k) for i, t, k in rows if k and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(learnt) < 50  # so few keep none back: the temperature is 1
+    df_of = Counter(p for _, t, _ in learnt for p in set(plain_places(plain_letters(t))))
+    idf = lambda p: math.log((1 + len(learnt)) / (1 + df_of[p])) + 1
+
+    def features(text):
+        counts = Counter(plain_places(plain_letters(text)))
+        total = sum(c * idf(p) for p, c in counts.items())
+        return {p: 30.0 * c * idf(p) / total for p, c in counts.items()}
+
+    ranks = {r["text"]: r["rank"] for r in lang_id.draw(df.filter("lang is not null").filter(~lang_id.held_out(F.col("doc_id"))), Counter(k for *_, k in learnt), 500).collect()}
+    kinds = sorted(words)
+    ordered = sorted(learnt, key=lambda r: ranks[r[1]])
+    weight = plain_fit([(kinds.index(k), features(t)) for _, t, k in ordered], 3, 6, 2.0, 0.1, 1e-3, 1e-3)
+    for i, text, _ in rows:
+        x = features(text)
+        margins = [weight(lang_id.PLACES, k) + sum(v * weight(p, k) for p, v in x.items()) for k in range(3)]
+        e = np.exp(np.array(margins) - max(margins))
+        assert found[i][0] == kinds[int(np.argmax(margins))]
+        assert abs(found[i][1] - float(e.max() / e.sum())) < 1e-3
+
+
+def test_rarer_labels_are_not_learnt(spark):
+    rows = [(i, ("the dog is here " if i % 2 else "le chat est la ") * 4, ("en" if i % 2 else "fr") if i < 80 else f"junk{i}") for i in range(100)]
+    found = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=2).collect()
+    assert {r["lang_pred"] for r in found} == {"en", "fr"} and len(found) == 100
+
+
+def test_kept_columns_may_have_any_name(spark):
+    rows = [(i, "the dog is here", "en", 1, 2, 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text int, lang_pred int, score int")
+    found = identify_languages(df, df.columns, ("found", "sure"))
+    assert found.columns == [*df.columns, "found", "sure"] and {(r["_text"], r["lang_pred"], r["score"], r["found"]) for r in found.collect()} == {(1, 2, 3, "en")}
+
+
 def test_elastic_net_leaves_unused_places_at_zero():
     examples = [(i % 2, np.array([i % 2, 7]), np.array([1.0, 1.0])) for i in range(200)]
     w, _ = fit_ftrl(examples, 2, 5, 1.0, 0.1, 0.05, 0.01)
