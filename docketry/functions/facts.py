@@ -112,10 +112,10 @@ def legal_references(text: Column) -> Column:
     """Cited articles in order of first citation; one that is ever said to be of the loan contract is named so."""
     t = T.western_digits(F.coalesce(text, F.lit("")))
     contract = r"\s+" + L.LOAN_CONTRACT.replace(" ", r"\s+")
-    cited = F.regexp_extract_all(t, F.lit(rf"(?U){L.ARTICLE}(?=({contract})?)"), F.lit(1))
-    suffix = F.regexp_extract_all(t, F.lit(rf"(?U){L.ARTICLE}(?=({contract})?)"), F.lit(2))
+    # One search over the text; what follows an article is part of the match and holds no other one.
+    cited = F.regexp_extract_all(t, F.lit(rf"(?U){L.ARTICLE}(?:{contract})?"), F.lit(0))
     pairs = F.filter(
-        F.transform(F.arrays_zip(cited.alias("n"), suffix.alias("c")), lambda x: F.struct(x["n"].try_cast("int").alias("n"), (x["c"] != "").alias("c"))),
+        F.transform(cited, lambda m: F.struct(F.regexp_extract(m, rf"(?U)^{L.ARTICLE}", 1).try_cast("int").alias("n"), m.rlike(rf"(?U){contract}$").alias("c"))),
         lambda x: x["n"] > 0,
     )
 

@@ -21,6 +21,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array of numbers; two levels of about its root keep the copying linear."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def running(array: Column) -> Column:
+        return F.aggregate(array, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out")))["out"]
+
+    def in_parts(v: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / wide).cast("int") - 1, F.lit(0))), lambda i: running(F.slice(v, i * wide + 1, wide)))
+
+    def joined(inner: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), running(F.transform(inner, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)))))
+        return let(ends, lambda e: F.flatten(F.transform(inner, lambda p, i: let(F.get(e, i), lambda add: F.transform(p, lambda x: x + add)))))
+
+    return let(values, lambda v: let(in_parts(v), joined))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop, value>> of a pattern's matches, in code points.
+
+    The pieces between matches are cut at a mark that replaces them: Spark keeps the compiled
+    pattern of a replacement, and compiles that of a split anew for every row.
+    """
+    cut = F.split(F.regexp_replace(F.translate(text, "\x01", " "), pattern, "\x01"), "\x01", -1)
+
+    def placed(v: Column) -> Column:
+        stops = prefix_sums(F.transform(v["found"], lambda m, i: F.length(F.get(v["pieces"], i)) + F.length(m)))
+        return F.transform(F.arrays_zip(stops.alias("stop"), v["found"].alias("m")), lambda x: F.struct((x["stop"] - F.length(x["m"])).alias("start"), x["stop"].alias("stop"), x["m"].alias("value")))
+
+    return let(F.struct(cut.alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
+
+
 def strip(x: Column) -> Column:
     """Without Unicode blanks at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -177,6 +210,11 @@ def shorten(x: Column, budget: int | Column) -> Column:
     return let(strip(F.coalesce(x, F.lit(""))), ends)
 
 
+def display_date(x: Column) -> Column:
+    """A day as dd/mm/yyyy, a dash without one."""
+    return display(F.date_format(x, "dd/MM/yyyy"))
+
+
 def truncate_error(x: Column) -> Column:
     """Null if blank; beyond 4000 characters the first 3997 and three dots."""
     return F.when(F.length(x) > 4000, F.concat(F.substring(x, 1, 3997), F.lit("..."))).when(x != "", x)

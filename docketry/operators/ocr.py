@@ -12,7 +12,9 @@ PAGE = ("doc_id", "page")
 
 
 def visible_words(words: DataFrame) -> DataFrame:
-    """Words with text and a confidence, the confidence also as a share."""
+    """Words with text and a confidence, the confidence also as a share, and their box where the words have one."""
+    if {"left", "top", "width", "height"} <= set(words.columns):
+        words = words.withColumn("bbox", F.array(F.col("left"), F.col("top"), F.col("left") + F.col("width"), F.col("top") + F.col("height")))
     return words.filter((T.strip(F.col("text")) != "") & (F.col("conf") >= 0)).withColumn("confidence", F.round(F.col("conf") / 100, 3))
 
 
@@ -57,9 +59,13 @@ def merge_readings(found: DataFrame, chosen: DataFrame, anchor: str = L.STRUCTUR
     equal ones the first. A line that the chosen reading also has is added only if it is an
     anchor itself. Every step is a window within a page, so pages are dealt out once.
     """
+    return _merged(found.join(chosen.select(*PAGE, F.col("psm").alias("_own")), list(PAGE)), anchor)
+
+
+def _merged(rows: DataFrame, anchor: str) -> DataFrame:
     page = Window.partitionBy(*PAGE)
     reading = Window.partitionBy(*PAGE, "psm").orderBy("line")
-    rows = found.join(chosen.select(*PAGE, F.col("psm").alias("_own")), list(PAGE)).select(
+    rows = rows.select(
         *PAGE, "psm", "line", "text", (F.col("psm") == F.col("_own")).alias("own"), T.line_key(F.col("text")).alias("key"), T.has(F.col("text"), anchor).alias("anchor")
     )
     rows = rows.withColumn("near", F.max("anchor").over(reading.rowsBetween(-2, 1)))
@@ -73,6 +79,31 @@ def merge_readings(found: DataFrame, chosen: DataFrame, anchor: str = L.STRUCTUR
     return rows.select(*PAGE, (place - 1).alias("position"), "text", (~F.col("own")).alias("supplementary"))
 
 
+def merged_lines(words: DataFrame) -> DataFrame:
+    """`merge_readings` of the lines and the chosen reading of words, in one pass: words are grouped to lines once, and
+    windows over a page's lines tell its readings and the choice."""
+    reading = Window.partitionBy(*PAGE, "psm").orderBy("idx")
+    page, whole = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "psm")
+    shown = T.strip(F.col("text"))
+    place = F.struct("block_num", "par_num", "line_num")
+    words = words.filter(shown != "")
+    words = words.withColumn("line", F.sum(F.coalesce((place != F.lag(place).over(reading)).cast("int"), F.lit(1))).over(reading))
+    seen = F.col("conf") >= 0
+    found = words.groupBy(*PAGE, "psm", "line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", shown.alias("w")))), lambda x: x["w"]), " ").alias("text"),
+        F.count_if(seen).alias("_n"), F.coalesce(F.sum(F.when(seen, F.col("conf"))), F.lit(0.0)).alias("_sum"),
+    )
+    found = found.withColumns({"_words": F.sum("_n").over(whole), "_sums": F.sum("_sum").over(whole)})
+    found = found.withColumn("_confidence", F.when(F.col("_words") > 0, F.col("_sums") / F.col("_words")).otherwise(0.0))
+    full = F.col("_words") >= L.WORDS_SHARE * F.max("_words").over(page)
+    found = found.withColumn("_full", full)
+    close = F.col("_full") & (F.col("_confidence") >= F.max(F.when(F.col("_full"), F.col("_confidence"))).over(page) - L.CONFIDENCE_BAND)
+    found = found.withColumn("_rank", F.when(close, F.struct("_words", "_confidence")))
+    found = found.withColumn("_top", F.max("_rank").over(page))
+    found = found.withColumn("_own", F.min(F.when(F.col("_rank") == F.col("_top"), F.col("psm"))).over(page))
+    return _merged(found.select(*PAGE, "psm", "line", "text", "_own"), L.STRUCTURED_ANCHOR)
+
+
 def page_text(merged: DataFrame) -> DataFrame:
     """(doc_id, page, text) of merged lines."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n")

@@ -6,7 +6,7 @@ the text once. Facts that several fields need are columns of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import amounts as A
@@ -117,22 +117,6 @@ def applicable_amounts(text: Column, kind: Column, role: Column) -> Column:
     return T.let(A.amount_list(text), award)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of a pattern's matches, in code points."""
-    pieces, matched = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
-    return F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), matched.alias("value")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(x["value"].isNull(), s["out"]).otherwise(
-                F.array_append(s["out"], F.struct((s["at"] + F.length(x["piece"])).alias("start"), (s["at"] + F.length(x["piece"]) + F.length(x["value"])).alias("stop"), x["value"].alias("value")))
-            ).alias("out"),
-        ),
-    )["out"]
-
-
 def nearest_preceding(left: DataFrame, right: DataFrame, key: str, reach: int) -> DataFrame:
     """Backward as-of join within a tolerance: each left span with the last right span of its key that lies
     wholly inside the `reach` characters before it.
@@ -154,16 +138,29 @@ AMOUNT_PATTERN = r"\d{1,3}(?:\.\d{3})+,\d{3}"
 def nearest_bank_amount(text: Column) -> Column:
     """The amount that follows the bank's name most closely, within reach; of equals the first."""
 
-    def best(found: Column) -> Column:
-        def distance(x: Column) -> Column:
-            near = F.filter(found["banks"], lambda b: (b["stop"] <= x["start"]) & (b["start"] >= x["start"] - L.AMOUNT_REACH))
-            return x["start"] - F.array_max(F.transform(near, lambda b: b["start"]))
+    place = lambda x, v: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), v.alias("value"))
+    none = F.lit(None).cast("string")
+    state = "named_struct('bank', cast(null as int), 'stop', cast(null as int), 'distance', cast(null as int), 'value', cast(null as string))"
+
+    def best(spans: Column) -> Column:
+        # One walk over both in their order. The last mention before an amount is the nearest one that lies wholly before it.
+        def step(s: Column, x: Column) -> Column:
+            distance = x["start"] - s["bank"]
+            nearer = (s["stop"] <= x["start"]) & (distance <= L.AMOUNT_REACH) & (s["distance"].isNull() | (distance < s["distance"]))
+            take = x["value"].isNotNull() & F.coalesce(nearer, F.lit(False))
+            bank = x["value"].isNull()
+            return F.struct(
+                F.when(bank, x["start"]).otherwise(s["bank"]).alias("bank"),
+                F.when(bank, x["stop"]).otherwise(s["stop"]).alias("stop"),
+                F.when(take, distance).otherwise(s["distance"]).alias("distance"),
+                F.when(take, x["value"]).otherwise(s["value"]).alias("value"),
+            )
 
-        amounts = F.transform(found["amounts"], lambda x: F.struct(distance(x).alias("distance"), x["start"].alias("start"), x["value"].alias("value")))
-        return F.array_min(F.filter(amounts, lambda x: x["distance"].isNotNull()))["value"]
+        return F.aggregate(F.array_sort(spans), F.expr(state), step)["value"]
 
-    found = F.struct(spans(text, f"(?U){L.BANK}").alias("banks"), spans(text, AMOUNT_PATTERN).alias("amounts"))
-    return F.when(X.mentions_bank(text), F.concat(T.let(found, best), F.lit(f" {L.DINAR}")))
+    banks = F.transform(T.spans(text, f"(?U){L.BANK}"), lambda x: place(x, none))
+    amounts = F.transform(T.spans(text, AMOUNT_PATTERN), lambda x: place(x, x["value"]))
+    return F.when(X.mentions_bank(text) & text.rlike(AMOUNT_PATTERN), F.concat(best(F.concat(banks, amounts)), F.lit(f" {L.DINAR}")))
 
 
 def summary(text: Column, tribunal: Column, date: Column, amount: Column) -> Column:
@@ -235,9 +232,3 @@ def strengthen(docs: DataFrame, text: str = "text", record: str | None = None) -
     }
     merged = staged.withColumn("_merged", F.struct(*(values[k].cast(v).alias(k) for k, v in S.FIELDS.items())))
     return merged.select(*keep, normalize_record(F.col("_merged")).alias("extraction"))
-
-
-def order_preserving_distinct(df: DataFrame, key: str, by: str, order: str) -> DataFrame:
-    """Of rows with an equal key within `by`, the first by `order`."""
-    first = Window.partitionBy(by, key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")

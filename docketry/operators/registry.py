@@ -48,9 +48,24 @@ def backfill(registry: DataFrame, record: str = "extraction_result") -> DataFram
     return registry.withColumns({k: F.when(need, v).otherwise(F.col(k)) for k, v in promoted(F.col(record)).items()})
 
 
+def backfilled(registry: DataFrame, record: str = "extraction_result") -> DataFrame:
+    """One row: how many rows `backfill` fills."""
+    return registry.agg(F.count_if(needs_backfill(F.col(record))).alias("backfilled"))
+
+
+def prepend(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows in front of the listed ones, marked by is_new; each side newest first and then by id."""
+    both = new.withColumn("is_new", F.lit(True)).unionByName(registry.withColumn("is_new", F.lit(False)))
+    return both.orderBy(F.desc("is_new"), F.desc("date"), F.desc("id"))
+
+
 def update_by_id(registry: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of changes(id, columns) replace those columns of the registry's rows with their id, nulls included."""
-    new = changes.select("id", F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    """Rows of changes(id, columns) replace those columns of the registry's rows with their id, nulls included.
+
+    Of changes that repeat an id, the one whose values are largest holds.
+    """
+    last = changes.groupBy("id").agg(F.max(F.struct(*columns)).alias("x")).select("id", "x.*")
+    new = last.select("id", F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = registry.join(new, "id", "left")
     return joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).select(*registry.columns)
 
@@ -64,6 +79,13 @@ def file_of(registry: DataFrame, row_id: int) -> DataFrame:
     return registry.filter(F.col("id") == row_id).select("file_name", "file_data")
 
 
+def files_of(registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, http, file_name, file_data) for each of wanted(id): 200 with the file, 404 where there is no such row or no file."""
+    found = wanted.select("id").join(registry.select("id", "file_name", "file_data"), "id", "left")
+    has = F.col("file_data").isNotNull()
+    return found.select("id", F.when(has, 200).otherwise(404).alias("http"), *(F.when(has, F.col(c)).alias(c) for c in ("file_name", "file_data")))
+
+
 def listing(registry: DataFrame, record: str = "extraction_result") -> DataFrame:
     """All rows without their files, backfilled, status normalized, newest first and then by id."""
     rows = backfill(registry.drop("file_data"), record).withColumn("status", T.normalize_status(F.col("status")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import amounts as A
@@ -99,15 +99,26 @@ def page_type(spark, sf_dir):
     return docs.page_types(_pages(spark, sf_dir))
 
 
-@query(f"WITH {PAGES_SQL} SELECT doc_id, count(*) AS pages, CASE WHEN bool_or(type = 'scanned') THEN 'scanned' ELSE 'text' END AS pdf_type, CASE WHEN bool_and(type = 'scanned') THEN 'scanned' ELSE 'mixed_or_text' END AS pdf_type_detailed FROM ty GROUP BY doc_id")
+@query(f"""WITH {PAGES_SQL} SELECT doc_id, count(type) AS pages, CASE WHEN coalesce(bool_or(type = 'scanned'), true) THEN 'scanned' ELSE 'text' END AS pdf_type,
+  CASE WHEN coalesce(bool_and(type = 'scanned'), true) THEN 'scanned' ELSE 'mixed_or_text' END AS pdf_type_detailed
+FROM (SELECT doc_id FROM documents UNION ALL SELECT 1000000 + item_id FROM benchmark) LEFT JOIN ty USING (doc_id) GROUP BY doc_id""")
 def document_type(spark, sf_dir):
-    return docs.document_types(docs.page_types(_pages(spark, sf_dir)))
+    # Benchmark items stand for documents without pages.
+    pageless = D.table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000).alias("doc_id"))
+    every = D.table(spark, sf_dir, "documents").select("doc_id").unionByName(pageless)
+    return docs.document_types(docs.page_types(_pages(spark, sf_dir)), every)
 
 
-@query(f"WITH s AS (SELECT doc_id, {COMPACT} AS t FROM documents), {metrics_sql('s', 'doc_id')} SELECT doc_id, CASE WHEN {FLAG} THEN 'ocr' ELSE 'native' END AS extraction_method, CAST(NULL AS VARCHAR) AS error FROM m")
+@query(f"""WITH s AS (SELECT doc_id, {COMPACT} AS t FROM documents), {metrics_sql('s', 'doc_id')}
+SELECT doc_id, CASE WHEN blank OR {FLAG} THEN 'ocr' ELSE 'native' END AS extraction_method, CASE WHEN NOT blank AND NOT {FLAG} THEN length(text) WHEN unread THEN 1 ELSE 7 + length(CAST(doc_id AS VARCHAR)) END AS n_chars,
+  CASE WHEN (blank OR {FLAG}) AND unread THEN 'empty_text' END AS error
+FROM (SELECT m.*, text, lang = 'fr' AS blank, source < 'm' AS unread FROM m JOIN (SELECT doc_id, text, lang, coalesce(source, '') AS source FROM documents) USING (doc_id))""")
 def native_or_ocr(spark, sf_dir):
-    rows = D.texts(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("ocr of "), F.col("doc_id").cast("string")).alias("ocr_text"))
-    return docs.route(rows).select("doc_id", "extraction_method", "error")
+    # French documents have a blank native layer; OCR finds nothing in sources of the first half of the alphabet.
+    native = F.when(F.col("lang") == "fr", F.lit(" \n")).otherwise(F.col("text"))
+    recognised = F.when(F.coalesce("source", F.lit("")) < "m", F.lit(" ")).otherwise(F.concat(F.lit("ocr of "), F.col("doc_id").cast("string")))
+    rows = D.texts(spark, sf_dir, "documents").select("doc_id", native.alias("text"), recognised.alias("ocr_text"))
+    return docs.route(rows).select("doc_id", "extraction_method", F.length("usable_text").cast("long").alias("n_chars"), "error")
 
 
 @query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents")
@@ -240,8 +251,8 @@ b AS (SELECT doc_id, bank, s, replace(v, ' دينار', '') AS v FROM a UNION AL
 SELECT doc_id, v AS amount, s - bank AS distance FROM b WHERE s - bank <= 750""")
 def preceding_mention(spark, sf_dir):
     rows = _distant(spark, sf_dir)
-    amounts = rows.select("doc_id", F.explode(record.spans(F.col("text"), record.AMOUNT_PATTERN)).alias("x")).select("doc_id", "x.*")
-    banks = rows.select("doc_id", F.explode(record.spans(F.col("text"), f"(?U){L.BANK}")).alias("x")).select("doc_id", "x.*")
+    amounts = rows.select("doc_id", F.explode(T.spans(F.col("text"), record.AMOUNT_PATTERN)).alias("x")).select("doc_id", "x.*")
+    banks = rows.select("doc_id", F.explode(T.spans(F.col("text"), f"(?U){L.BANK}")).alias("x")).select("doc_id", "x.*")
     met = record.nearest_preceding(amounts, banks, "doc_id", L.AMOUNT_REACH)
     return met.select("doc_id", F.col("l_value").alias("amount"), (F.col("l_start") - F.col("r_start")).cast("long").alias("distance"))
 
@@ -296,9 +307,12 @@ def legal_references(spark, sf_dir):
     return D.judgments(spark, sf_dir).select("doc_id", F.array_join(X.legal_references(F.col("text")), "|").alias("refs"))
 
 
-@query(CITED)
+@query(f"SELECT doc_id, refs, 'الفصل 999|' || refs AS all_refs FROM ({CITED})")
 def final_references(spark, sf_dir):
-    return D.judgments(spark, sf_dir).select("doc_id", F.array_join(X.final_references(F.col("text")), "|").alias("refs"))
+    # An article farther before the ruling than its grounds reach, and one behind it, which are no grounds of it.
+    text = F.concat(F.lit("الفصل 999 . "), F.repeat(F.lit("مقدمة "), L.GROUNDS_REACH // 6), F.col("text"), F.lit("\nالفصل 998 ."))
+    rows = D.judgments(spark, sf_dir).select("doc_id", F.array_join(X.final_references(text), "|").alias("refs"), F.array_join(X.legal_references(text), "|").alias("all_refs"))
+    return rows.select("doc_id", "refs", F.replace("all_refs", F.lit("|الفصل 998"), F.lit("")).alias("all_refs"))
 
 
 @query("SELECT c_custkey, 'شركة ' || c_name AS company FROM customer WHERE c_custkey % 3 <> 0")
@@ -373,17 +387,52 @@ def reply_merged_with_text(spark, sf_dir):
     return record.strengthen(rows, record="reply").select("doc_id", e["tribunal"].alias("tribunal"), F.array_join(e["references_juridiques"], "|").alias("refs"), e["type_jugement"].alias("kind"))
 
 
-@query(f"SELECT doc_id, 'صدر الحكم عن ' || tribunal || ' بتاريخ ' || date_decision || '.' AS first_sentence, length(coalesce(CAST(NULL AS VARCHAR), 'x')) = 1 AS has_summary FROM ({EXTRACTED})")
-def fallback_summary(spark, sf_dir):
-    e = F.col("extraction")
-    rows = record.strengthen(D.judgments(spark, sf_dir)).select("doc_id", e["resume"].alias("resume"))
-    return rows.select("doc_id", F.regexp_extract("resume", r"^([^.]*\.)", 1).alias("first_sentence"), F.col("resume").isNotNull().alias("has_summary"))
+SAID = (
+    ("o_orderkey % 2 = 0", L.SUMMARY_BANKRUPTCY[0], f"'{L.SUMMARY_BANKRUPTCY[1]}'"),
+    ("o_orderkey % 3 = 0", L.SUMMARY_2019[0], f"'{L.SUMMARY_2019[1]}'"),
+    ("o_orderkey % 5 < 2", L.BANK_NAME, f"'ورد بالحكم أن ديون الشركة تشمل مديونية لفائدة {L.BANK_NAME}' || coalesce(' قدرها ' || amount, '') || '.'"),
+    ("o_orderkey % 7 = 0", L.SUMMARY_SOCIAL_FUND[0], f"'{L.SUMMARY_SOCIAL_FUND[1]}'"),
+    ("o_orderkey % 11 < 4", " ".join(L.SUMMARY_TRUSTEE[0]), f"'{L.SUMMARY_TRUSTEE[1]}'"),
+    ("o_orderkey % 13 < 5", L.SUMMARY_ADVANCE[0], f"'{L.SUMMARY_ADVANCE[1]}'"),
+)
+FROM_COURT = "CASE WHEN court IS NOT NULL OR day IS NOT NULL THEN 'صدر الحكم' || coalesce(' عن ' || court, '') || coalesce(' بتاريخ ' || day, '') || '.' END"
 
 
-@query(f"SELECT o_orderkey AS doc_id, true AS within, true AS has_ruling FROM {LISTED}")
+@query(f"""SELECT o_orderkey AS doc_id, nullif(concat_ws(' ', {FROM_COURT}, {', '.join(f"CASE WHEN {when} THEN {what} END" for when, _, what in SAID)}), '') AS resume
+FROM (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN {COURT} END AS court, CASE WHEN o_custkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS day,
+  CASE WHEN o_custkey % 5 > 1 THEN o_orderpriority END AS amount FROM {JUDGED})""")
+def fallback_summary(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "orders").join(D.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    text = F.concat_ws("؛ ", F.lit("نص"), *(F.when(F.expr(when), F.lit(word)) for when, word, _ in SAID))
+    court = F.concat(F.lit("المحكمة الابتدائية ب"), D.pick(D.CITIES, F.col("c_nationkey") % 5))
+    k = F.col("o_custkey")
+    resume = record.summary(text, F.when(k % 2 == 0, court), F.when(k % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")), F.when(k % 5 > 1, F.col("o_orderpriority")))
+    return rows.select(F.col("o_orderkey").alias("doc_id"), resume.alias("resume"))
+
+
+# A text too long for a model: head, mention, middle, mention, tail, list, ruling. Its parts have known lengths.
+HEAD, MIDDLE, TAIL = "رأس ", "وسط ", "ذيل "
+LISTED_AT, RULING_LINE = "المبالغ المالية التالية:", "قضت المحكمة بأداء المبلغ عدد "
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS doc_id, repeat('{HEAD}', 500) AS head, repeat('{MIDDLE}', CAST(300 + o_custkey % 200 AS INT)) AS middle, repeat('{TAIL}', 400) AS tail,
+  chr(10) || '1) قسط (' || o_orderkey || ' د)' || chr(10) AS items, '{L.REASONS_HEADING}' || chr(10) || '{RULING_LINE}' || o_orderkey AS ruling FROM orders),
+p AS (SELECT *, head || '{L.BANK_NAME}' || ' ' || middle || '{L.BANK_NAME}' || ' ' || tail || '{LISTED_AT}' || items || 'وبعد' || chr(10) || ruling AS source, length(head) AS b1,
+  length(head) + {len(L.BANK_NAME) + 1} + length(middle) AS b2 FROM t),
+x AS (SELECT doc_id, '[EXTRAIT: {L.EXCERPTS[0][0]}]' || chr(10) || ruling || chr(10) || chr(10) || '[EXTRAIT: {L.EXCERPTS[1][0]}]' || chr(10) || rtrim(substring(source, 1, 1100))
+  || chr(10) || chr(10) || '[EXTRAIT: {L.EXCERPTS[2][0]}]' || chr(10) AS lead, trim(substring(source, b1 - 119, {120 + len(L.BANK_NAME) + 430})) AS near,
+  CASE WHEN b2 - b1 > 1400 THEN chr(10) || chr(10) || '[EXTRAIT: {L.EXCERPTS[3][0]}]' || chr(10) ELSE '' END AS label, CASE WHEN b2 - b1 > 1400 THEN trim(substring(source, b2 - 119, {120 + len(L.BANK_NAME) + 430})) ELSE '' END AS far,
+  chr(10) || chr(10) || '[EXTRAIT: {L.EXCERPTS[4][0]}]' || chr(10) || ltrim(right(split_part(source, '{LISTED_AT}', 1), 300)) || chr(10) || rtrim(items, chr(10)) AS amounts FROM p)
+SELECT doc_id, lead || {{near}} || label || {{far}} || amounts AS excerpts FROM x""".format(
+    **{k: f"CASE WHEN length({k}) <= 400 THEN {k} ELSE rtrim(substring({k}, 1, (400 - {len(L.SHORTENED)}) // 2)) || '{L.SHORTENED}' || ltrim(right({k}, 400 - {len(L.SHORTENED)} - (400 - {len(L.SHORTENED)}) // 2)) END" for k in ("near", "far")}
+))
 def model_excerpts(spark, sf_dir):
-    rows = D.judgments(spark, sf_dir).select("doc_id", docs.excerpts(F.concat(F.repeat(F.lit("مقدمة "), 900), "text"), 4500).alias("x"))
-    return rows.select("doc_id", (F.length("x") <= 4500).alias("within"), F.col("x").contains(L.REASONS_HEADING).alias("has_ruling"))
+    k, bank = F.col("o_orderkey").cast("string"), F.concat(F.lit(L.BANK_NAME), F.lit(" "))
+    text = F.concat(
+        F.repeat(F.lit(HEAD), 500), bank, F.repeat(F.lit(MIDDLE), (F.col("o_custkey") % 200 + 300).cast("int")), bank, F.repeat(F.lit(TAIL), 400),
+        F.lit(LISTED_AT), F.lit("\n1) قسط ("), k, F.lit(" د)\nوبعد\n"), F.lit(L.REASONS_HEADING), F.lit(f"\n{RULING_LINE}"), k,
+    )
+    return D.texts(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), docs.excerpts(text, 4500).alias("excerpts"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 404 WHEN 1 THEN 422 WHEN 2 THEN 422 WHEN 3 THEN 504 WHEN 4 THEN 503 WHEN 5 THEN 502 ELSE 500 END AS http,
@@ -549,8 +598,7 @@ a AS (SELECT doc_id, text, line, row_number() OVER (PARTITION BY doc_id, key ORD
 u AS (SELECT doc_id, text, line, true AS supplementary FROM a WHERE r = 1 UNION ALL SELECT doc_id, text, line, false FROM x WHERE psm = own)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY supplementary DESC, line) - 1 AS position, text, supplementary FROM u""")
 def ocr_merge(spark, sf_dir):
-    words = D.words(spark, sf_dir)
-    merged = ocr.merge_readings(ocr.lines(words), ocr.choose_reading(ocr.readings(words)))
+    merged = ocr.merged_lines(D.words(spark, sf_dir))
     return merged.select("doc_id", F.col("position").cast("long").alias("position"), "text", "supplementary")
 
 
@@ -558,3 +606,82 @@ def ocr_merge(spark, sf_dir):
 def ink_runs(spark, sf_dir):
     rows = D.table(spark, sf_dir, "lineitem").filter("l_partkey % 4 <> 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row"))
     return ocr.islands(rows, "doc_id", "row").select("doc_id", "first", "last")
+
+
+# ---- rules that the queries above leave out
+
+
+@query("SELECT p_partkey, p_name || ' والمحكمة قضت ودفاع' || repeat('ا', p_size) || ' و ا' AS text FROM part")
+def arabic_rejoin(spark, sf_dir):
+    text = F.concat(F.lit("\u200f"), F.col("p_name"), F.lit(" و أ \n لمحكمة قضت\u202c و\nدفاع"), F.repeat(F.lit("ا"), F.col("p_size")), F.lit(" و ا"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", T.rejoin_ocr_arabic(text).alias("text"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 < 2 AS marked FROM orders")
+def justification_prefix(spark, sf_dir):
+    text = F.concat(D.pick((" \nولهذه الأسباب", "قضت  المحكمة", "حيث قضت المحكمة", "الأسباب"), F.col("o_orderkey") % 4), F.lit(" "), F.col("o_orderpriority"))
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", X.starts_with_marker(text).alias("marked"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 8 IN (0, 1, 2, 3) AS force_ocr FROM orders")
+def upload_flags(spark, sf_dir):
+    said = D.pick(("1", " TRUE ", "yes", "On", "0", "false", "2", ""), F.col("o_orderkey") % 8)
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", docs.is_truthy(said).alias("force_ocr"))
+
+
+@query("SELECT id, CASE WHEN o_orderkey IS NULL THEN 404 ELSE 200 END AS http, lower(c_mktsegment) || '_' || o_orderkey || '.pdf' AS file_name, CAST(length(CAST(o_orderkey AS VARCHAR)) AS INT) AS n_bytes FROM (SELECT l_orderkey + l_linenumber AS id FROM lineitem GROUP BY 1) LEFT JOIN (orders JOIN customer ON o_custkey = c_custkey) ON id = o_orderkey")
+def registry_files(spark, sf_dir):
+    wanted = D.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("id")).distinct()
+    found = registry.files_of(D.registry(spark, sf_dir), wanted)
+    return found.select("id", "http", "file_name", F.octet_length("file_data").alias("n_bytes"))
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 3 = 0) AS backfilled FROM orders")
+def backfill_count(spark, sf_dir):
+    return registry.backfilled(D.registry(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS id, is_new, row_number() OVER (ORDER BY is_new DESC, o_orderdate DESC, o_orderkey DESC) AS place FROM (SELECT o_orderkey, o_orderdate, false AS is_new FROM orders UNION ALL SELECT o_orderkey, o_orderdate, true FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY place LIMIT 20")
+def registry_prepend(spark, sf_dir):
+    rows = D.registry(spark, sf_dir).select("id", "date")
+    urgent = D.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("date"))
+    first = registry.prepend(rows, urgent).limit(20).withColumn("one", F.lit(1))  # the list's first page
+    place = F.row_number().over(Window.partitionBy("one").orderBy(F.desc("is_new"), F.desc("date"), F.desc("id")))
+    return first.select("id", "is_new", place.cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '-' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS shown FROM orders")
+def date_display(spark, sf_dir):
+    day = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate"))
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", T.display_date(day).alias("shown"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN {MILLIMES.format('o_totalprice')} ELSE {MILLIMES.format('o_totalprice')} + (o_custkey + 1000) * 1000000 + 1000 END AS millimes, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS items FROM orders""")
+def interest_recovery(spark, sf_dir):
+    # The list names delayed interest without an amount; the grounds state one, an earlier and smaller one before it.
+    grounds = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("فائض التأخير قدره 1.000.000 وفائض التأخير الاتفاقي قدره "), D.written((F.col("o_custkey") + 1000) * 1_000_000 + 1000, F.lit(1)), F.lit(" د\n"))
+    )
+    text = F.concat(
+        F.lit(L.BANK_NAME), F.lit("\n"), grounds, F.lit("المبالغ المالية التالية:\n1) أصل الدين ("), D.written(D.millimes(F.col("o_totalprice")), F.lit(0)),
+        F.lit(" د)\n2) فائض التأخير الجاري إلى تمام الوفاء\nوبعد الاطلاع"),
+    )
+    awards = record.applicable_amounts(text, F.lit("original"), F.lit("demandeur"))
+    rows = D.texts(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), awards.alias("a"))
+    return rows.select("doc_id", F.col("a.millimes").alias("millimes"), F.size("a.fixed").alias("items"))
+
+
+@query(f"SELECT o_orderkey AS doc_id, o_orderkey % 3 = 1 AND (o_orderkey // 5) % 4 <> 2 AND o_orderkey % 5 <> 4 AS noted FROM {LISTED} WHERE (o_orderkey // 5) % 4 <> 2 AND o_orderkey % 5 <> 4")
+def advance_note(spark, sf_dir):
+    note = F.when(F.col("doc_id") % 3 == 1, F.lit("\nتسبقة مبلغ قدره خمسمائة دينار (500,000)")).otherwise(F.lit(""))
+    rows = record.strengthen(D.judgments(spark, sf_dir).withColumn("text", F.concat("text", note)))
+    said = F.col("extraction")["explication_montant"]
+    awarded = rows.filter(F.col("extraction")["montants_fixes"].isNotNull())
+    times = F.length(said) - F.length(F.replace(said, F.lit(L.ADVANCE_NOTE), F.lit("")))
+    return awarded.select("doc_id", (times == len(L.ADVANCE_NOTE)).alias("noted"))
+
+
+@query(f"SELECT o_orderkey AS doc_id, {COURT} AS tribunal, o_orderkey || '/' || year(o_orderdate) AS numero_dossier FROM {LISTED}")
+def record_json(spark, sf_dir):
+    rows = record.strengthen(D.judgments(spark, sf_dir)).select("doc_id", F.to_json("extraction").alias("json"))
+    return rows.select("doc_id", F.get_json_object("json", "$.tribunal").alias("tribunal"), F.get_json_object("json", "$.numero_dossier").alias("numero_dossier"))

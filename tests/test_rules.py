@@ -169,3 +169,44 @@ def test_files_readers_and_clients(spark, tmp_path):
     assert {r["doc_id"]: (r["raw"], r["error"]) for r in replies.collect()} == {1: ("{}", None), 2: (None, "RuntimeError: no")}
     documents.write_text(spark.createDataFrame([(1, "é\n")], "doc_id long, text string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).filter("value <> ''").first()["value"] == "é"
+
+
+def test_ocr_by_injected_engine_end_to_end(spark):
+    """Pages of a file, each read in two modes, become words, lines, a choice of readings and one text."""
+    said = {b"p1": "خبر عدد 5 \nنص", b"p2": "ص"}
+
+    def engine(image, psm):
+        found = []
+        for i, line in enumerate(said[image].split("\n")):
+            for j, word in enumerate(line.split(" ")):
+                conf = 90.0 if psm == "psm6" else 50.0
+                found.append({"block_num": 1, "par_num": 1, "line_num": i, "text": word, "conf": conf, "left": j, "top": i, "width": 2, "height": 1})
+        return found
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"p1,p2")), ("b.pdf", bytearray(b"p2"))], "path string, content binary")
+    words = documents.recognise_with(files, lambda content: content.split(b","), engine)
+    assert words.count() == 2 * (5 + 1 + 1)  # the blank word at a line's end is there until lines are built
+    texts = {(r["doc_id"], r["page"]): r["text"] for r in ocr.page_text(ocr.merged_lines(words)).collect()}
+    assert texts == {("a.pdf", 1): "خبر عدد 5\nنص", ("a.pdf", 2): "ص", ("b.pdf", 1): "ص"}
+    both = ocr.merge_readings(ocr.lines(words), ocr.choose_reading(ocr.readings(words)))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, ocr.merged_lines(words).select(*both.columns).collect()))
+    boxes = ocr.visible_words(words).filter("page = 1 and psm = 'psm6' and line_num = 0").orderBy("idx").select("confidence", "bbox").collect()
+    assert (boxes[1]["confidence"], list(boxes[1]["bbox"])) == (0.9, [1, 0, 3, 1])
+
+
+def test_blocks_by_injected_reader(spark):
+    files = spark.createDataFrame([("a.pdf", bytearray(b"x"))], "path string, content binary")
+    found = documents.blocks_with(files, lambda content: [[([0.0, 1.0, 2.0, 3.0], " one "), ([0.0, 0.0, 1.0, 1.0], " ")], [([5.0, 5.0, 6.0, 6.0], "two")]]).collect()
+    assert [(r["path"], r["page"], list(r["bbox"]), r["text"]) for r in found] == [("a.pdf", 1, [0, 1, 2, 3], "one"), ("a.pdf", 2, [5, 5, 6, 6], "two")]
+
+
+def test_repeated_changes_make_no_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    changes = spark.createDataFrame([(1, "c"), (1, "d")], "id long, x string")
+    assert sorted(map(tuple, registry.update_by_id(rows, changes, ["x"]).collect())) == [(1, "d"), (2, "b")]
+
+
+def test_spans_of_very_many_matches(spark):
+    found = spark.createDataFrame([("ab " * 20_000 + "é ab",), ("",), (None,)], "t string").select(T.spans(F.col("t"), "(?U)ab").alias("x")).collect()
+    assert len(found[0]["x"]) == 20_001 and [tuple(x) for x in (found[0]["x"][19_999], found[0]["x"][-1])] == [(59_997, 59_999, "ab"), (60_002, 60_004, "ab")]
+    assert found[1]["x"] == [] and found[2]["x"] is None
