@@ -190,7 +190,7 @@ def test_ocr_by_injected_engine_end_to_end(spark):
     assert texts == {("a.pdf", 1): "خبر عدد 5\nنص", ("a.pdf", 2): "ص", ("b.pdf", 1): "ص"}
     both = ocr.merge_readings(ocr.lines(words), ocr.choose_reading(ocr.readings(words)))
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, ocr.merged_lines(words).select(*both.columns).collect()))
-    boxes = ocr.visible_words(words).filter("page = 1 and psm = 'psm6' and line_num = 0").orderBy("idx").select("confidence", "bbox").collect()
+    boxes = ocr.visible_words(words).filter("doc_id = 'a.pdf' and page = 1 and psm = 'psm6' and line_num = 0").orderBy("idx").select("confidence", "bbox").collect()
     assert (boxes[1]["confidence"], list(boxes[1]["bbox"])) == (0.9, [1, 0, 3, 1])
 
 
