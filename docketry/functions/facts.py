@@ -46,7 +46,7 @@ def tribunal(text: Column) -> Column:
 
 def decision_date(text: Column) -> Column:
     """DD/MM/YYYY of the first day, month name and year; not checked against the calendar."""
-    names = "|".join(sorted(L.MONTHS, key=lambda m: (L.MONTHS[m], m)))
+    names = "|".join(L.MONTHS)
     pattern = rf"(?U)\b(\d{{1,2}})\s+({names})\s+(\d{{4}})\b"
     months = F.create_map(*(F.lit(v) for kv in L.MONTHS.items() for v in kv))
 

@@ -127,7 +127,7 @@ def allocate_refs(new: DataFrame, existing: DataFrame, year: str, order: str) ->
     numbered inside a range, so a year with most rows is not ranked by one task.
     """
     number = F.regexp_extract("ref", r"^D-(\d{4})-(\d+)$", 2)
-    largest = existing.filter(number != "").groupBy(F.regexp_extract("ref", r"^D-(\d{4})-(\d+)$", 1).alias("_y")).agg(F.max(number.cast("long")).alias("_largest"))
+    largest = existing.filter(F.col("ref").startswith("D-")).filter(number != "").groupBy(F.regexp_extract("ref", r"^D-(\d{4})-(\d+)$", 1).alias("_y")).agg(F.max(number.cast("long")).alias("_largest"))
     rows = new.withColumn("_y", F.col(year).cast("string")).withColumn("_range", F.floor(F.col(order) / 10_000))
     before = Window.partitionBy("_y").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("_y", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
