@@ -77,3 +77,14 @@ def test_rows_that_share_an_id_are_decided_apart(spark, tmp_path):
     assert [i for i, _ in found] == ["5", "7", "7", "9", "None"] and {t.replace("  ", " ") for _, t in found} == {copied, alone, leaked, near, clean}
     docs = stages["decontamination"](spark, docs, str(tmp_path))
     assert [(i, t.replace("  ", " ")) for i, t in left()] == [("5", near), ("7", clean), ("9", copied), ("None", alone)]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    extra = ["score", "lang_pred", "_text", "_gone", "row_key", "found", "sure", "kept", "n_hit", "component_id", "uid", "Row_Key_"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in extra)
+    rows = [(i, f"text number {'abcdefgh'[i]} of its own, " * (i + 1), "en", "s", i, *range(len(extra))) for i in range(5)]
+    docs = spark.createDataFrame(rows + [(7, None, None, None, None, *[None] * len(extra))], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [x.split()[0].strip("`") for x in schema.split(", ")], name
+        assert sorted((r["doc_id"], r["score"], r["row_key"], r["Row_Key_"]) for r in docs.collect()) == [(i, 0, 4, 11) for i in range(5)], name
