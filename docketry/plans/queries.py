@@ -671,16 +671,6 @@ def interest_recovery(spark, sf_dir):
     return rows.select("doc_id", F.col("a.millimes").alias("millimes"), F.size("a.fixed").alias("items"))
 
 
-@query(f"SELECT o_orderkey AS doc_id, o_orderkey % 3 = 1 AND (o_orderkey // 5) % 4 <> 2 AND o_orderkey % 5 <> 4 AS noted FROM {LISTED} WHERE (o_orderkey // 5) % 4 <> 2 AND o_orderkey % 5 <> 4")
-def advance_note(spark, sf_dir):
-    note = F.when(F.col("doc_id") % 3 == 1, F.lit("\nتسبقة مبلغ قدره خمسمائة دينار (500,000)")).otherwise(F.lit(""))
-    rows = record.strengthen(D.judgments(spark, sf_dir).withColumn("text", F.concat("text", note)))
-    said = F.col("extraction")["explication_montant"]
-    awarded = rows.filter(F.col("extraction")["montants_fixes"].isNotNull())
-    times = F.length(said) - F.length(F.replace(said, F.lit(L.ADVANCE_NOTE), F.lit("")))
-    return awarded.select("doc_id", (times == len(L.ADVANCE_NOTE)).alias("noted"))
-
-
 @query(f"SELECT o_orderkey AS doc_id, {COURT} AS tribunal, o_orderkey || '/' || year(o_orderdate) AS numero_dossier FROM {LISTED}")
 def record_json(spark, sf_dir):
     rows = record.strengthen(D.judgments(spark, sf_dir)).select("doc_id", F.to_json("extraction").alias("json"))
