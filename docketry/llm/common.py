@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,16 +70,39 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
     return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
 
 
+def running_total(df: DataFrame, order: list[str], value: str | None = None, group: str | None = None, into: str = "before") -> DataFrame:
+    """df with `into`: the sum of `value` (the number, without it) of the rows that come before in `order`, inside `group`.
+
+    Rows are dealt out by ranges of group and order and added up inside a range; the ranges' own
+    sums, one for each task and group, then tell where each begins. Rows that tie in everything
+    are told apart by Spark's row number, so they spread over tasks too; which of them comes first
+    is not fixed. df should be a table, as it is read twice.
+    """
+    spark, keys = df.sparkSession, [k for k in [group] if k]
+    part, amount, serial, first = (fresh_name([*df.columns, into], x) for x in ("range_part", "range_amount", "range_serial", "range_first"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(df.withColumn(serial, F.monotonically_increasing_id()), "running-rows")
+    rows = rows.repartitionByRange(tasks, *keys, *order, serial).withColumn(part, F.spark_partition_id())
+    rows = rows.withColumn(amount, F.col(value).cast("long") if value else F.lit(1).cast("long"))
+    rows = materialise(rows, "running-ranges")
+    inside = Window.partitionBy(part, *keys).orderBy(*order, serial).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(part, *keys).agg(F.sum(amount).alias(amount))
+    parts = parts.select(part, *keys, F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias(first))
+    placed = rows.withColumn(into, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return placed.join(parts, [part, *keys]).select(*(f"`{c}`" for c in df.columns), (F.col(into) + F.col(first)).alias(into))
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a null-free Arrow string column and the n + 1 offsets into them."""
+    """The UTF-8 bytes of a null-free Arrow string or binary column and the n + 1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32) if len(column) else np.zeros(1, np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]

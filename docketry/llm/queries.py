@@ -89,6 +89,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
+        "op11_phrase_mining": op11_phrase_mining,
     }
 
 
@@ -143,4 +150,18 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS best FROM p)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> best THEN best END AS refers_to FROM m""",
+        "op11_phrase_mining": """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.k, f.g, f.a, cut, x.a AS l, y.a AS r, 1000 * f.a * t.n // (x.a * y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) f JOIN f x ON x.lang = f.lang AND x.g = f.g[1:f.cut] JOIN f y ON y.lang = f.lang AND y.g = f.g[f.cut + 1:f.k] JOIN t ON t.lang = f.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS o FROM c),
+inner_g AS (SELECT DISTINCT lang, g[i:i + m - 1] AS g, a FROM (SELECT lang, g, a, k, m, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)),
+x AS (SELECT lang, g, max(a) AS longer FROM inner_g GROUP BY ALL),
+s AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN x USING (lang, g) WHERE o = 1 AND (longer IS NULL OR 100 * longer < 100 * b.a)),
+k AS (SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000""",
     }
