@@ -1,12 +1,13 @@
 """Phrases whose words stand together more often than chance has it.
 
 Rabin-Karp fingerprints: prefix polynomials in numpy give the fingerprint of every n-gram of a
-block of texts at once. Blocks send each fingerprint once, with its count and a pointer to one
-occurrence. Before an n-gram is sent, both (n-1)-grams inside it must have been frequent, which
-every frequent one's are: what is frequent is told by a bit map of bounded size, so a bit set by
-another fingerprint costs a row and changes nothing. Pointers of frequent fingerprints are then
-followed into the texts, and counts are added up again by the words themselves, so fingerprints
-that collide are told apart. Only these phrases are ever written out.
+block of texts at once. Blocks send each fingerprint once, with its count, to be added up. Before an
+n-gram is sent, both (n-1)-grams inside it must have been frequent, which every frequent one's are:
+what is frequent is told by a bit map of bounded size, so bits set by other fingerprints cost a row
+and change nothing. For the frequent ones blocks then keep a pointer to an occurrence, hold all other
+occurrences against its words, and follow it where the text is, before the shuffle, which adds the
+counts up by the words themselves: fingerprints that collide are told apart, and nothing but
+frequent phrases is ever written out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ UNKNOWN = "und"
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: A word of more bytes is hashed by itself.
 LONG_WORD = 1 << 16
-#: A bit map has at least 16 bits for each fingerprint, and no more than 2^30 bits (128 MB) in all.
-LEAST_BITS, MOST_BITS = 16, 30
+#: A bit map has 32 to 64 bits for each fingerprint, so that one in 250 others passes; never more than 2^30 bits
+#: (128 MB), beyond which more of them pass and results stay the same.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 30
 CHUNK = 1 << 16
 
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -100,12 +102,13 @@ class Block:
         self.rows = np.searchsorted(offsets, self.starts, side="right") - 1
         self.offsets = offsets
         # Two words are in one piece if no break and no text's beginning lies between them.
-        self.pieces = np.cumsum(kind == 2)[self.starts] + self.rows if len(data) else self.starts
+        self.pieces = np.searchsorted(np.flatnonzero(kind == 2), self.starts) + self.rows
         self.own = len(self.starts) if own_bytes is None else int(np.searchsorted(self.starts, own_bytes))
         ends = np.zeros(len(self.starts) + 1, np.int32)
         np.cumsum(self.stops - self.starts, out=ends[1:])
         words = pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(lowered[word])])
         coded = words.dictionary_encode()
+        self.lowered = lowered
         self.ids = coded.indices.to_numpy(zero_copy_only=False)
         self.hashes = _word_hashes(coded.dictionary)[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
 
@@ -117,6 +120,13 @@ class Block:
         return found, self.pieces[n - 1 :][:m] == self.pieces[:m]
 
 
+    def words(self, at: np.ndarray, n: int) -> list[bytes]:
+        """The n words from each of the given ones on, with one blank between."""
+        data = self.lowered.tobytes()
+        found = [data[a:b] for a, b in zip(self.starts[at].tolist(), self.stops[at + n - 1].tolist(), strict=True)]
+        return [b" ".join(x.split()) for x in found] if n > 1 else found
+
+
 def blocks(batch: pa.RecordBatch, block_bytes: int, longest: int) -> Iterator[tuple[Block, int, int, int]]:
     """(block, first row, rows, bytes of the row that lie before it); a text over `block_bytes` is cut between words.
 
@@ -156,9 +166,13 @@ def _word_after(data: np.ndarray, at: int) -> int:
     return _first(data, at, True)
 
 
-def _is_set(bits: np.ndarray, width: int, found: np.ndarray) -> np.ndarray:
-    at = found >> np.uint64(64 - width)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _is_set(known: tuple[int, np.ndarray], found: np.ndarray) -> np.ndarray:
+    """Whether both bits of each fingerprint are set: those of its first and of its last `width` bits."""
+    width, bits = known
+    out = np.ones(len(found), bool)
+    for at in (found >> np.uint64(64 - width), found & np.uint64((1 << width) - 1)):
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _salts(batch: pa.RecordBatch, a: int, n: int) -> np.ndarray:
@@ -175,18 +189,14 @@ def _count(batches: Iterator[pa.RecordBatch], n: int, known: Broadcast | None, m
             salt = _salts(batch, a, rows)
             found, ok = block.fingerprints(n, salt, mask)
             if known:
-                width, bits = known.value
-                shorter = _is_set(bits, width, block.fingerprints(n - 1, salt, mask)[0])
+                shorter = _is_set(known.value, block.fingerprints(n - 1, salt, mask)[0])
                 ok &= shorter[: len(found)] & shorter[1 : len(found) + 1]
             ok[block.own :] = False
             values, counts = np.unique(found[ok], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], schema=COUNTS)
 
 
-FOUND = "lang string, n int, fp long, count long, uid long, start long, stop long"
-ARROW = pa.schema([
-    ("lang", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("count", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
-])
+ARROW = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
 
 
 def exact_groups(found: np.ndarray, same: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,37 +218,28 @@ def exact_groups(found: np.ndarray, same: list[np.ndarray]) -> tuple[np.ndarray,
     return np.concatenate([first, [v[0] for v in others.values()]]), np.concatenate([counts, [len(v) for v in others.values()]])
 
 
-def _point(batches: Iterator[pa.RecordBatch], known: list[Broadcast], mask: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Each block's n-grams that may be frequent: fingerprint, exact count in the block, and where the first one stands.
+def _follow(batches: Iterator[pa.RecordBatch], known: list[Broadcast], mask: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Each block's n-grams that may be frequent: the words that the pointer of each points to, and its exact count.
 
     A row of n = 0 for each language holds its number of words.
     """
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         names, codes = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
-        uids = batch.column("uid").to_numpy()
-        for block, a, rows, before in blocks(batch, block_bytes, len(known)):
+        for block, a, rows, _ in blocks(batch, block_bytes, len(known)):
             salt, code = _salts(batch, a, rows), codes[a : a + rows]
             totals = np.bincount(code[block.rows[: block.own]], minlength=len(names))
             some = np.flatnonzero(totals)
-            zero = pa.array(np.zeros(len(some), np.int64))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), zero.cast(pa.int32()), zero, pa.array(totals[some], pa.int64()), zero, zero, zero], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(np.zeros(len(some), np.int32)), pa.nulls(len(some), pa.string()), pa.array(totals[some], pa.int64())], schema=ARROW)
             for n, frequent in enumerate(known, 1):
-                width, bits = frequent.value
                 found, ok = block.fingerprints(n, salt, mask)
-                ok &= _is_set(bits, width, found)
+                ok &= _is_set(frequent.value, found)
                 ok[block.own :] = False
                 at = np.flatnonzero(ok)
                 first, counts = exact_groups(found[at], [block.ids[at + i] for i in range(n)] + [code[block.rows[at]]])
                 at = at[first]
-                row = block.rows[at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        names.take(pa.array(code[row])), pa.array(np.full(len(at), n, np.int32)), pa.array(found[at].view(np.int64)), pa.array(counts, pa.int64()), pa.array(uids[a + row]),
-                        pa.array(block.starts[at] - block.offsets[row] + before), pa.array(block.stops[at + n - 1] - block.offsets[row] + before),
-                    ],
-                    schema=ARROW,
-                )
+                words = pa.array(block.words(at, n), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(code[block.rows[at]])), pa.array(np.full(len(at), n, np.int32)), words, pa.array(counts, pa.int64())], schema=ARROW)
 
 
 def _pack(rows: pa.Table) -> pa.Table:
@@ -251,10 +252,11 @@ def _pack(rows: pa.Table) -> pa.Table:
 
 
 def bit_map(fingerprints: DataFrame) -> tuple[int, np.ndarray]:
-    """(width, bits): a bit at the first `width` bits of each of fingerprints(fp); its size follows their number up to 128 MB."""
-    wanted = 16 * max(fingerprints.count(), 1)
+    """(width, bits): two bits set for each of fingerprints(fp); its size follows their number, up to 128 MB."""
+    wanted = BITS_EACH * max(fingerprints.count(), 1)
     width = min(max(wanted.bit_length(), LEAST_BITS), MOST_BITS)
-    at = fingerprints.select(F.shiftrightunsigned("fp", 64 - width).alias("at")).distinct()
+    both = F.array(F.shiftrightunsigned("fp", 64 - width), F.col("fp").bitwiseAND(F.lit((1 << width) - 1)))
+    at = fingerprints.select(F.explode(both).alias("at")).distinct()
     chunks = at.groupBy(F.shiftright("at", 16).alias("chunk")).applyInArrow(_pack, "chunk long, bits binary").collect()
     bits = np.zeros(1 << (width - 3), np.uint8)
     for chunk in chunks:
@@ -262,7 +264,7 @@ def bit_map(fingerprints: DataFrame) -> tuple[int, np.ndarray]:
     return width, bits
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, mask: int = (1 << 64) - 1, block_bytes: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, mask: int = (1 << 64) - 1, block_bytes: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to `longest` words that occur `least` times or more in a language, and all its words.
 
     docs(lang, text); a null lang is `und`, a null text is empty. Texts are lower-cased (A-Z), cut
@@ -271,24 +273,18 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, mask:
     are ignored; without any word both are empty. `mask` cuts fingerprints short, for tests.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = materialise(texts, "phrase-texts").withColumn("lang_hash", F.xxhash64("lang"))
+    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("lang_hash", F.xxhash64("lang"))
     known: list[Broadcast] = []
     for n in range(1, longest + 1):
         work = partial(_count, n=n, known=known[-1] if known else None, mask=mask, block_bytes=block_bytes, longest=longest)
         counts = texts.select("lang_hash", "text").mapInArrow(work, "fp long, count long")
         counts = counts.groupBy("fp").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("fp")
         known.append(spark.sparkContext.broadcast(bit_map(materialise(counts, f"phrase-frequent-{n}"))))
-    found = materialise(texts.mapInArrow(partial(_point, known=known, mask=mask, block_bytes=block_bytes), FOUND), "phrase-pointers")
+    found = texts.mapInArrow(partial(_follow, known=known, mask=mask, block_bytes=block_bytes), "lang string, n int, phrase string, count long")
+    found = materialise(found.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("a")).filter((F.col("a") >= least) | (F.col("n") == 0)), "phrases")
     for bits in known:
         bits.unpersist()
-    enough = found.filter("n > 0").groupBy("n", "fp").agg(F.sum("count").alias("total")).filter(F.col("total") >= least).drop("total")
-    pointers = found.filter("n > 0").join(enough, ["n", "fp"])
-    written = pointers.join(texts.select("uid", "text"), "uid").select("lang", "n", "count", F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))").cast("string").alias("raw"))
-    phrase = F.regexp_replace(F.translate("raw", UPPER, LOWER), "[ \t]+", " ")
-    phrases = written.groupBy("lang", "n", phrase.alias("phrase")).agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
-    totals = found.filter("n = 0").groupBy("lang").agg(F.sum("count").alias("n_words"))
-    return materialise(phrases, "phrases"), materialise(totals, "phrase-totals")
+    return found.filter("n > 0"), found.filter("n = 0").select("lang", F.col("a").alias("n_words"))
 
 
 def _without_contained(phrases: DataFrame) -> DataFrame:
@@ -325,7 +321,7 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "a", "cut.l", "cut.r", F.col("n_words").alias("n"), "cut.score")
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, mask: int = (1 << 64) - 1, block_bytes: int = 8_000_000) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, mask: int = (1 << 64) - 1, block_bytes: int = 4_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases by score, count and bytes.
 
     Phrases of 2 to `longest` words with a >= `least` occurrences; see `frequent_phrases` and

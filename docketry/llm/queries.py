@@ -95,6 +95,61 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.merkle import folded, proof_digest, tampered_text, verified_manifest
+
+    found = verified_manifest(read_table(spark, sf_dir, "documents"), tampered_text(F.col("doc_id"), F.col("text")))
+    found = found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), folded(F.col("seen"), F.col("steps")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.sharding import hilbert_shards
+
+    found = hilbert_shards(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place")
+
+
+def _merkle_sql() -> str:
+    """Levels of the trees and of the tree over their tops, one after the other; 8^8 rows a language at most."""
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    field = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+    digest = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+        "lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+    )
+    ctes = [
+        f"c AS (SELECT *, CASE WHEN {crc} % 3 = 0 THEN translate(text, {lower}) ELSE text END AS found FROM documents)",
+        f"t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (SELECT doc_id, lang, {digest('text')} AS leaf, {digest('found')} AS seen FROM c))",
+        "n0 AS (SELECT lang AS g, i, leaf AS h FROM t)",
+    ]
+
+    def climb(name: str, side: str, depth: int) -> None:
+        over = "OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {})"
+        for k in range(depth):
+            before, behind = over.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), over.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            ctes.append(f"{side}{k} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) > 1 AS up, coalesce(string_agg(h, '') {before}, '') AS l, coalesce(string_agg(h, '') {behind}, '') AS r FROM {name}{k})")
+            ctes.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN bool_or(up) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM {side}{k} GROUP BY g, i // 8)")
+
+    def fold(source: str, side: str, depth: int, tree: str, at: str) -> str:
+        for k in range(depth):
+            own = f"{side}{k}"
+            source = (
+                f"(SELECT f.* REPLACE (CASE WHEN up THEN sha256(l || now || r) ELSE now END AS now, CASE WHEN up THEN proof || l || r ELSE proof END AS proof) "
+                f"FROM {source} f JOIN {own} s ON s.g IS NOT DISTINCT FROM f.{tree} AND s.i = f.{at} // {8**k})"
+            )
+        return source
+
+    climb("n", "s", 8)
+    ctes.append("m0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h FROM n8)")
+    ctes.append("names AS (SELECT g AS lang, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS j, h AS subroot FROM n8)")
+    climb("m", "u", 3)
+    start = "(SELECT t.*, 0 AS one, j, subroot, seen AS now, '' AS proof FROM t JOIN names ON names.lang IS NOT DISTINCT FROM t.lang)"
+    whole = fold(fold(start, "s", 8, "lang", "i"), "u", 3, "one", "j")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, m3.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = m3.h AS verified FROM {whole}, m3"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -108,6 +163,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
         "op11_phrase_mining": op11_phrase_mining,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_hilbert_sharding": op13_hilbert_sharding,
     }
 
 
@@ -164,4 +221,5 @@ x AS (SELECT lang, g, max(a) AS longer FROM inner_g GROUP BY ALL),
 s AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN x USING (lang, g) WHERE o = 1 AND (longer IS NULL OR 100 * longer < 100 * b.a)),
 k AS (SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000""",
+        "op12_merkle_manifest": _merkle_sql(),
     }
