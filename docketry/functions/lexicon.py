@@ -111,6 +111,8 @@ SERVICE_ERRORS = (
     ("FileNotFoundError", 404, "FILE_NOT_FOUND"), ("ValueError", 422, "INVALID_INPUT"), ("RuntimeError", 422, "EXTRACTION_FAILED"),
     ("APITimeoutError", 504, "LLM_TIMEOUT"), ("APIConnectionError", 503, "LLM_UNAVAILABLE"), ("APIError", 502, "LLM_ERROR"),
 )
+PARTIAL_MESSAGE = "Extraction partielle : verification manuelle ou relance requise."
+TIMEOUT_MESSAGE = "Le service d'extraction IA a depasse le delai autorise."
 INTERNAL_ERROR = (500, "INTERNAL_ERROR")
 CLIENT_ERRORS = {400: 422, 422: 422, 503: 503, 504: 504}
 OTHER_CLIENT_ERROR = 502

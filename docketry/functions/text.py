@@ -39,19 +39,27 @@ def prefix_sums(values: Column) -> Column:
     return let(values, lambda v: let(in_parts(v), joined))
 
 
+def absent_mark(text: Column) -> Column:
+    """A mark that the text does not hold, nor any text that it is put into: U+0001, or a longer run of it than the text has, between U+0002."""
+    longest = F.length(F.array_max(F.regexp_extract_all(text, F.lit("\x01+"), F.lit(0))))
+    return F.when(text.contains("\x01"), F.concat(F.lit("\x02"), F.repeat(F.lit("\x01"), longest + 1), F.lit("\x02"))).otherwise("\x01")
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, value>> of a pattern's matches, in code points.
 
     The pieces between matches are cut at a mark that replaces them: Spark keeps the compiled
     pattern of a replacement, and compiles that of a split anew for every row.
     """
-    cut = F.split(F.regexp_replace(F.translate(text, "\x01", " "), pattern, "\x01"), "\x01", -1)
 
     def placed(v: Column) -> Column:
         stops = prefix_sums(F.transform(v["found"], lambda m, i: F.length(F.get(v["pieces"], i)) + F.length(m)))
         return F.transform(F.arrays_zip(stops.alias("stop"), v["found"].alias("m")), lambda x: F.struct((x["stop"] - F.length(x["m"])).alias("start"), x["stop"].alias("stop"), x["m"].alias("value")))
 
-    return let(F.struct(cut.alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
+    def cut(mark: Column) -> Column:
+        return F.struct(F.split(F.regexp_replace(text, F.lit(pattern), mark), mark, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    return let(let(absent_mark(text), cut), placed)
 
 
 def strip(x: Column) -> Column:

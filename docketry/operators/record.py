@@ -231,4 +231,6 @@ def strengthen(docs: DataFrame, text: str = "text", record: str | None = None) -
         "resume": F.when(brief, F.coalesce(summary(F.col("_t"), F.col("_tribunal"), F.col("_date"), amount), r["resume"])).otherwise(r["resume"]),
     }
     merged = staged.withColumn("_merged", F.struct(*(values[k].cast(v).alias(k) for k, v in S.FIELDS.items())))
-    return merged.select(*keep, normalize_record(F.col("_merged")).alias("extraction"))
+    # A generator of one row: filters on other columns pass below it, those on the record stay above, so
+    # that the record's expressions are neither copied into them nor computed twice.
+    return merged.select(*keep, F.explode(F.array(normalize_record(F.col("_merged")))).alias("extraction"))

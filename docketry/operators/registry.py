@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import lexicon as L
 from docketry.functions import text as T
 from docketry.operators import schema as S
+from docketry.operators.tables import running_total
 
 
 def promoted(r: Column) -> dict[str, Column]:
@@ -31,7 +32,7 @@ def outcome(status: Column, r: Column) -> Column:
 
 
 def outcome_message(status: Column, r: Column) -> Column:
-    return F.when(outcome(status, r) == "Anomalie", "Extraction partielle : verification manuelle ou relance requise.")
+    return F.when(outcome(status, r) == "Anomalie", L.PARTIAL_MESSAGE)
 
 
 def needs_backfill(record: Column, flat: DataFrame | None = None) -> Column:
@@ -59,12 +60,13 @@ def prepend(registry: DataFrame, new: DataFrame) -> DataFrame:
     return both.orderBy(F.desc("is_new"), F.desc("date"), F.desc("id"))
 
 
-def update_by_id(registry: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+def update_by_id(registry: DataFrame, changes: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
     """Rows of changes(id, columns) replace those columns of the registry's rows with their id, nulls included.
 
-    Of changes that repeat an id, the one whose values are largest holds.
+    Of changes that repeat an id, the last by `order` holds, a column of theirs with null first; of
+    equals, or without an order, the one whose values are largest.
     """
-    last = changes.groupBy("id").agg(F.max(F.struct(*columns)).alias("x")).select("id", "x.*")
+    last = changes.groupBy("id").agg(F.max(F.struct(*([F.col(order).alias("_order")] if order else []), *columns)).alias("x")).select("id", *(F.col(f"x.{c}").alias(c) for c in columns))
     new = last.select("id", F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = registry.join(new, "id", "left")
     return joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).select(*registry.columns)
@@ -120,21 +122,36 @@ def retry_eligible(registry: DataFrame) -> DataFrame:
     return registry.filter(T.normalize_status(F.col("status")) == "Anomalie")
 
 
-def allocate_refs(new: DataFrame, existing: DataFrame, year: str, order: str) -> DataFrame:
+REF = r"^D-(\d{4})-(\d+)$"
+
+
+def counters(existing: DataFrame) -> DataFrame:
+    """(year, largest): the largest number among existing(ref) of each year; other references don't count."""
+    rows = existing.filter(F.col("ref").startswith("D-") & F.col("ref").rlike(REF))
+    year, number = F.regexp_extract("ref", REF, 1).cast("int"), F.regexp_extract("ref", REF, 2).cast("long")
+    return rows.groupBy(year.alias("year")).agg(F.max(number).alias("largest"))
+
+
+def allocate_refs(new: DataFrame, existing: DataFrame, year: str, order: str | list[str]) -> DataFrame:
     """new(year, order) with `ref` D-YYYY-NNNN after the largest number of existing(ref) of that year.
 
-    Numbers follow `order` within the year. Rows are counted by range of `order` first and
-    numbered inside a range, so a year with most rows is not ranked by one task.
+    Numbers follow `order` within the year, and then the rows' other columns, so that only rows
+    equal in all of them can change places. Without a year there is no reference. Rows are dealt out
+    by ranges of year and order and counted inside a range, so a year with most rows is not ranked
+    by one task.
     """
-    number = F.regexp_extract("ref", r"^D-(\d{4})-(\d+)$", 2)
-    largest = existing.filter(F.col("ref").startswith("D-")).filter(number != "").groupBy(F.regexp_extract("ref", r"^D-(\d{4})-(\d+)$", 1).alias("_y")).agg(F.max(number.cast("long")).alias("_largest"))
-    rows = new.withColumn("_y", F.col(year).cast("string")).withColumn("_range", F.floor(F.col(order) / 10_000))
-    before = Window.partitionBy("_y").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_y", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy("_y", "_range").orderBy(order)
-    rows = rows.join(counts.drop("_n"), ["_y", "_range"]).join(largest, "_y", "left")
-    serial = F.coalesce("_largest", F.lit(0)) + F.col("_before") + F.row_number().over(inside)
-    return rows.withColumn("ref", F.concat(F.lit("D-"), F.col("_y"), F.lit("-"), F.format_string("%04d", serial))).drop("_y", "_range", "_before", "_largest")
+    return number_refs(new, counters(existing), year, order)
+
+
+def number_refs(new: DataFrame, largest: DataFrame, year: str, order: str | list[str]) -> DataFrame:
+    """`allocate_refs` after the numbers in largest(year, largest)."""
+    first = [order] if isinstance(order, str) else list(order)
+    sortable = [c for c, kind in new.dtypes if c not in first and not kind.startswith(("map", "variant"))]
+    rows = running_total(new, [*first, *sortable], group=year, into="_before")
+    rows = rows.withColumn("_year", F.col(year).cast("int")).join(F.broadcast(largest.select(F.col("year").alias("_year"), F.col("largest").alias("_largest"))), "_year", "left")
+    serial = F.coalesce("_largest", F.lit(0)) + F.col("_before") + 1
+    ref = F.concat(F.lit("D-"), F.format_string("%04d", "_year"), F.lit("-"), F.format_string("%04d", serial))
+    return rows.select(*new.columns, F.when(F.col("_year").isNotNull(), ref).alias("ref"))
 
 
 def display_record(record: str = "extraction_result") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import lexicon as L
+from docketry.operators.tables import scratch_path
 
 CITIES = ("تونس", "سوسة", "صفاقس", "بنزرت", "قابس")
 MONTH_NAMES = ("جانفي", "فيفري", "مارس", "أفريل", "ماي", "جوان", "جويلية", "أوت", "سبتمبر", "أكتوبر", "نوفمبر", "ديسمبر")
@@ -157,3 +158,48 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 6 == 3, F.substring(body, 1, 60)).when(key % 6 == 4, F.lit("aucun objet")).otherwise(F.concat(F.lit(" "), body))
     )
     return rows.select(key.alias("doc_id"), raw.alias("raw"))
+
+
+def arrived(spark: SparkSession, label: str, chunks: list[DataFrame]) -> str:
+    """A folder of files as a stream would find them: each chunk's file written after the one before."""
+    path = scratch_path(spark, label)
+    for chunk in chunks:
+        chunk.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def retry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one to three attempts for each order (see streaming.states).
+
+    Attempt n begins n hours into the order's day; its result follows within 900 s, beyond the limit
+    for a third, or never where (o_orderkey + n) % 5 = 0. A sixth of the first attempts lacks its
+    start, every fourth order's events come twice, and events arrive up to an hour late.
+    """
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.col("o_orderdate").cast("timestamp").alias("day"), F.explode(F.sequence(F.lit(1), (k % 3 + 1).cast("int"))).alias("n"))
+    n = F.col("n")
+    start = F.timestamp_micros(F.unix_micros("day") + n * 3_600_000_000)
+    end = F.timestamp_micros(F.unix_micros("day") + n * 3_600_000_000 + (k * 37 + n * 101) % 900 * 1_000_000 + 1)
+    failed = (k + n) % 3 == 0
+    none = F.lit(None)
+    begun = F.when((k % 6 != 0) | (n != 1), F.struct(F.lit("start").alias("kind"), start.alias("ts"), none.cast("string").alias("service"), none.cast("boolean").alias("sufficient"), none.cast("string").alias("method"), none.cast("string").alias("error")))
+    ended = F.when((k + n) % 5 != 0, F.struct(
+        F.lit("result").alias("kind"), end.alias("ts"), F.when(failed, "error").otherwise("success").alias("service"), (k % 2 == 0).alias("sufficient"),
+        F.when(~failed, "native").alias("method"), F.when(failed, F.concat(F.lit("error "), k.cast("string"))).alias("error"),
+    ))
+    copies = F.when(k % 4 == 0, F.array(F.lit(0), F.lit(20))).otherwise(F.array(F.lit(0)))
+    rows = rows.select(k.alias("id"), n.alias("attempt"), F.explode(F.array_compact(F.array(ended, begun))).alias("e"), copies.alias("copies")).select("*", F.explode("copies").alias("again"))
+    late = (F.col("id") * 13 % 40 + F.col("again")) * 60_000_000
+    return rows.select("id", "attempt", "e.kind", "e.ts", F.timestamp_micros(F.unix_micros("e.ts") + late).alias("received"), "e.service", "e.sufficient", "e.method", "e.error")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(upload_id, client, content, received, chunk): a file for each order; every third is sent again in a later chunk, every ninth then has other content."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key, again = F.col("o_orderkey"), F.col("again")
+    rows = rows.withColumn("again", F.explode(F.when(key % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    content = F.concat(F.lit("file of "), key.cast("string"), F.when((again == 1) & (key % 9 == 0), F.lit(" revised")).otherwise(""))
+    return rows.select(
+        key.alias("upload_id"), F.upper("c_name").alias("client"), content.alias("content"), F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + again * 86_400_000_000).alias("received"),
+        F.year("o_orderdate").alias("year"), (key % 3 + again).cast("int").alias("chunk"),
+    )

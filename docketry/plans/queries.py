@@ -387,6 +387,24 @@ def reply_merged_with_text(spark, sf_dir):
     return record.strengthen(rows, record="reply").select("doc_id", e["tribunal"].alias("tribunal"), F.array_join(e["references_juridiques"], "|").alias("refs"), e["type_jugement"].alias("kind"))
 
 
+@query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END AS notes, CASE WHEN (o_orderkey // 5) % 4 <> 2 AND o_orderkey % 5 <> 4 THEN 'نوع' ELSE 'يمثل' END AS begins, true AS both FROM {LISTED}""")
+def advance_note(spark, sf_dir):
+    # A judgment that names no award has the amount behind the bank's name, so every one has an explanation to add the note to.
+    more = F.concat(F.lit(f" {L.BANK_NAME} مبلغ 1.234,567 د"), F.when(F.col("doc_id") % 3 == 1, F.lit(" تسبقة مبلغ قدره خمسمائة دينار (500,000)")).otherwise(""))
+    rows = record.strengthen(D.judgments(spark, sf_dir).select("doc_id", F.concat("text", more).alias("text")))
+    said, same = F.col("extraction.explication_montant"), F.col("extraction.explication_montant").eqNullSafe(F.col("extraction.montant_justification"))
+    notes = ((F.length(said) - F.length(F.replace(said, F.lit(L.ADVANCE_NOTE), F.lit("")))) / len(L.ADVANCE_NOTE)).cast("int")
+    return rows.select("doc_id", notes.alias("notes"), F.split(said, " ")[0].alias("begins"), same.alias("both"))
+
+
+@query(f"SELECT doc_id, total AS montant FROM ({EXTRACTED}) WHERE decision = 'Favorable' AND total IS NOT NULL AND refs LIKE '%|%'")
+def favourable_judgments(spark, sf_dir):
+    # What a user of the records filters by first.
+    e = F.col("extraction")
+    rows = record.strengthen(D.judgments(spark, sf_dir))
+    return rows.filter((e["decision"] == "Favorable") & e["montants_fixes"].isNotNull() & (F.size(e["references_juridiques"]) > 1)).select("doc_id", e["montant"].alias("montant"))
+
+
 SAID = (
     ("o_orderkey % 2 = 0", L.SUMMARY_BANKRUPTCY[0], f"'{L.SUMMARY_BANKRUPTCY[1]}'"),
     ("o_orderkey % 3 = 0", L.SUMMARY_2019[0], f"'{L.SUMMARY_2019[1]}'"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +213,42 @@ def test_spans_of_very_many_matches(spark):
     found = spark.createDataFrame([("ab " * 20_000 + "é ab",), ("",), (None,)], "t string").select(T.spans(F.col("t"), "(?U)ab").alias("x")).collect()
     assert len(found[0]["x"]) == 20_001 and [tuple(x) for x in (found[0]["x"][19_999], found[0]["x"][-1])] == [(59_997, 59_999, "ab"), (60_002, 60_004, "ab")]
     assert found[1]["x"] == [] and found[2]["x"] is None
+
+
+def test_spans_of_texts_that_hold_marks(spark):
+    texts = ["a\x01b ab", "\x01\x01ab\x01", "ab\x02\x01\x02ab\x01\x01", "\x02ab\x01\x02", "ab\x01ab\x02\x01\x01\x02\x02ab"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.spans(F.col("t"), "ab").alias("x")).collect()
+    for r in found:
+        assert [(x["start"], x["stop"]) for x in r["x"]] == [m.span() for m in re.finditer("ab", r["t"])]
+    name = L.BANK_NAME.replace(" ", "\x01", 1) + " " + L.BANK_NAME
+    spans = spark.createDataFrame([(name,)], "t string").select(T.spans(F.col("t"), f"(?U){L.BANK}").alias("x")).first()["x"]
+    assert [name[x["start"] : x["stop"]] for x in spans] == [x["value"] for x in spans]
+
+
+@pytest.mark.parametrize("condition", ["extraction.montants_fixes is not null", "extraction.decision = 'Favorable' and doc_id % 2 = 0", "extraction.explication_montant like '%x%' or extraction.resume is null", "extraction.montant is not null and size(extraction.references_juridiques) > 2 and extraction.tribunal is not null"])
+def test_filters_on_records_plan_in_seconds(spark, condition):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("قضية عدد 12/2019").alias("text"))
+    began = time.monotonic()
+    rows = record.strengthen(docs).filter(condition).select("extraction.montant")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert time.monotonic() - began < 20
+    assert plan.index("Filter") < plan.index("Generate")
+    rows.collect()
+
+
+def test_filters_on_other_columns_reach_the_source(spark, tmp_path):
+    spark.range(3).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(str(tmp_path / "docs"))
+    rows = record.strengthen(spark.read.parquet(str(tmp_path / "docs"))).filter("doc_id = 1 and extraction.decision is null")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,1)]" in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 1
+
+
+def test_the_advance_is_noted_once(spark):
+    said = f"{L.BANK_NAME} مبلغ 1.234,567 د تسبقة مبلغ قدره خمسمائة دينار (500,000)"
+    once = record.strengthen(spark.createDataFrame([(1, said), (2, said.split(" تسبقة")[0]), (3, said[len(L.BANK_NAME) :])], "doc_id long, text string"))
+    found = {r["doc_id"]: r["extraction"] for r in once.collect()}
+    assert found[1]["explication_montant"].endswith(f" {L.ADVANCE_NOTE}") and found[1]["montant_justification"] == found[1]["explication_montant"]
+    assert L.ADVANCE_NOTE not in found[2]["explication_montant"] and found[3]["explication_montant"] is None
+    again = record.strengthen(once.withColumn("text", F.lit(said)).withColumnRenamed("extraction", "given"), record="given")
+    notes = {r["doc_id"]: (r["extraction"]["explication_montant"] or "").count(L.ADVANCE_NOTE) for r in again.collect()}
+    assert notes == {1: 1, 2: 1, 3: 1}
