@@ -218,19 +218,32 @@ def exact_groups(found: np.ndarray, same: list[np.ndarray]) -> tuple[np.ndarray,
     return np.concatenate([first, [v[0] for v in others.values()]]), np.concatenate([counts, [len(v) for v in others.values()]])
 
 
-def _follow(batches: Iterator[pa.RecordBatch], known: list[Broadcast], mask: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Each block's n-grams that may be frequent: the words that the pointer of each points to, and its exact count.
+#: So many phrases a task adds up before it hands them on.
+HELD = 400_000
+
+
+def _follow(batches: Iterator[pa.RecordBatch], known: list[Broadcast], mask: int, block_bytes: int, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """n-grams that may be frequent, as words: each block follows the pointer of each and adds its exact count to the task's.
 
     A row of n = 0 for each language holds its number of words.
     """
+    sums: dict[tuple[str, int], dict[bytes, int]] = defaultdict(dict)
+
+    def drained() -> Iterator[pa.RecordBatch]:
+        for (lang, n), own in sums.items():
+            words = pa.array(own.keys(), pa.binary()).cast(pa.string())
+            columns = [pa.array([lang] * len(own), pa.string()), pa.array(np.full(len(own), n, np.int32)), words, pa.array(own.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
+        sums.clear()
+
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
-        names, codes = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
+        names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
         for block, a, rows, _ in blocks(batch, block_bytes, len(known)):
             salt, code = _salts(batch, a, rows), codes[a : a + rows]
-            totals = np.bincount(code[block.rows[: block.own]], minlength=len(names))
-            some = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(np.zeros(len(some), np.int32)), pa.nulls(len(some), pa.string()), pa.array(totals[some], pa.int64())], schema=ARROW)
+            for c, total in enumerate(np.bincount(code[block.rows[: block.own]]).tolist()):
+                if total:
+                    sums[names[c], 0][b""] = sums[names[c], 0].get(b"", 0) + total
             for n, frequent in enumerate(known, 1):
                 found, ok = block.fingerprints(n, salt, mask)
                 ok &= _is_set(frequent.value, found)
@@ -238,8 +251,13 @@ def _follow(batches: Iterator[pa.RecordBatch], known: list[Broadcast], mask: int
                 at = np.flatnonzero(ok)
                 first, counts = exact_groups(found[at], [block.ids[at + i] for i in range(n)] + [code[block.rows[at]]])
                 at = at[first]
-                words = pa.array(block.words(at, n), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(code[block.rows[at]])), pa.array(np.full(len(at), n, np.int32)), words, pa.array(counts, pa.int64())], schema=ARROW)
+                mine = {c: sums[names[c], n] for c in np.unique(code).tolist()}
+                for c, words, count in zip(code[block.rows[at]].tolist(), block.words(at, n), counts.tolist(), strict=True):
+                    own = mine[c]
+                    own[words] = own.get(words, 0) + count
+            if sum(map(len, sums.values())) > held:
+                yield from drained()
+    yield from drained()
 
 
 def _pack(rows: pa.Table) -> pa.Table:
