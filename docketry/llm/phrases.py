@@ -179,21 +179,32 @@ def _salts(batch: pa.RecordBatch, a: int, n: int) -> np.ndarray:
     return batch.column("lang_hash").slice(a, n).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-COUNTS = pa.schema([("fp", pa.int64()), ("count", pa.int64())])
+COUNTS = pa.schema([("word", pa.bool_()), ("fp", pa.int64()), ("count", pa.int64())])
+
+
+def _counted(word: bool, fingerprints: np.ndarray) -> pa.RecordBatch:
+    values, counts = np.unique(fingerprints, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), word)), pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], schema=COUNTS)
 
 
 def _count(batches: Iterator[pa.RecordBatch], n: int, known: Broadcast | None, mask: int, block_bytes: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Each block's fingerprints of n words with their counts, of those alone whose first and last n - 1 words may be frequent."""
+    """Each block's fingerprints of n words with their counts, of those alone whose first and last n - 1 words may be frequent.
+
+    At n = 3 also those of the words that stand in a frequent pair, marked as words.
+    """
     for batch in batches:
         for block, a, rows, _ in blocks(batch, block_bytes, longest):
             salt = _salts(batch, a, rows)
             found, ok = block.fingerprints(n, salt, mask)
             if known:
-                shorter = _is_set(known.value, block.fingerprints(n - 1, salt, mask)[0])
+                shorter, together = block.fingerprints(n - 1, salt, mask)
+                shorter = _is_set(known.value, shorter) & together
                 ok &= shorter[: len(found)] & shorter[1 : len(found) + 1]
+                if n == 3:
+                    at = np.flatnonzero(shorter)
+                    yield _counted(True, block.fingerprints(1, salt, mask)[0][np.union1d(at, at + 1)])
             ok[block.own :] = False
-            values, counts = np.unique(found[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], schema=COUNTS)
+            yield _counted(False, found[ok])
 
 
 ARROW = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
@@ -283,21 +294,24 @@ def bit_map(fingerprints: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, mask: int = (1 << 64) - 1, block_bytes: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
-    """Phrases of one to `longest` words that occur `least` times or more in a language, and all its words.
+    """Phrases of two to `longest` words that occur `least` times or more in a language, the words that they hold, and how many words it has.
 
     docs(lang, text); a null lang is `und`, a null text is empty. Texts are lower-cased (A-Z), cut
     into pieces at `.,;:!?` and U+000A to U+000D, and pieces at blanks and tabs; a phrase lies
-    within a piece. Returns phrases(lang, n, phrase, a) and totals(lang, n_words). Other columns
-    are ignored; without any word both are empty. `mask` cuts fingerprints short, for tests.
+    within a piece. Returns phrases(lang, n, phrase, a), of n from 1, and totals(lang, n_words).
+    Other columns are ignored; without any word both are empty. `longest` is 3 at least. `mask` cuts fingerprints short, for tests.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("lang_hash", F.xxhash64("lang"))
     known: list[Broadcast] = []
     for n in range(1, longest + 1):
         work = partial(_count, n=n, known=known[-1] if known else None, mask=mask, block_bytes=block_bytes, longest=longest)
-        counts = texts.select("lang_hash", "text").mapInArrow(work, "fp long, count long")
-        counts = counts.groupBy("fp").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("fp")
-        known.append(spark.sparkContext.broadcast(bit_map(materialise(counts, f"phrase-frequent-{n}"))))
+        counts = texts.select("lang_hash", "text").mapInArrow(work, "word boolean, fp long, count long")
+        counts = counts.groupBy("word", "fp").agg(F.sum("count").alias("count")).filter(F.col("word") | (F.col("count") >= least)).select("word", "fp")
+        counts = materialise(counts, f"phrase-frequent-{n}")
+        known.append(spark.sparkContext.broadcast(bit_map(counts.filter("not word"))))
+        if n == 3:
+            known[0] = spark.sparkContext.broadcast(bit_map(counts.filter("word")))
     found = texts.mapInArrow(partial(_follow, known=known, mask=mask, block_bytes=block_bytes), "lang string, n int, phrase string, count long")
     found = materialise(found.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("a")).filter((F.col("a") >= least) | (F.col("n") == 0)), "phrases")
     for bits in known:
