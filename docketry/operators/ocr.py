@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import lexicon as L
@@ -115,3 +115,35 @@ def islands(rows: DataFrame, by: str, at: str, gap: int = 1) -> DataFrame:
     order = Window.partitionBy(by).orderBy(at)
     new = F.coalesce((F.col(at) - F.lag(at).over(order) > gap).cast("int"), F.lit(0))
     return rows.withColumn("_island", F.sum(new).over(order)).groupBy(by, "_island").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_island")
+
+
+def cut_points(rows: DataFrame, key: str = "doc_id", row: str = "row", darkness: str = "darkness", band: int = 850, radius: int = 120, gap: int = 300) -> DataFrame:
+    """(key, cuts): where to cut a page image into bands of about `band` rows, near its lightest rows.
+
+    rows(key, row, darkness) has one row for each row of pixels, from 0 on; one that is missing is
+    blank, of repeated ones the darkest counts. From the last cut on, the lightest row within
+    `radius` of the place a band further is the next cut, the first of equals; one less than `gap`
+    behind the last is passed over and the next is sought a band further. Cuts begin with 0 and end
+    with the page's height. A page is folded in its own row, whose rows its image bounds.
+    """
+    some = rows.filter(F.col(row).isNotNull()).groupBy(key, row).agg(F.max(F.coalesce(F.col(darkness).cast("double"), F.lit(0.0))).alias("dark"))
+    pages = some.groupBy(key).agg((F.max(row) + 1).cast("int").alias("height"), F.map_from_entries(F.collect_list(F.struct(F.col(row).cast("int"), "dark"))).alias("dark"))
+    line = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.coalesce(F.col("dark")[y], F.lit(0.0)))
+
+    def step(s: Column, _: Column) -> Column:
+        first, last = F.greatest(s["cut"] + 1, s["target"] - radius), F.least(F.col("height") - 1, s["target"] + radius)
+
+        def chosen(window: Column) -> Column:
+            at = (first + F.array_position(window, F.array_min(window)) - 1).cast("int")
+            far = at - s["cut"] >= gap
+            return F.struct(
+                F.when(far, at).otherwise(s["cut"]).alias("cut"), F.when(far, at + band).otherwise(s["target"] + band).cast("int").alias("target"),
+                F.when(far, F.array_append(s["cuts"], at)).otherwise(s["cuts"]).alias("cuts"),
+            )
+
+        return F.when((s["target"] < F.col("height")) & (first <= last), T.let(F.slice(F.col("line"), first + 1, F.greatest(last - first + 1, F.lit(0))), chosen)).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("cut"), F.lit(band).alias("target"), F.array(F.lit(0)).alias("cuts"))
+    steps = F.sequence(F.lit(0), F.ceil(F.col("height") / max(1, min(gap, band))).cast("int"))
+    cuts = F.concat(F.aggregate(steps, start, step)["cuts"], F.array("height"))
+    return pages.select(key, "height", line.alias("line")).select(key, cuts.alias("cuts"))
