@@ -354,7 +354,28 @@ def test_rarer_labels_are_not_learnt(spark):
     assert {r["lang_pred"] for r in found} == {"en", "fr"} and len(found) == 100
 
 
+def test_layouts_make_no_difference_to_languages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.unionByName(df.filter("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(df.filter("doc_id < 5"))
+    found = [sorted((tuple(r) for r in identify_languages(df.repartition(n)).collect()), key=str) for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+def test_very_many_labels_are_all_learnt(spark):
+    """A word of its own for each of 400 labels; a tree of regressions tells them apart."""
+    words = ["".join(np.random.default_rng(k).permutation(list("abcdefghijklmnopqrstuvwxyzéèüö"))[:9]) for k in range(400)]
+    rows = [(i, f"{words[i % 400]} " * 3 + f"the {words[(i * 7) % 400][:3]}", f"l{i % 400}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in identify_languages(df, epochs=3, fan=32).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert len({found[i] for i, *_ in held}) > 380
+    assert sum(found[i] == k for i, _, k in held) >= 0.9 * len(held)
+
+
 def test_kept_columns_may_have_any_name(spark):
+    odd = spark.createDataFrame([(i, "the dog is here", "en", i, 2) for i in range(9)], "doc_id long, text string, lang string, `a.b` int, `c``d` int")
+    found = identify_languages(odd, odd.columns, ("found", "sure"))
+    assert found.columns == [*odd.columns, "found", "sure"] and {(r["a.b"], r["c`d"], r["found"]) for r in found.collect()} == {(i, 2, "en") for i in range(9)}
     rows = [(i, "the dog is here", "en", 1, 2, 3) for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text int, lang_pred int, score int")
     found = identify_languages(df, df.columns, ("found", "sure"))
