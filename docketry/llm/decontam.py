@@ -2,32 +2,27 @@
 
 Every window of six consecutive 5-word hashes keeps its smallest one, on both sides. Ten shared
 words hold six shared 5-word hashes, so two texts that share ten words share a kept hash. Kept
-hashes of a document that the benchmark also keeps are hits; each is extended to the longest
-run of equal words, which counts if it is a whole window of the item.
+hashes of a document that the benchmark also keeps are hits; each is extended to the windows of
+ten words around it, and these are joined with the benchmark's, by fingerprint and by their words.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import slices_by_bytes, text_bytes
+from docketry.llm.common import materialise, slices_by_bytes, text_bytes
+from docketry.llm.phrases import bit_map, is_set
 
 #: Words of a window, words of a hash, hashes of a winnowing window: WINDOW = GRAM + KEEP - 1.
 WINDOW, GRAM, KEEP = 10, 5, 6
-RESULT = "doc_id long, uid long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>"
-_RESULT = pa.schema([
-    ("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.int64()),
-    ("hits", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string())),
-])
-
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,120 +87,78 @@ class Words:
         at = np.flatnonzero(kept)
         return at, gram[at]
 
+    def text(self, i: int, n: int) -> bytes:
+        """The n words from one on, with one blank between."""
+        return b" ".join(self.data[x:y].tobytes() for x, y in zip(self.start[i : i + n].tolist(), self.stop[i : i + n].tolist(), strict=True))
+
+
+WINDOWS = "item string, n int, fp long, words string"
+_WINDOWS = pa.schema([("item", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("words", pa.string())])
+
 
-class Index:
-    """One block of benchmark items, small enough to be sent to every task."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
-        raw = [t.encode() for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-        self.words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        self.places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        n_words = np.diff(self.words.first)
-        at, kept = self.words.winnowed()
-        for i, h in zip(at.tolist(), kept.tolist(), strict=True):
-            self.places.setdefault((WINDOW, h), []).append((int(self.words.text_of[i]), i))
-        self.short = sorted({int(n) for n in n_words if 0 < n < WINDOW})
-        for n in self.short:
-            gram, _ = self.words.grams(n)
-            for k in np.flatnonzero(n_words == n).tolist():
-                i = int(self.words.first[k])
-                self.places.setdefault((n, int(gram[i])), []).append((k, i))
-        self.known = {n: np.array(sorted(h for m, h in self.places if m == n), np.uint64) for n in (WINDOW, *self.short)}
-
-    def seeds(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
-        """(words needed, place in the document, item, place in the item)."""
-        for n in (WINDOW, *self.short):
-            if n == WINDOW:
-                at, gram = words.winnowed()
-            else:
+def _benchmark_windows(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Each distinct window of an item; rows of n = 0 hold the 5-word hashes that winnowing keeps."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        ids = batch.column("item").to_pylist()
+        for lo, hi in slices_by_bytes(offsets, chunk_bytes):
+            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            kept = np.unique(words.winnowed()[1])
+            rows: dict[tuple[str, int, bytes], int] = {}
+            sizes = np.minimum(np.diff(words.first), WINDOW)
+            for n in np.unique(sizes[sizes > 0]).tolist():
                 gram, whole = words.grams(n)
-                at, gram = np.flatnonzero(whole), gram[whole]
-            if len(known := self.known[n]):
-                spot = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                for i in np.flatnonzero(known[spot] == gram).tolist():
-                    for item, q in self.places[n, int(gram[i])]:
-                        yield n, int(at[i]), item, q
-
-    def hits(self, words: Words) -> dict[int, tuple[set[int], list[tuple[int, int]]]]:
-        """By text: the items found and the runs of words, as first and one past the last."""
-        found: dict[int, tuple[set[int], list[tuple[int, int]]]] = {}
-        reached: dict[tuple[int, int], int] = {}
-        mine = self.words
-        for need, p, item, q in self.seeds(words):
-            text = int(words.text_of[p])
-            if need == WINDOW and reached.get((q - p, text), -1) > p:
-                continue  # this run of equal words has been looked at
-            lo, hi = int(words.first[text]), int(words.first[text + 1])
-            item_lo, item_hi = int(mine.first[item]), int(mine.first[item + 1])
-            a, b = p, p
-            if need == WINDOW:
-                while a > lo and a - p + q > item_lo and words.hash[a - 1] == mine.hash[a - 1 - p + q] and words.word(a - 1) == mine.word(a - 1 - p + q):
-                    a -= 1
-                item_hi = min(item_hi, q + hi - p)
-            else:
-                item_hi = q + need
-            while b - p + q < item_hi and words.hash[b] == mine.hash[b - p + q] and words.word(b) == mine.word(b - p + q):
-                b += 1
-            if need == WINDOW:
-                reached[q - p, text] = max(b, p + 1)
-            if b - a >= need:
-                items, runs = found.setdefault(text, (set(), []))
-                items.add(item)
-                runs.append((a - lo, b - lo))
-        return found
-
-
-def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _find(batches: Iterator[pa.RecordBatch], block, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
-    index = Index(pickle.loads(block.value))
+                for i in np.flatnonzero(whole & (sizes[words.text_of[: len(gram)]] == n)).tolist():
+                    rows[ids[lo + int(words.text_of[i])], n, words.text(i, n)] = int(gram.view(np.int64)[i])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(kept), pa.string()), pa.array(np.zeros(len(kept), np.int32)), pa.array(kept.view(np.int64)), pa.nulls(len(kept), pa.string())], schema=_WINDOWS)
+            items, n, text = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(n, pa.int32()), pa.array(rows.values(), pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], schema=_WINDOWS)
+
+
+FOUND = "doc_id long, uid long, n_words long, n int, fp long, words string, uids array<long>, starts array<int>"
+_FOUND = pa.schema([
+    ("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("words", pa.string()),
+    ("uids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
+])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], seeds: Broadcast, windows: Broadcast, short: list[int], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document with its words' number; and for each distinct window of a block that may be the benchmark's, where it stands.
+
+    A kept hash that the benchmark may keep too is extended to the six windows that can hold it.
+    """
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids, uids = batch.column("doc_id"), batch.column("uid")
         for lo, hi in slices_by_bytes(offsets, chunk_bytes):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            found = index.hits(words)
-            none: tuple[set[int], list] = (set(), [])
-            rows = [found.get(k, none) for k in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(lo, hi - lo),
-                    uids.slice(lo, hi - lo),
-                    pa.array(np.diff(words.first), pa.int64()),
-                    pa.array([[{"start": a, "stop": b} for a, b in _union(runs)] for _, runs in rows], _RESULT.field("hits").type),
-                    pa.array([sorted(index.ids[k] for k in items) for items, _ in rows], _RESULT.field("items").type),
-                ],
-                schema=_RESULT,
-            )
-
-
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of at most `block_bytes` of text (or one item), streamed to the driver one partition at a time."""
-    block: list[tuple[str, str]] = []
-    held = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    for row in rows.toLocalIterator():
-        size = len(row["t"].encode()) + 64
-        if block and held + size > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row["i"], row["t"]))
-        held += size
-    if block:
-        yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4_000_000, chunk_bytes: int = 2_000_000, key: str | None = None) -> DataFrame:
+            k = hi - lo
+            none = lambda size, kind: pa.nulls(size, kind)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, k), uids.slice(lo, k), pa.array(np.diff(words.first), pa.int64()), *(none(k, f.type) for f in list(_FOUND)[3:])], schema=_FOUND)
+            at, kept = words.winnowed()
+            at = at[is_set(seeds.value, kept)]
+            spots = {WINDOW: np.unique(np.concatenate([at - j for j in range(KEEP)])) if len(at) else at}
+            places: dict[tuple[int, int, bytes], tuple[list[int], list[int]]] = {}
+            own = uids.slice(lo, k).to_pylist()
+            for n in (WINDOW, *short):
+                gram, whole = words.grams(n)
+                found = spots.get(n, np.arange(len(gram)))
+                found = found[(found >= 0) & (found < len(gram))]
+                found = found[whole[found]]
+                found = found[is_set(windows.value, gram[found])]
+                for i in found.tolist():
+                    text = int(words.text_of[i])
+                    row, start = places.setdefault((n, int(gram.view(np.int64)[i]), words.text(i, n)), ([], []))
+                    row.append(own[text])
+                    start.append(i - int(words.first[text]))
+            if places:
+                n, fp, text = zip(*places, strict=True)
+                m = len(places)
+                where = [pa.array(x, t.type) for x, t in zip(zip(*places.values(), strict=True), list(_FOUND)[-2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([none(m, pa.int64())] * 3 + [pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()), *where], schema=_FOUND)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2_000_000, chunk_bytes: int = 2_000_000, key: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) for every row of docs(doc_id, text).
 
     Words are runs of 0-9, a-z and characters beyond ASCII after lower-casing A-Z. A word is hit
@@ -214,43 +167,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4_00
     text; repeated rows and ids stand by themselves. spans are the hit runs of words.
     `key` names a column of longs, unique by row, which is then returned too.
 
-    Only one block of at most `block_bytes` of benchmark text is broadcast at a time. A larger
-    benchmark makes more passes over docs, whose hits are then joined by row.
+    Both sides are winnowed. A bit map of the benchmark's kept hashes and one of its windows, 128 MB
+    each at most, tell which of a document's windows can matter; these are joined with the
+    benchmark's by fingerprint and words. A block of `chunk_bytes` of documents sends a window once,
+    with all its places, so a passage that many documents share, or a word that a text repeats,
+    is a row a block. Benchmarks of any size take one pass over docs.
     """
     spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    windows = materialise(items.mapInArrow(partial(_benchmark_windows, chunk_bytes=block_bytes), WINDOWS), "benchmark-windows")
+    seeds = spark.sparkContext.broadcast(bit_map(windows.filter("n = 0").select("fp").distinct()))
+    known = spark.sparkContext.broadcast(bit_map(windows.filter("n > 0").select("fp").distinct()))
+    short = sorted(r["n"] for r in windows.filter(F.col("n").between(1, WINDOW - 1)).select("n").distinct().collect())
     uid = F.col(key) if key else F.monotonically_increasing_id()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), uid.alias("uid"))
-    passes = []
-    for block in blocks_of(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(pickle.dumps(block))
-        passes.append(texts.mapInArrow(partial(_find, block=sent, chunk_bytes=chunk_bytes), RESULT))
-    if not passes:
-        sent = spark.sparkContext.broadcast(pickle.dumps([]))
-        passes.append(texts.mapInArrow(partial(_find, block=sent, chunk_bytes=chunk_bytes), RESULT))
-    found = passes[0]
-    if len(passes) > 1:
-        found = (
-            reduce(DataFrame.unionByName, passes)
-            .groupBy("uid")
-            .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-        )
-        # Runs of several passes may overlap: merge them in the order of their starts.
-        merged = F.aggregate(
-            F.array_sort("hits"),
-            F.expr("cast(array() as array<struct<start:int,stop:int>>)"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
-                F.concat(
-                    F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                    F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-        found = found.withColumn("hits", merged)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.col("hits").alias("spans"), *([F.col("uid").alias(key)] if key else [])
-    )
+    found = materialise(texts.mapInArrow(partial(_candidates, seeds=seeds, windows=known, short=short, chunk_bytes=chunk_bytes), FOUND), "document-windows")
+    for sent in (seeds, known):
+        sent.unpersist()
+    of_items = windows.filter("n > 0").select("n", "fp", "words", "item").distinct()
+    met = found.filter("n is not null").select("n", "fp", "words", "uids", "starts").join(of_items.select("n", "fp", "words").distinct(), ["n", "fp", "words"])
+    met = materialise(met.select("n", "fp", "words", F.explode(F.arrays_zip("uids", "starts")).alias("at")).select("n", "fp", "words", F.col("at.uids").alias("uid"), F.col("at.starts").alias("start")), "document-hits")
+    # A window that a document repeats, and one that many items hold, meet once each.
+    named = met.select("uid", "n", "fp", "words").distinct().join(of_items, ["n", "fp", "words"]).groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    order = Window.partitionBy("uid").orderBy("start", "n")
+    reached = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = met.select("uid", "start", "n").withColumn("fresh", F.when(F.col("start") <= reached, 0).otherwise(1))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("uid", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).cast("int").alias("stop"))
+    spans = runs.groupBy("uid").agg(F.sum(F.col("stop") - F.col("start")).cast("long").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    rows = found.filter("n is null").select("doc_id", "uid", "n_words").join(spans, "uid", "left").join(named, "uid", "left")
+    return rows.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"), *([F.col("uid").alias(key)] if key else []),
+    )
 
 
 def items_digest(items: list[str]) -> str:

@@ -166,7 +166,7 @@ def _word_after(data: np.ndarray, at: int) -> int:
     return _first(data, at, True)
 
 
-def _is_set(known: tuple[int, np.ndarray], found: np.ndarray) -> np.ndarray:
+def is_set(known: tuple[int, np.ndarray], found: np.ndarray) -> np.ndarray:
     """Whether both bits of each fingerprint are set: those of its first and of its last `width` bits."""
     width, bits = known
     out = np.ones(len(found), bool)
@@ -198,7 +198,7 @@ def _count(batches: Iterator[pa.RecordBatch], n: int, known: Broadcast | None, m
             found, ok = block.fingerprints(n, salt, mask)
             if known:
                 shorter, together = block.fingerprints(n - 1, salt, mask)
-                shorter = _is_set(known.value, shorter) & together
+                shorter = is_set(known.value, shorter) & together
                 ok &= shorter[: len(found)] & shorter[1 : len(found) + 1]
                 if n == 3:
                     at = np.flatnonzero(shorter)
@@ -257,7 +257,7 @@ def _follow(batches: Iterator[pa.RecordBatch], known: list[Broadcast], mask: int
                     sums[names[c], 0][b""] = sums[names[c], 0].get(b"", 0) + total
             for n, frequent in enumerate(known, 1):
                 found, ok = block.fingerprints(n, salt, mask)
-                ok &= _is_set(frequent.value, found)
+                ok &= is_set(frequent.value, found)
                 ok[block.own :] = False
                 at = np.flatnonzero(ok)
                 first, counts = exact_groups(found[at], [block.ids[at + i] for i in range(n)] + [code[block.rows[at]]])

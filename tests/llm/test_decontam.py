@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ def test_very_long_text(spark):
     assert found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")) == plain(docs, [(7, item)])
 
 
+def test_repeated_words_on_both_sides_take_linear_time(spark):
+    docs, items = [(1, "a " * 20_000), (2, "a " * 9), (3, "b " + "a " * 10 + "b")], [(7, "a " * 5_000), (8, "a " * 800 + "b")]
+    began = time.monotonic()
+    rows = found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows == [(1, 20_000, 20_000, ["7", "8"]), (2, 9, 0, []), (3, 12, 11, ["7", "8"])]
+    assert time.monotonic() - began < 60
+
+
+def test_spans_are_runs_of_words(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = [(1, f"x {item} y {item} z"), (2, " ".join(item.split()[5:15]) + " " + " ".join(item.split()[14:24]))]
+    rows = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [[(s["start"], s["stop"]) for s in r["spans"]] for r in rows] == [[(1, 31), (32, 62)], [(0, 20)]]
+
+
 def test_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
