@@ -2,11 +2,13 @@
 
 Every stage but the last takes and returns the columns of documents. Its result is written as
 Parquet into the shared folder and read again as the next stage's input. Every row is decided on
-by itself: a stage that drops rows keys its input first, as a doc_id may be null or repeated.
+by itself: a stage that drops rows tells them apart by their place in its input's files, as a doc_id
+may be null or repeated.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,35 @@ from docketry.llm.simhash_dedup import near_duplicates
 BROADCAST_ROWS = 2_000_000
 
 
+#: A table of more files is written anew with a key; of fewer, the files' names are sent to every task.
+MOST_FILES = 20_000
+
+
+def _is_plain_scan(docs: DataFrame) -> bool:
+    """Whether docs is a table's files, read and at most filtered or projected: then a row has one place in one file."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key that is unique by row, written so that it stays the same, and the key's name."""
-    key = fresh_name(docs.columns, "row_key")
+    """docs with a key that is unique by row and stays the same, and the key's name.
+
+    The rows of a Parquet table have one already, their file and place in it. Anything else is
+    written with a key of its own.
+    """
+    key, path, place, number = (fresh_name(docs.columns, x) for x in ("row_key", "key_file", "key_place", "key_number"))
+    if _is_plain_scan(docs):
+        try:
+            rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+            files = [r[0] for r in docs.select("_metadata.file_path").distinct().limit(MOST_FILES + 1).collect()]
+        except AnalysisException:  # another format, or a column called _metadata
+            files = []
+        if 0 < len(files) <= MOST_FILES:
+            numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], f"{path} string, {number} long")
+            rows = rows.join(F.broadcast(numbers), path).withColumn(key, F.shiftleft(number, 40) + F.col(place))
+            return rows.drop(path, place, number), key
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
