@@ -88,3 +88,25 @@ def test_columns_of_any_name_pass_through(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == [x.split()[0].strip("`") for x in schema.split(", ")], name
         assert sorted((r["doc_id"], r["score"], r["row_key"], r["Row_Key_"]) for r in docs.collect()) == [(i, 0, 4, 11) for i in range(5)], name
+
+
+def test_rows_of_files_are_keyed_by_their_place(spark, tmp_path):
+    """Tables in files with odd column names, written stage by stage; and inputs that are no plain files."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` int, key_file int, `_meta data` string"
+    words = [[f"{k}{i}" for i in range(60)] for k in ("alpha", "beta", "gamma")]
+    rows = [(i % 4 or None, " ".join(words[i % 3]) + (" end" if i > 8 else ""), "en", "s", i, i, -i, 5, "m") for i in range(12)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/0")
+    docs = spark.read.parquet(f"{tmp_path}/0")
+    keyed, key = corpus_pipeline._keyed(docs)
+    again, _ = corpus_pipeline._keyed(docs)
+    assert keyed.select(key).distinct().count() == 12 and keyed.exceptAll(again).count() == 0 and "keyed-" not in str(keyed.inputFiles())
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k + 1}")
+        docs = spark.read.parquet(f"{tmp_path}/{k + 1}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c`d", "key_file", "_meta data"], name
+    left = docs.collect()
+    assert len(left) == 3 and all(r["a.b"] == -r["c`d"] == r["n_chars"] and rows[r["a.b"]][1] == r["text"] for r in left)
+    exploded = spark.read.parquet(f"{tmp_path}/0").withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    for other in (exploded, docs.unionByName(docs), docs.limit(2), docs.withColumn("_metadata", F.lit(1)), spark.read.parquet(f"{tmp_path}/0").filter("doc_id = 99")):
+        keyed, key = corpus_pipeline._keyed(other)
+        assert keyed.columns == [*other.columns, key] and keyed.select(key).distinct().count() == other.count()
