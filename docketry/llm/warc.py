@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from docketry.llm.common import join_skewed, materialise, scratch_path
+from docketry.llm.common import join_skewed, materialise, running_total, scratch_path
 
 MANIFEST = "file string, shard long, part int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -33,6 +33,8 @@ _RECORDS = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
 ])
+#: Up to so many groups of rows that each fill a shard are sent to every task (60 bytes each); more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -137,41 +139,48 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, date
             if row["shard"] != shard:
                 close()
                 now, shard, part = None, row["shard"], -1
-            elif now and now.bytes >= roll_bytes:
-                close()
-                now = None
-            if now is None:
-                part += 1
-                now = _File(folder, f"shard-{shard:06d}-{part:05d}.warc.gz", date, level)
             key = (row["page_id"], row["payload_digest"], row["payload_bytes"])
             revisit = told[:3] == key
             payload = None if revisit else zlib.decompress(row["payload"])
-            now.add(record(row["page_id"], row["url"], payload, row["payload_bytes"], row["payload_digest"], told[3] if revisit else None, date))
+            written = record(row["page_id"], row["url"], payload, row["payload_bytes"], row["payload_digest"], told[3] if revisit else None, date)
+            for _ in range(row["copies"]):
+                if now and now.bytes >= roll_bytes:
+                    close()
+                    now = None
+                if now is None:
+                    part += 1
+                    now = _File(folder, f"shard-{shard:06d}-{part:05d}.warc.gz", date, level)
+                now.add(written)
     close()
     columns = list(zip(*rows, strict=True)) or [[]] * 6
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "shard", "part", "records", "bytes", "sha256"])
 
 
-def _keys(known: np.ndarray, ids: np.ndarray, digests: list[str]) -> np.ndarray:
-    """Twelve bytes that sort as the id, an unknown one first, and then by the digest."""
-    out = np.zeros(len(ids), [("id", ">u8"), ("digest", ">u4")])
+def _keys(known: np.ndarray, ids: np.ndarray, digests: list[str], serials: np.ndarray) -> np.ndarray:
+    """Twenty bytes that sort as the id, an unknown one first, then by the digest, then by the serial number."""
+    out = np.zeros(len(ids), [("id", ">u8"), ("digest", ">u4"), ("serial", ">u8")])
     out["id"] = np.where(known, ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), np.uint64(0))
     out["digest"] = [int(d[:8], 16) for d in digests]
-    return out.view("S12")
+    out["serial"] = serials
+    return out.view("S20")
 
 
 def _borders(listed: DataFrame, shard_bytes: int) -> np.ndarray:
-    """Keys at which shards begin, from a sample drawn by hashes: 16 rows a shard, or as many as make 16 million in all."""
-    total, n = listed.agg(F.sum("payload_bytes"), F.count("*")).first()
-    shards = 1 + (total or 0) // shard_bytes
-    if shards == 1:
-        return np.zeros(0, "S12")
-    each = max(2, min(16, 16_000_000 // shards))
-    every = max(1, n // (each * shards))
-    drawn = listed.filter(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(every)) == 0)
-    drawn = drawn.select(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("id"), F.substring("payload_digest", 1, 8).alias("head")).distinct().toArrow()
-    return np.sort(_keys(drawn["known"].to_numpy(), drawn["id"].to_numpy(), drawn["head"].to_pylist()))[each::each]
+    """Keys at which shards begin, from the sums of payloads before each row in their order; a row for each shard reaches the driver."""
+    order = ["known", "page_id", "head", "serial"]
+    placed = running_total(listed, order, "bytes", into="before")
+    first = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min(F.struct(*order)).alias("key"))
+    found = first.filter("shard > 0").select("key.known", F.coalesce("key.page_id", F.lit(0)).alias("id"), "key.head", "key.serial").toArrow()
+    return np.sort(_keys(found["known"].to_numpy(), found["id"].to_numpy(), found["head"].to_pylist(), found["serial"].to_numpy()))
+
+
+def _clear(folder: str) -> None:
+    """Remove what attempts that failed have left; the manifest is there, so nothing is being written."""
+    fs, at = file_system(folder)
+    for f in fs.get_file_info(pa.fs.FileSelector(at)):
+        if f.base_name.startswith("_temporary-"):
+            fs.delete_file(f.path)
 
 
 def write_warc(
@@ -185,8 +194,10 @@ def write_warc(
     others are revisits without payload; rows that repeat that id are responses too. An empty
     table gives an empty manifest. Other columns are ignored.
 
-    Records are sorted by page_id, null first, and digest. Which copies are revisits is found on
-    ids and digests alone; payloads travel once, to their shard.
+    Records are sorted by page_id, null first, and digest, and cut into shards of about
+    `shard_bytes` of payloads. Which copies are revisits and where shards begin is found on ids and
+    digests alone; payloads travel once, to their shard. Rows that share id and digest and would
+    fill a shard are counted first and dealt to as many shards as they fill.
     """
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
@@ -200,20 +211,40 @@ def write_warc(
     groups = materialise(ids.groupBy("content").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).filter("copies > 1 and response is not null"), "warc-groups")
     revisits = join_skewed(ids, groups, "content", "copies").filter("page_id is null or page_id <> response")
     revisits = revisits.select("page_id", "payload_bytes", "payload_digest", F.col("response").alias("refers_to")).distinct()
-    borders = _borders(listed, shard_bytes)
+    name = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "payload_digest", "payload_bytes")
+    # Groups that fill a shard: fewer than there are shards, a few short values each.
+    counted = listed.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") * F.col("payload_bytes") > shard_bytes))
+    counted = materialise(counted.withColumns({"name": name, "parts": F.ceil(F.col("n") * F.col("payload_bytes") / shard_bytes).cast("long")}), "warc-hot")
+    hot = counted.select("name", "parts")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_GROUPS else hot
+    serials = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    share = F.expr("n div parts + if(serial < n % parts, 1, 0)")
+    rows = rows.withColumns({"name": name, "payload": packed("payload")})
+    single = rows.join(hot, "name", "left_anti").withColumns({"copies": F.lit(1).cast("long"), "serial": F.lit(0).cast("long")})
+    many = rows.join(hot, "name").groupBy("name", "page_id", "url", "payload_bytes", "payload_digest", "parts").agg(F.count("*").alias("n"), F.min("payload").alias("payload"))
+    many = many.withColumn("serial", serials).withColumn("copies", share).filter("copies > 0")
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "payload", "copies", "serial"]
+    given = single.select(*columns).unionByName(many.select(*columns)).withColumn("refers_to", F.lit(None).cast("long"))
+    parts = revisits.withColumn("name", name).join(hot, "name", "left").withColumn("serial", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    told = parts.select("page_id", "payload_bytes", "payload_digest", "serial", "refers_to", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    cold = listed.withColumn("name", name).join(hot, "name", "left_anti").withColumns({"serial": F.lit(0).cast("long"), "bytes": F.col("payload_bytes")})
+    filled = counted.withColumn("serial", serials).withColumn("bytes", share * F.col("payload_bytes"))
+    key = [F.col("page_id").isNotNull().alias("known"), "page_id", F.substring("payload_digest", 1, 8).alias("head"), "serial", "bytes"]
+    borders = _borders(cold.select(*key).unionByName(filled.select(*key)), shard_bytes)
 
     @F.pandas_udf("long")
-    def shard(known: pd.Series, ids: pd.Series, digests: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, _keys(known.to_numpy(), ids.to_numpy(), digests.tolist()), side="right").astype(np.int64))
+    def shard(known: pd.Series, ids: pd.Series, digests: pd.Series, serials: pd.Series) -> pd.Series:
+        keys = _keys(known.to_numpy(), ids.to_numpy(), digests.tolist(), serials.to_numpy())
+        return pd.Series(np.searchsorted(borders, keys, side="right").astype(np.int64))
 
-    rows = rows.withColumn("payload", packed("payload")).withColumn("refers_to", F.lit(None).cast("long"))
-    both = rows.unionByName(revisits.withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}))
-    both = both.withColumns({"shard": shard(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "payload_digest"), "told": F.col("payload").isNotNull()})
+    both = given.unionByName(told)
+    both = both.withColumns({"shard": shard(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "payload_digest", "serial"), "told": F.col("payload").isNotNull()})
     written = (
-        both.repartition("shard").sortWithinPartitions("shard", "page_id", F.substring("payload_digest", 1, 8), "payload_digest", "payload_bytes", "told", "url")
+        both.repartition("shard").sortWithinPartitions("shard", "page_id", F.substring("payload_digest", 1, 8), "serial", "payload_digest", "payload_bytes", "told", "url")
         .mapInArrow(partial(_write, folder=folder, roll_bytes=roll_bytes, date=date, level=level), MANIFEST)
     )
     written.write.parquet(f"{folder}/_manifest")
+    _clear(folder)
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 

@@ -131,6 +131,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert key(write_warc(df.repartition(7), again, shard_bytes=1000, roll_bytes=300).collect()) == key(manifest)
 
 
+def test_warc_of_a_hot_row_and_what_failures_leave(spark, tmp_path):
+    """500 rows of one id and payload fill many shards, and each of them is whole; temporary files go."""
+    pages = [(7, f"u{i % 3}" if i % 2 else None, "z" * 2000) for i in range(500)] + [(9, "u", "z" * 2000), (8, "u", "z" * 2000), (5, "u", "w" * 1500), (5, "u", "w" * 1500), (None, "v", "w" * 1500)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    folder = tmp_path / "hot"
+    folder.mkdir()
+    (folder / "_temporary-1-shard.warc.gz").write_bytes(b"left by a lost task")
+    manifest = write_warc(df, str(folder), shard_bytes=20_000, roll_bytes=100_000).collect()
+    assert len({r["shard"] for r in manifest}) >= 40 and max(r["records"] for r in manifest) <= 30
+    assert not [f for f in os.listdir(folder) if f.startswith("_temporary-")]
+    assert warc_rows(read_warc(spark, str(folder))) == plain_pages(pages)
+    again = write_warc(df.repartition(2), str(tmp_path / "again"), shard_bytes=20_000, roll_bytes=100_000).collect()
+    assert sorted((r["file"], r["sha256"]) for r in again) == sorted((r["file"], r["sha256"]) for r in manifest)
+
+
 def test_warc_damage_is_noticed():
     good = record(1, "http://x", b"payload", 7, hashlib.sha1(b"payload").hexdigest(), None, "2000-01-01T00:00:00Z")
     assert parse(good)["payload"] == b"payload"
