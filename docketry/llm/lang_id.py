@@ -330,18 +330,23 @@ def train(
     return LabelTree([models[i] for i in range(len(nodes))])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """The columns as they stand, then prediction and score; the last column is the text, which goes."""
+#: Rows that are predicted, and handed on, at a time.
+SLICE = 512
+
+
+def _predict(batches: Iterator[pa.RecordBatch], model, text_at: int, given: int) -> Iterator[pa.RecordBatch]:
+    """The first `given` columns as they stand, then prediction and score by the text, which is column `text_at`."""
     fitted: LabelTree | None = pickle.loads(model.value)
-    for batch in batches:
-        *given, text = batch.columns
-        text = pc.fill_null(text, "")
-        lettered = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-        languages, scores = np.where(lettered, None, UNKNOWN), np.zeros(len(text))
-        at = np.flatnonzero(lettered)
-        if fitted and len(at):
-            languages[at], scores[at] = fitted.classify(letters_only(text.take(pa.array(at))).to_pylist())
-        yield pa.RecordBatch.from_arrays([*given, pa.array(languages.tolist(), pa.string()), pa.array(scores)], names=[f"c{i}" for i in range(len(given) + 2)])
+    for whole in batches:
+        for lo in range(0, max(whole.num_rows, 1), SLICE):
+            batch = whole.slice(lo, SLICE)
+            text = pc.fill_null(batch.column(text_at), "")
+            lettered = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
+            languages, scores = np.where(lettered, None, UNKNOWN), np.zeros(len(text))
+            at = np.flatnonzero(lettered)
+            if fitted and len(at):
+                languages[at], scores[at] = fitted.classify(letters_only(text.take(pa.array(at))).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:given], pa.array(languages.tolist(), pa.string()), pa.array(scores)], names=[f"c{i}" for i in range(given + 2)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -366,7 +371,9 @@ def identify_languages(docs: DataFrame, keep_columns: list[str] | None = None, n
     given = keep_columns or ["doc_id"]
     column = lambda c: F.col("`" + c.replace("`", "``") + "`")
     kept = docs.select(*(column(c) for c in given))
-    rows = docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(given)), F.col("text").alias(f"c{len(given)}"))
+    text_at = given.index("text") if "text" in given else len(given)
+    sent_columns = [*given, *(["text"] if text_at == len(given) else [])]
+    rows = docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(sent_columns)))
     kinds = [*(f.dataType.simpleString() for f in kept.schema), "string", "double"]
-    found = rows.mapInArrow(partial(_predict, model=sent), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    found = rows.mapInArrow(partial(_predict, model=sent, text_at=text_at, given=len(given)), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     return found.toDF(*kept.columns, *names)

@@ -100,15 +100,20 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _class_sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One task's sums of profiles by nearest centre, as whole numbers, so that their order changes nothing."""
+    """One task's sums of profiles by nearest centre.
+
+    Profiles, centres and sums are whole numbers below 2^53 in doubles, so no order of adding and
+    no dealing out of rows changes them.
+    """
     sums = np.zeros((len(centres), PROFILE), np.int64)
+    whole = np.rint(centres.astype(np.float64) * (1 << 20)).T
     for batch in batches:
         for lo, hi in _chunks(batch.num_rows, 2000):
             values = [np.frombuffer(x, np.uint8) for x in batch.column("values").slice(lo, hi - lo).to_pylist()]
             places = np.frombuffer(b"".join(batch.column("places").slice(lo, hi - lo).to_pylist()), "<u2")
-            x = np.zeros((hi - lo, PROFILE), np.float32)
+            x = np.zeros((hi - lo, PROFILE))
             x[np.repeat(np.arange(hi - lo), [len(v) for v in values]), places] = np.concatenate(values)
-            nearest = (x @ centres.T).argmax(axis=1)
+            nearest = (x @ whole).argmax(axis=1)
             for k in range(len(centres)):
                 sums[k] += x[nearest == k].sum(axis=0, dtype=np.float64).astype(np.int64)
     at = np.flatnonzero(sums)
@@ -147,9 +152,9 @@ def fit_classes(texts: DataFrame, rounds: int = 5) -> np.ndarray:
 
 
 def votes_of(centres: np.ndarray) -> np.ndarray:
-    """What one byte pair adds to the log likelihood of each kind, by place and kind."""
+    """What one byte pair adds to the log likelihood of each kind, by place and kind, in 256ths: whole numbers, whose sums are exact."""
     share = centres.astype(np.float64) ** 2 + 1e-5
-    return np.log(share / share.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    return np.rint(256 * np.log(share / share.sum(axis=1, keepdims=True))).T.astype(np.float32)
 
 
 # ---- texts as tokens and segments
@@ -190,11 +195,12 @@ class Texts:
         inside = np.ones(len(pairs), bool)
         inside[ends[:-1] - 1] = False
         spot = np.repeat(np.arange(len(sizes)), sizes)[:-1] * PROFILE + pairs
-        sums = np.zeros((len(sizes), votes.shape[1]), np.float32)
+        sums = np.zeros((len(sizes), votes.shape[1]))
+        exact = np.float32 if sizes.max() < 4096 else np.float64  # 4096 pairs of 12 * 256 each stay below 2^24
         for lo, hi in _chunks(len(sizes), 4096):
             a, b = max(0, int(ends[lo] - sizes[lo])), min(int(ends[hi - 1]), len(pairs))
             counts = np.bincount(spot[a:b][inside[a:b]] - lo * PROFILE, minlength=(hi - lo) * PROFILE)[: (hi - lo) * PROFILE]
-            sums[lo:hi] = counts.reshape(-1, PROFILE).astype(np.float32) @ votes
+            sums[lo:hi] = counts.reshape(-1, PROFILE).astype(exact) @ votes.astype(exact)
         before = np.concatenate([np.zeros((1, votes.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         start = np.repeat(self.segments[:-1], np.diff(self.segments))
         at = np.arange(len(sizes))
@@ -445,7 +451,9 @@ class Tables:
 
 
 class Mixer:
-    """Predicts the bits of texts side by side, with weights and a refinement of its own for each, learnt as it goes.
+    """Predicts the bits of texts side by side, with counts, weights and a refinement of its own for each, learnt as it goes.
+
+    A text's own counts follow every bit; weights and refinement take one step for a segment.
 
     In texts that the tables have counted, each bit's own count is taken out first.
     """
@@ -483,6 +491,24 @@ class Mixer:
                 own[own.max(axis=1) > 40_000] >>= 1
         return out
 
+    @staticmethod
+    def _seen(slot: np.ndarray, bit: np.ndarray, text: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often a bit's slot was zero and one in its text before it: up to this segment, and in it.
+
+        Bits come text after text in their order, so sorting them by slot alone brings those of a
+        slot and text together, in order.
+        """
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        key, ones = slot[order] + (text[order] << OWN_BITS), bit[order].astype(np.int64)
+        place = np.arange(len(key))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), place, 0))
+        so_far = np.cumsum(ones) - ones
+        earlier = so_far - so_far[first]
+        before = own.take(key, axis=0).astype(np.int64)
+        zeros_seen, ones_seen = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        zeros_seen[order], ones_seen[order] = before[:, 0] + (place - first - earlier), before[:, 1] + earlier
+        return zeros_seen, ones_seen
+
     def _step(self, bits: Bits, text: np.ndarray, learnt: np.ndarray, live: int, own: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
         bit, x, grades, packed = bits.bit, [], [], self.tables.packed.ravel()
         variant = np.maximum(learnt.take(text), bit) if learnt[:live].any() else bit
@@ -497,11 +523,11 @@ class Mixer:
         mine = bits.node * 2654435761
         mine >>= 8
         mine &= (1 << OWN_BITS) - 1
+        zeros, ones = self._seen(mine, bit, text, own)
         mine += text << OWN_BITS
-        seen = own.take(mine, axis=0)
-        x.append(LOG.take(seen[:, 1]) - LOG.take(seen[:, 0]))
+        x.append(LOG.take(ones) - LOG.take(zeros))
         x.append(np.ones(1, np.float32))
-        met = seen.view(np.uint32).ravel() > 0
+        met = (zeros + ones) > 0
         place = grades[1] * np.int8(4)
         place += grades[0]
         place *= np.int8(2)
@@ -776,7 +802,7 @@ def score_texts(docs: DataFrame, code_words: int = CODE_WORDS, learn_every: int
     speller = Speller.fresh(letters)
     if distinct:
         sent = spark.sparkContext.broadcast(letters)
-        ordered = words.coalesce(1 + distinct // 250_000).sortWithinPartitions(F.xxhash64("token"), "token")
+        ordered = words.repartition(1 + distinct // 250_000, "token").sortWithinPartitions(F.xxhash64("token"), "token")
         learners = ordered.mapInArrow(partial(_learn_letters, counts=sent, rate=0.5, every=learn_every), "place long, value double, seen long")
         means = learners.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("mean")).toArrow().sort_by("place")["mean"].to_numpy()
         speller.weights, speller.refined = means[: SPELL_GATES * SPELL_INPUTS].reshape(SPELL_GATES, -1), means[SPELL_GATES * SPELL_INPUTS :].reshape(SPELL_GATES, -1)
