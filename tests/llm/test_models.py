@@ -146,18 +146,16 @@ def plain_mixing(training, text, code, counts, learnt):
 
     def learn():
         groups = {}
-        for gate, _, x, p, _, bit, _ in pending:
+        for gate, _, x, p, _, bit in pending:
             groups.setdefault(gate, []).append((x, bit - p))
         drift = {}
-        for _, fine, _, _, cell, bit, _ in pending:
+        for _, fine, _, _, cell, bit in pending:
             drift.setdefault((fine, cell), []).append(bit - refined.get((fine, cell), start[cell]))
         for gate, found in groups.items():
             w = weights.get(gate, list(lm_score.START))
             weights[gate] = [w[j] + lm_score.RATES[0] * sum(e * x[j] for x, e in found) / len(found) for j in range(len(w))]
         for (gate, cell), found in drift.items():
             refined[gate, cell] = refined.get((gate, cell), start[cell]) + lm_score.RATES[1] * sum(found) / (1 + lm_score.RATES[1] * len(found))
-        for *_, bit, slot in pending:
-            own[slot, bit] += 1
         pending.clear()
 
     for i, w in enumerate(words):
@@ -185,7 +183,8 @@ def plain_mixing(training, text, code, counts, learnt):
             at = [refined.get((fine, low + k), start[low + k]) for k in (0, 1)]
             final = 0.5 * (p + at[0] * (1 - spot + low) + at[1] * (spot - low))
             log += math.log10(max(1e-4, final if bit else 1 - final))
-            pending.append((gate, fine, x, p, low + (spot - low > 0.5), bit, slot))
+            pending.append((gate, fine, x, p, low + (spot - low > 0.5), bit))
+            own[slot, bit] += 1
         out.append(log)
     return out
 
@@ -202,6 +201,21 @@ def test_mixing_equals_one_bit_after_the_other():
         assert np.abs(logs - expected).max() < 0.01
 
 
+def test_a_repeated_word_gets_cheaper_inside_a_segment():
+    counts, code = make_code(["the cat sat on the mat the cat ran", "a cat and the dog sat on a mat"] * 3)
+    found = read(["dog " * 200])
+    logs = lm_score.Mixer(code, make_tables(["the cat sat on the mat the cat ran", "a cat and the dog sat on a mat"] * 3, code)).run(found, lm_score.Coded(found, code, np.zeros(1, bool)))
+    for a, b in ((0, 16), (16, 64), (64, 128)):
+        assert (np.diff(logs[a:b]) >= -1e-3).all() and logs[b - 1] > logs[a]
+    assert logs[1] > logs[0] and logs[15] > logs[1] + 0.1
+
+
+def test_layouts_make_no_difference_to_scores(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = [{r["doc_id"]: r["score"] for r in lm_score.score_texts(df.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0].keys() == found[1].keys() and max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-3
+
+
 def test_code_words_share_out_all_probability():
     """Whatever has come before, the code words of all symbols have probabilities that sum to one."""
     training = ["the cat sat on the mat " * 5, "a dog ran over the mat", "once"]
