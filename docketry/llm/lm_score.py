@@ -589,9 +589,9 @@ class Letters:
             back = np.concatenate([np.repeat(zero, n), wide[:-n]]) if len(data) > n else np.zeros(len(data), np.uint64)
             running = running * np.uint64(257) + np.where(at >= n, back, np.uint64(0))
             contexts.append((running * _A) ^ kind if n < 4 else running * _A)
-        powers = np.cumprod(np.concatenate([[1], np.full(max(0, len(data) - 1), 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, len(data) - 1), 0x100000001B3, np.uint64)]), dtype=np.uint64)
         inverse = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-        lows = np.cumprod(np.concatenate([[1], np.full(max(0, len(data) - 1), inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        lows = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, len(data) - 1), inverse, np.uint64)]), dtype=np.uint64)
         sums = np.concatenate([zero, np.cumsum(wide * powers, dtype=np.uint64)])[: len(data)]
         so_far = (sums - sums[np.repeat(first, sizes)]) * lows[np.repeat(first, sizes)] if len(data) else zero[:0]
         contexts.append((so_far ^ (so_far >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
