@@ -243,6 +243,15 @@ def test_spelling_is_a_distribution():
     assert speller.log10([b"the"], np.zeros(1, np.int64))[0] > speller.log10([b"qzx"], np.zeros(1, np.int64))[0]
 
 
+def test_slots_of_a_spelling_are_the_same_wherever_it_stands():
+    tokens = [b"the", b"x" * 50, b"tea", b"the", b"the"]
+    letters = lm_score.Letters(tokens, np.array([1, 0, 2, 1, 3]))
+    alone = lm_score.Letters([b"the"], np.array([1]))
+    for slots, own in zip(letters.slots, alone.slots, strict=True):
+        for k in (0, 3):
+            assert slots[letters.first[k] : letters.first[k] + 32].tolist() == own.tolist()
+
+
 def test_copies_are_cheap(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
