@@ -135,32 +135,34 @@ def nearest_preceding(left: DataFrame, right: DataFrame, key: str, reach: int) -
 AMOUNT_PATTERN = r"\d{1,3}(?:\.\d{3})+,\d{3}"
 
 
+#: What precedes a mention or an amount since the one before it, and the mention or amount: no bank's name holds a digit.
+MENTION_OR_AMOUNT = rf"(?sU)(.*?)({L.BANK}|[0-9]{{1,3}}(?:\.[0-9]{{3}})+,[0-9]{{3}})"
+
+
 def nearest_bank_amount(text: Column) -> Column:
-    """The amount that follows the bank's name most closely, within reach; of equals the first."""
-
-    place = lambda x, v: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), v.alias("value"))
-    none = F.lit(None).cast("string")
-    state = "named_struct('bank', cast(null as int), 'stop', cast(null as int), 'distance', cast(null as int), 'value', cast(null as string))"
-
-    def best(spans: Column) -> Column:
-        # One walk over both in their order. The last mention before an amount is the nearest one that lies wholly before it.
-        def step(s: Column, x: Column) -> Column:
-            distance = x["start"] - s["bank"]
-            nearer = (s["stop"] <= x["start"]) & (distance <= L.AMOUNT_REACH) & (s["distance"].isNull() | (distance < s["distance"]))
-            take = x["value"].isNotNull() & F.coalesce(nearer, F.lit(False))
-            bank = x["value"].isNull()
-            return F.struct(
-                F.when(bank, x["start"]).otherwise(s["bank"]).alias("bank"),
-                F.when(bank, x["stop"]).otherwise(s["stop"]).alias("stop"),
-                F.when(take, distance).otherwise(s["distance"]).alias("distance"),
-                F.when(take, x["value"]).otherwise(s["value"]).alias("value"),
-            )
-
-        return F.aggregate(F.array_sort(spans), F.expr(state), step)["value"]
-
-    banks = F.transform(T.spans(text, f"(?U){L.BANK}"), lambda x: place(x, none))
-    amounts = F.transform(T.spans(text, AMOUNT_PATTERN), lambda x: place(x, x["value"]))
-    return F.when(X.mentions_bank(text) & text.rlike(AMOUNT_PATTERN), F.concat(best(F.concat(banks, amounts)), F.lit(f" {L.DINAR}")))
+    """The amount that follows the bank's name most closely, within reach; of equals the first.
+
+    One walk over both in their order. The last mention before an amount is the nearest one that
+    lies wholly before it; places follow from the lengths of what was passed.
+    """
+    state = "named_struct('at', 0, 'bank', cast(null as int), 'distance', cast(null as int), 'value', cast(null as string))"
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["before"])
+        amount = x["value"] < ":"  # digits come before it, letters after
+        distance = start - s["bank"]
+        nearer = amount & (distance <= L.AMOUNT_REACH) & (s["distance"].isNull() | (distance < s["distance"]))
+        take = F.coalesce(nearer, F.lit(False))
+        return F.struct(
+            (start + F.length(x["value"])).alias("at"),
+            F.when(amount, s["bank"]).otherwise(start).alias("bank"),
+            F.when(take, distance).otherwise(s["distance"]).alias("distance"),
+            F.when(take, x["value"]).otherwise(s["value"]).alias("value"),
+        )
+
+    passed = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(MENTION_OR_AMOUNT), F.lit(i)).alias(k) for i, k in ((1, "before"), (2, "value"))))
+    best = F.aggregate(passed, F.expr(state), step)["value"]
+    return F.when(X.mentions_bank(text) & text.rlike(AMOUNT_PATTERN), F.concat(best, F.lit(f" {L.DINAR}")))
 
 
 def summary(text: Column, tribunal: Column, date: Column, amount: Column) -> Column:

@@ -17,6 +17,7 @@ from docketry.functions import lexicon as L
 from docketry.functions import text as T
 from docketry.operators import ocr, record, registry
 from docketry.operators import schema as S
+from docketry.operators.tables import materialise
 from docketry.plans import derived as D
 from docketry.sources import documents as docs
 
@@ -250,10 +251,11 @@ def nearest_amount(spark, sf_dir):
 b AS (SELECT doc_id, bank, s, replace(v, ' دينار', '') AS v FROM a UNION ALL SELECT doc_id, bank, s + length(v) - 6 + 4, '8.888,888' FROM a)
 SELECT doc_id, v AS amount, s - bank AS distance FROM b WHERE s - bank <= 750""")
 def preceding_mention(spark, sf_dir):
-    rows = _distant(spark, sf_dir)
-    amounts = rows.select("doc_id", F.explode(T.spans(F.col("text"), record.AMOUNT_PATTERN)).alias("x")).select("doc_id", "x.*")
-    banks = rows.select("doc_id", F.explode(T.spans(F.col("text"), f"(?U){L.BANK}")).alias("x")).select("doc_id", "x.*")
-    met = record.nearest_preceding(amounts, banks, "doc_id", L.AMOUNT_REACH)
+    # Texts are rendered once; what both sides of the join need are the spans alone.
+    spans = F.array(*(T.spans(F.col("text"), p) for p in (record.AMOUNT_PATTERN, f"(?U){L.BANK}")))
+    rows = _distant(spark, sf_dir).select("doc_id", F.posexplode(spans).alias("side", "found")).select("doc_id", "side", F.explode("found").alias("x"))
+    rows = materialise(rows.select("doc_id", "side", "x.*"), "mentions")
+    met = record.nearest_preceding(rows.filter("side = 0"), rows.filter("side = 1"), "doc_id", L.AMOUNT_REACH)
     return met.select("doc_id", F.col("l_value").alias("amount"), (F.col("l_start") - F.col("r_start")).cast("long").alias("distance"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -252,3 +253,21 @@ def test_the_advance_is_noted_once(spark):
     again = record.strengthen(once.withColumn("text", F.lit(said)).withColumnRenamed("extraction", "given"), record="given")
     notes = {r["doc_id"]: (r["extraction"]["explication_montant"] or "").count(L.ADVANCE_NOTE) for r in again.collect()}
     assert notes == {1: 1, 2: 1, 3: 1}
+
+
+def test_nearest_amounts_against_a_plain_walk(spark):
+    rng = random.Random(5)
+    pieces = [L.BANK_NAME, L.BANK_NAME.replace(" ", "\n "), "1.234,567", "12.345.678,900", "999,999", "٩.٩٩٩,٩٩٩", "x " * 40, "نص " * 150, "5", "\x01", ".", " "]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(14))) for _ in range(200)]
+
+    def plain(text):
+        banks = [m.span() for m in re.finditer(L.BANK, text)]
+        best = None
+        for m in re.finditer(r"[0-9]{1,3}(?:\.[0-9]{3})+,[0-9]{3}", text):
+            before = [a for a, b in banks if b <= m.start()]
+            if before and m.start() - before[-1] <= L.AMOUNT_REACH and (best is None or m.start() - before[-1] < best[0]):
+                best = (m.start() - before[-1], m[0])
+        return best and f"{best[1]} {L.DINAR}"
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", record.nearest_bank_amount(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows} == {t: plain(t) for t in texts} and len({r["x"] for r in rows}) > 2
