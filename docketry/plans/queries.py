@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import amounts as A
@@ -17,7 +17,7 @@ from docketry.functions import lexicon as L
 from docketry.functions import text as T
 from docketry.operators import ocr, record, registry
 from docketry.operators import schema as S
-from docketry.operators.tables import materialise
+from docketry.operators.tables import materialise, running_total
 from docketry.plans import derived as D
 from docketry.sources import documents as docs
 
@@ -661,13 +661,12 @@ def backfill_count(spark, sf_dir):
     return registry.backfilled(D.registry(spark, sf_dir))
 
 
-@query("SELECT o_orderkey AS id, is_new, row_number() OVER (ORDER BY is_new DESC, o_orderdate DESC, o_orderkey DESC) AS place FROM (SELECT o_orderkey, o_orderdate, false AS is_new FROM orders UNION ALL SELECT o_orderkey, o_orderdate, true FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY place LIMIT 20")
+@query("SELECT o_orderkey AS id, is_new, row_number() OVER (ORDER BY is_new DESC, o_orderdate DESC, o_orderkey DESC) AS place FROM (SELECT o_orderkey, o_orderdate, false AS is_new FROM orders UNION ALL SELECT o_orderkey, o_orderdate, true FROM orders WHERE o_orderpriority = '1-URGENT')")
 def registry_prepend(spark, sf_dir):
     rows = D.registry(spark, sf_dir).select("id", "date")
     urgent = D.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("date"))
-    first = registry.prepend(rows, urgent).limit(20).withColumn("one", F.lit(1))  # the list's first page
-    place = F.row_number().over(Window.partitionBy("one").orderBy(F.desc("is_new"), F.desc("date"), F.desc("id")))
-    return first.select("id", "is_new", place.cast("long").alias("place"))
+    listed = registry.prepend(rows, urgent).select("id", "is_new", (~F.col("is_new")).alias("old"), (-F.unix_micros("date")).alias("age"), (-F.col("id")).alias("last"))
+    return running_total(listed, ["old", "age", "last"], into="place").select("id", "is_new", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '-' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS shown FROM orders")
