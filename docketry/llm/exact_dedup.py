@@ -11,6 +11,8 @@ import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import join_skewed, materialise
+from docketry.llm.phrases import bit_map, is_set
 
 LOCAL = "uid long, rep_id long, digest binary, text string, n long, best int, members array<long>, rows array<long>"
 ARROW = pa.schema([
@@ -102,10 +105,18 @@ def exact_duplicates(
         ),
         "exact-local",
     )
-    # Texts of a digest that many tasks have stay where they are until they are salted.
-    shared = local.groupBy("digest").agg(F.count("*").alias("parts")).filter("parts > 1")
+    # Texts of a digest that many tasks have stay where they are until they are salted; those of
+    # one that no other task has, and a bit map of bounded size tells nearly all, don't move at all.
+    shared = materialise(local.groupBy("digest").agg(F.count("*").alias("parts")).filter("parts > 1"), "exact-shared")
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(shared.select(F.xxhash64("digest").alias("fp"))))
+
+    @F.pandas_udf("boolean")
+    def may_be_shared(fp: pd.Series) -> pd.Series:
+        return pd.Series(is_set(known.value, fp.to_numpy(np.int64).view(np.uint64)))
+
+    some = local.filter(may_be_shared(F.xxhash64("digest"))).select("uid", "rep_id", "digest", "text", "n")
     by_salt = (
-        join_skewed(local.select("uid", "rep_id", "digest", "text", "n"), materialise(shared, "exact-shared"), "digest", "parts")
+        join_skewed(some, shared, "digest", "parts")
         .withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
         .groupBy("digest", "salt", "text")
         .agg(
