@@ -16,7 +16,6 @@ from docketry.functions import facts as X
 from docketry.functions import lexicon as L
 from docketry.functions import text as T
 from docketry.operators import ocr, record, registry
-from docketry.operators import schema as S
 from docketry.operators.tables import materialise, running_total
 from docketry.plans import derived as D
 from docketry.sources import documents as docs
