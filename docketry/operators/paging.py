@@ -38,6 +38,11 @@ def page(spark: SparkSession, path: str, number: int, size: int, rows_per_part:
     return rows.drop(PART).orderBy(PLACE)
 
 
+def pages(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """All rows with the number of the page, of so many rows, that holds them: one pass, however many pages there are."""
+    return spark.read.parquet(f"{path}/rows").drop(PART).withColumn("page", F.floor(F.col(PLACE) / size).cast("int"))
+
+
 def page_after(spark: SparkSession, path: str, date, row_id: int | None, size: int, rows_per_part: int = 100_000) -> DataFrame:
     """The next rows behind one of this date and id, in order; the row itself need not be there any more.
 

@@ -2,7 +2,8 @@
 
 What opens a file is injected: an object with `files(path)`, giving names and numbers of pages, and
 `read(name, first, last)`, giving (page, text, blocks) for these pages, blocks being (bbox, text).
-It is pickled into the tasks.
+It is pickled into the tasks. Where it also has `offsets(name, pages)`, giving where pages begin, it is told so by
+`begin(name, page, at)` before the task reads.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -20,6 +22,8 @@ TEXTS = "path string, page int, text string"
 BLOCKS = "path string, page int, bbox array<double>, text string"
 #: Pages that one task reads.
 PAGES_A_TASK = 64
+#: Tasks that a read makes at most, unless filters leave more runs of pages: beyond, a task reads more pages.
+MOST_TASKS = 4096
 
 
 class Opener(Protocol):
@@ -33,6 +37,7 @@ class PageRange(InputPartition):
     name: str
     first: int
     last: int
+    at: int | None = None
 
 
 class PageReader(DataSourceReader):
@@ -69,7 +74,7 @@ class PageReader(DataSourceReader):
             else:
                 yield f
 
-    def _wanted(self, n_pages: int) -> Iterator[tuple[int, int]]:
+    def _wanted(self, n_pages: int, step: int) -> Iterator[tuple[int, int]]:
         """The ranges of pages that tasks read of a file."""
         last = n_pages if self._last is None else min(n_pages, self._last)
         if self._pages is None:
@@ -82,16 +87,24 @@ class PageReader(DataSourceReader):
                 else:
                     runs.append((p, p))
         for first, end in runs:
-            for a in range(first, end + 1, self._step):
-                yield a, min(end, a + self._step - 1)
+            for a in range(first, end + 1, step):
+                yield a, min(end, a + step - 1)
 
     def partitions(self) -> list[PageRange]:
-        found = ((name, n) for name, n in self._opener.files(self._path) if self._names is None or name in self._names)
-        return [PageRange(name, a, b) for name, n in found for a, b in self._wanted(n)]
+        found = [(name, n) for name, n in self._opener.files(self._path) if self._names is None or name in self._names]
+        step = max(self._step, -(-sum(n for _, n in found) // MOST_TASKS))
+        offsets, out = getattr(self._opener, "offsets", None), []
+        for name, n in found:
+            wanted = list(self._wanted(n, step))
+            starts = offsets(name, [a for a, _ in wanted]) if offsets and wanted else [None] * len(wanted)
+            out += [PageRange(name, a, b, at) for (a, b), at in zip(wanted, starts, strict=True)]
+        return out
 
     def read(self, partition: PageRange) -> Iterator[tuple[Any, ...]]:
         if not isinstance(partition, PageRange):  # Spark reads an empty list of partitions as one without any
             return
+        if partition.at is not None:
+            self._opener.begin(partition.name, partition.first, partition.at)
         for page, text, blocks in self._opener.read(partition.name, partition.first, partition.last):
             if self._blocks:
                 yield from ((partition.name, page, [float(x) for x in box], t.strip()) for box, t in blocks if t.strip())
@@ -135,6 +148,22 @@ class FormFeedFiles:
 
     suffix: str = ".txt"
 
+    def offsets(self, name: str, pages: list[int]) -> list[int]:
+        """The bytes at which pages, in ascending order, begin: a task goes there and passes over none before."""
+        ends, wanted, out, base = 0, list(pages), [], 0
+        out += [0 for p in wanted if p <= 1]
+        with open(name, "rb") as f:
+            while len(out) < len(wanted) and (data := f.read(1 << 20)):
+                at = np.flatnonzero(np.frombuffer(data, np.uint8) == 12)
+                while len(out) < len(wanted) and wanted[len(out)] - 1 <= ends + len(at):
+                    out.append(base + int(at[wanted[len(out)] - 2 - ends]) + 1)
+                ends, base = ends + len(at), base + len(data)
+        return out
+
+    def begin(self, name: str, page: int, at: int) -> None:
+        """Tell `read` where a page begins."""
+        self._known = {(name, page): at}
+
     def files(self, path: str) -> Iterator[tuple[str, int]]:
         for name in sorted(glob.glob(f"{path.removeprefix('file://')}/**/*{self.suffix}", recursive=True)):
             pages = 0
@@ -145,8 +174,10 @@ class FormFeedFiles:
                 yield name, pages
 
     def read(self, name: str, first: int, last: int) -> Iterator[tuple[int, str, list[tuple[list[float], str]]]]:
-        page, kept = 1, []
+        at = getattr(self, "_known", {}).get((name, first))
+        page, kept = (1 if at is None else first), []
         with open(name, "rb") as f:
+            f.seek(at or 0)
             while page <= last and (data := f.read(1 << 20)):
                 *ends, rest = data.split(b"\f")
                 for piece in ends:

@@ -59,6 +59,19 @@ def test_large_files_are_read_by_many_tasks(spark, books):
     assert [(list(b["bbox"]), b["text"]) for b in blocks] == [([0, 0, 6, 1], "page 7"), ([0, 1, 4, 2], "é 7")]
 
 
+def test_a_task_goes_to_its_pages(spark, tmp_path):
+    # Each task read its file from the first page on.
+    (tmp_path / "a.txt").write_bytes("".join(f"é {i}\f" for i in range(1, 301_001)).encode())
+    files, name = FormFeedFiles(), str(tmp_path / "a.txt")
+    first = [1, 2, 150_000, 300_999, 301_000]
+    for p, at in zip(first, files.offsets(name, first), strict=True):
+        files.begin(name, p, at)
+        assert [(k, t) for k, t, _ in files.read(name, p, p)] == [(p, f"é {p}")]
+    rows = read_pages(spark, files, str(tmp_path), pages_per_task=10, name="many")
+    assert rows.rdd.getNumPartitions() <= 4096
+    assert rows.filter("page > 300990 and text = concat('é ', page)").count() == 10
+
+
 # ---- model calls
 
 
@@ -181,6 +194,15 @@ def registry_status(s):
 # ---- counts
 
 
+def test_all_pages_are_one_scan(spark, tmp_path):
+    rows = spark.range(500).select("id", F.lit(datetime(2020, 1, 1)).alias("date"), F.lit("Valide").alias("status"))
+    paging.write_listing(rows, str(tmp_path), 40, record=None)
+    found = paging.pages(spark, str(tmp_path), 7)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["page"]: r["n"] for r in found.groupBy("page").agg(F.count("*").alias("n")).collect()} == {k: 7 if k < 71 else 3 for k in range(72)}
+    assert [tuple(r) for r in found.filter("page = 3").select("id", "place").orderBy("place").collect()] == [(r["id"], r["place"]) for r in paging.page(spark, str(tmp_path), 3, 7, 40).collect()]
+
+
 def test_counts_follow_changes_in_any_order(spark, tmp_path):
     arrivals._with_rocks(spark)
     rng = random.Random(6)
