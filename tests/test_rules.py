@@ -285,3 +285,21 @@ def test_digits_of_other_scripts_are_matched_where_they_stand(spark):
     text = "الفصل ٢١ من عقد القرض و الفصل 7 . بتاريخ ٣ ماي ٢٠١٩ ثم x12 جانفي 2018"
     row = spark.createDataFrame([(text,)], "t string").select(X.decision_date(F.col("t")).alias("d"), X.legal_references(F.col("t")).alias("r"), T.strip(F.lit("\u3000\x85 a \u2028")).alias("s")).first()
     assert tuple(row) == ("03/05/2019", ["الفصل 21 من عقد القرض", "الفصل 7"], "a")
+
+
+def test_words_of_many_pages_go_together(spark, monkeypatch):
+    # Each page made a table of its own.
+    word = {"block_num": 1, "par_num": 1, "line_num": 1, "text": "w", "conf": 9.0, "left": 0, "top": 0, "width": 1, "height": 1}
+    files = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("path"), F.lit(b"x").alias("content"))
+    found = documents.recognise_with(files, lambda data: [data, data], lambda image, psm: [word])
+    made = []
+    monkeypatch.setattr(documents.pd, "DataFrame", lambda rows, columns: made.append(len(rows)) or rows)
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, run, schema: run)
+    run = documents.recognise_with(files, lambda data: [data, data], lambda image, psm: [word])
+    assert sum(len(x) for x in run([{"path": ["a"] * 3000, "content": [b"x"] * 3000}])) == 12_000 and len(made) == 2
+    monkeypatch.undo()
+    assert found.count() == 12_000
+
+
+def test_a_tie_of_tenths_goes_up(apply):
+    assert apply(T.readable_size, 2_359_296, 786_432 * 3, kind="long") == ["2.3 MB", "2.3 MB"]
