@@ -127,8 +127,12 @@ def cut_points(rows: DataFrame, key: str = "doc_id", row: str = "row", darkness:
     with the page's height. A page is folded in its own row, whose rows its image bounds.
     """
     some = rows.filter(F.col(row).isNotNull()).groupBy(key, row).agg(F.max(F.coalesce(F.col(darkness).cast("double"), F.lit(0.0))).alias("dark"))
-    pages = some.groupBy(key).agg((F.max(row) + 1).cast("int").alias("height"), F.map_from_entries(F.collect_list(F.struct(F.col(row).cast("int"), "dark"))).alias("dark"))
-    line = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.coalesce(F.col("dark")[y], F.lit(0.0)))
+    # Rows in order with where each one's predecessor stands: a row is put behind its gap's blanks, none is looked up in the page.
+    inked = F.array_sort(F.collect_list(F.struct(F.col(row).cast("int").alias("y"), "dark")))
+    filled = lambda v: F.flatten(F.transform(v, lambda x, i: F.concat(F.array_repeat(F.lit(0.0), x["y"] - F.when(i > 0, F.get(v, i - 1)["y"]).otherwise(-1) - 1), F.array(x["dark"]))))
+    pages = some.groupBy(key).agg((F.max(row) + 1).cast("int").alias("height"), inked.alias("inked"))
+    # An outer generator of one row: the page is filled once, not again by every step that reads it.
+    pages = pages.select(key, "height", F.explode_outer(F.array(T.let(F.filter("inked", lambda x: x["y"] >= 0), filled))).alias("line"))
 
     def step(s: Column, _: Column) -> Column:
         first, last = F.greatest(s["cut"] + 1, s["target"] - radius), F.least(F.col("height") - 1, s["target"] + radius)
@@ -146,4 +150,4 @@ def cut_points(rows: DataFrame, key: str = "doc_id", row: str = "row", darkness:
     start = F.struct(F.lit(0).alias("cut"), F.lit(band).alias("target"), F.array(F.lit(0)).alias("cuts"))
     steps = F.sequence(F.lit(0), F.ceil(F.col("height") / max(1, min(gap, band))).cast("int"))
     cuts = F.concat(F.aggregate(steps, start, step)["cuts"], F.array("height"))
-    return pages.select(key, "height", line.alias("line")).select(key, cuts.alias("cuts"))
+    return pages.select(key, cuts.alias("cuts"))
