@@ -18,3 +18,21 @@ def test_long_page_is_cut_in_linear_time(spark):
     assert time.time() - begun < 15
     assert cuts[0] == 0 and cuts[-1] == 12_000 and all(b - a >= 47 for a, b in zip(cuts[:-2], cuts[1:-1], strict=True))
     assert all(c * 7 % 41 == min(x * 7 % 41 for x in range(c - 4, c + 5)) for c in cuts[1:-1])
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(D, "tasks", lambda s: 2)
+    assert D.tasks_of(spark, D.table(spark, SF, "orders"), 100) == 15 and D.tasks_of(spark, D.table(spark, SF, "region")) == 2
+    monkeypatch.setattr(D, "tasks_of", lambda *_: 7)
+    for rows in (D.judgments(spark, SF), D.words(spark, SF), D.dealt(spark, SF, "orders"), queries._distant(spark, SF)):
+        assert rows.rdd.getNumPartitions() == 7
+
+
+def test_words_move_once(spark):
+    plan = ocr.merged_lines(D.words(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_nearest_amount_is_computed_behind_the_deal(spark):
+    plan = queries.nearest_amount(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan[plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Repartition") :].lower()
