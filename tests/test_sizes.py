@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import time
 
+from pyspark.sql import functions as F
+
+from docketry.functions import lexicon as L
+from docketry.functions import text as T
 from docketry.operators import ocr
 from docketry.plans import derived as D
 from docketry.plans import queries
+from docketry.sources import documents as docs
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +41,23 @@ def test_words_move_once(spark):
 def test_nearest_amount_is_computed_behind_the_deal(spark):
     plan = queries.nearest_amount(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan[plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Repartition") :].lower()
+
+
+def test_empty_text_is_null_and_computed_once(spark):
+    row = spark.createDataFrame([("a",), ("",), (None,)], "t string").select(T.filled(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in row] == ["a", None, None]
+    plan = spark.createDataFrame([("a",)], "t string").select(T.found(F.col("t"), "(a)").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
+def test_excerpts_around_first_and_last_mention(spark):
+    name = "البنك  تمويل المؤسسات الصغرى والمتوسطة"
+    text = "\U0001f600" * 50 + "a" * 2000 + name + "b" * 3000 + name + "c" * 2000
+    found = spark.createDataFrame([(text,)], "t string").select(docs.excerpts(F.col("t"), 4500).alias("x")).first()["x"].split("[EXTRAIT: ")
+    assert [p.count(name) for p in found if p.startswith("contexte banque")] == [1, 1]
+    first, last = (p.split("\n", 1)[1].strip() for p in found if p.startswith("contexte banque"))
+    at, again = text.index(name), text.rindex(name)
+    for got, k in ((first, at), (last, again)):
+        whole = text[k - 120 : k + len(name) + 430]
+        room = 400 - len(L.SHORTENED)
+        assert got == whole[: room // 2].rstrip() + L.SHORTENED + whole[len(whole) - (room - room // 2) :].lstrip()
