@@ -61,3 +61,14 @@ def test_excerpts_around_first_and_last_mention(spark):
         whole = text[k - 120 : k + len(name) + 430]
         room = 400 - len(L.SHORTENED)
         assert got == whole[: room // 2].rstrip() + L.SHORTENED + whole[len(whole) - (room - room // 2) :].lstrip()
+
+
+def test_items_are_written_outside_of_lambdas(spark):
+    """Spark compiles no function of an array's elements, so amounts are written a line item at a time, before items are grouped."""
+    plan = D.judgments(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    values = [0.0, 0.0005, 0.0015, 1.0005, -1.0005, 999.9995, 999999.9996, 12345678.0125, 1e9 + 0.0005, -1234567.891]
+    x = F.col("x")
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(D.millimes(x).alias("m"), F.round(x.cast("decimal(20,6)") * 1000).cast("long").alias("want"))
+    rows = rows.select("m", "want", D.written(F.col("m"), F.lit(2)).alias("w"), F.concat(F.format_number(F.floor(F.col("m") / 1000), 0), F.lit(","), F.lpad((F.col("m") % 1000).cast("string"), 3, "0")).alias("long"))
+    assert all(r["m"] == r["want"] and r["w"] == r["long"] for r in rows.collect())
