@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from docketry.functions import facts
 from docketry.functions import lexicon as L
 from docketry.functions import text as T
 from docketry.operators import ocr
@@ -72,3 +73,14 @@ def test_items_are_written_outside_of_lambdas(spark):
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(D.millimes(x).alias("m"), F.round(x.cast("decimal(20,6)") * 1000).cast("long").alias("want"))
     rows = rows.select("m", "want", D.written(F.col("m"), F.lit(2)).alias("w"), F.concat(F.format_number(F.floor(F.col("m") / 1000), 0), F.lit(","), F.lpad((F.col("m") % 1000).cast("string"), 3, "0")).alias("long"))
     assert all(r["m"] == r["want"] and r["w"] == r["long"] for r in rows.collect())
+
+
+def test_decision_is_worked_out_where_an_award_stands(spark):
+    judgment = f"المدعي: {L.BANK_NAME}\nولهذه الأسباب\nقضت المحكمة {{}} المبالغ\nعن الطور الحالي"
+    texts = [judgment.format(w) for w in (*L.AWARDED, "برفض")] + [None]
+    text = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", facts.bank_role(text).alias("role"), facts.operative_part(text).alias("part"))
+    got = rows.select(facts.bank_decision(F.col("role"), F.col("part"), text).alias("a"), facts.bank_decision(F.col("role"), F.col("part")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == ["Favorable"] * 4 + [None] * 2
+    plan = queries.bank_decision(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains") < plan.index(L.BANK)
