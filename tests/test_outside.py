@@ -257,3 +257,30 @@ def test_text_sink_keeps_any_text(spark, tmp_path):
     documents.write_text(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "out"))
     found = sorted(map(tuple, documents.read_text(spark, str(tmp_path / "out")).collect()))
     assert found == sorted([("1", rows[0][1]), ("2", ""), ("", "é\r\n"), ("3", "")])
+
+
+def test_classes_hold_every_pair_once(spark, tmp_path):
+    clients = ["Bank One", "bank one", "BANK TWO", None, "anker"]
+    rows = [(i, clients[i % 5], f"D-{i % 3}", f"file_{i}.pdf") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, client string, ref string, file_name string").repartition(3)
+    asked = [*(["ank", "BANK ONE", "bank one", "", "d-1", "file_5", "e_59.pdf", "nothing", "k o"] * 4), None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    search_index.build_classes(df, str(tmp_path / "i"))
+    found = search_index.search_classes(spark, str(tmp_path / "i"), queries).collect()
+    of_query = {r["query_id"]: r["class_id"] for r in found if r["kind"] == "query"}
+    of_row = {(r["field"], r["id"]): r["class_id"] for r in found if r["kind"] == "row"}
+    matches = [(r["query_id"], r["field"], r["class_id"]) for r in found if r["kind"] == "match"]
+    assert len(of_row) == 48 + 60 + 60 and len(set(matches)) == len(matches) < 200
+    pairs = {(q, i) for q, k in of_query.items() for i in range(60) if any((k, c, of_row.get((c, i), -1)) in matches for c in search_index.COLUMNS)}
+    search_index.build(df, str(tmp_path / "j"))
+    assert pairs == {(r["query_id"], r["id"]) for r in search_index.search_all(spark, str(tmp_path / "j"), queries).collect()}
+    assert pairs == {(k, r["id"]) for q, text in enumerate(asked[:9]) for r in registry.search(df, text).collect() for k in range(q, 36, 9)}
+
+
+def test_long_query_meets_long_pieces(spark, tmp_path):
+    """A piece of three digits stands in a share of all rows, one of six hardly in any."""
+    df = spark.range(20_000).select("id", F.lpad(F.col("id").cast("string"), 9, "0").alias("client"), F.lit(None).cast("string").alias("ref"), F.lit("a").alias("file_name"))
+    search_index.build(df, str(tmp_path / "i"))
+    counts = spark.read.parquet(str(tmp_path / "i" / "counts"))
+    asked = spark.createDataFrame([("000012345",)], "q string").select(F.explode(search_index.pieces(F.col("q"))).alias("gram"))
+    assert asked.join(counts, "gram").agg(F.min("n")).first()[0] <= 10
