@@ -13,10 +13,12 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from docketry.functions import lexicon as L
 from docketry.functions import text as T
+from docketry.operators.tables import remove_path
+from docketry.streaming.uploads import epochs
 
 EVENTS = "id long, attempt int, kind string, ts timestamp, received timestamp, service string, sufficient boolean, method string, error string"
 STATES = "id long, version long, attempt int, status string, extraction_method string, error_message string"
@@ -130,15 +132,70 @@ def states_at(events: DataFrame, watermark: datetime | None, limit: timedelta =
         F.min(F.when(~F.col("is_end"), F.col("at"))).alias("started"),
         F.min(F.when(F.col("is_end"), F.struct("at", "status", "method", F.coalesce("error", F.lit("")).alias("error")))).alias("ended"),
     )
+    now = -(2**62) if watermark is None else int(watermark.replace(tzinfo=watermark.tzinfo or timezone.utc).timestamp() * 1_000_000)
+    return found.select("id", "attempt", *_standing(now, limit))
+
+
+def _standing(now: int, limit: timedelta) -> list[Column]:
+    """status, extraction_method and error_message of attempts (started, ended) once all times up to `now`, in microseconds, have passed."""
     over = F.col("started") + int(limit.total_seconds() * 1_000_000)
     in_time = F.col("ended").isNotNull() & (over.isNull() | (F.col("ended.at") <= over))
-    now = -(2**62) if watermark is None else int(watermark.replace(tzinfo=watermark.tzinfo or timezone.utc).timestamp() * 1_000_000)
     given_up = F.col("ended").isNotNull() | (over <= now)
     pick = lambda result, failed, running: F.when(in_time, result).when(given_up, failed).otherwise(running)
-    return found.select(
-        "id", "attempt", pick(F.col("ended.status"), F.lit(FAILED), F.lit(RUNNING)).alias("status"), pick(F.col("ended.method"), F.lit("failed"), F.lit("retrying")).alias("extraction_method"),
+    return [
+        pick(F.col("ended.status"), F.lit(FAILED), F.lit(RUNNING)).alias("status"), pick(F.col("ended.method"), F.lit("failed"), F.lit("retrying")).alias("extraction_method"),
         pick(F.nullif("ended.error", F.lit("")), F.lit(L.TIMEOUT_MESSAGE), F.lit(None)).alias("error_message"),
-    )
+    ]
+
+
+def newest_attempts(events: DataFrame) -> DataFrame:
+    """(id, attempt, started, ended, newest): each judgment's newest attempt and its earliest start and result, and when its newest event was received, of a stream or a table.
+
+    All are smallest or largest values, so Spark aggregates keep them: a stream's state never leaves the JVM.
+    """
+    first = lambda end, *known: F.min(F.when(F.col("is_end") == end, F.struct((-F.col("attempt")).alias("older"), F.col("at"), *known)))
+    rows = prepared(events).groupBy("id").agg(
+        first(False).alias("s"), first(True, F.col("status"), F.col("method"), F.coalesce("error", F.lit("")).alias("error")).alias("e"), F.max(F.unix_micros("received")).alias("newest")
+    )
+    older = F.least("s.older", "e.older")
+    return rows.select("id", (-older).alias("attempt"), F.when(F.col("s.older") == older, F.col("s.at")).alias("started"), F.when(F.col("e.older") == older, F.col("e")).alias("ended"), "newest")
+
+
+def kept_states(events: DataFrame, target: str, kept: str, checkpoint: str, late: timedelta = timedelta(hours=1), limit: timedelta = LIMIT, keep: int = 3) -> StreamingQuery:
+    """Append to `target` what stands for each judgment that a micro-batch of the stream has events of, and for those that are given up at its end.
+
+    Rows are as those of `states`, whose times and rules hold, but a judgment that has events gets a
+    row whether anything changed or not, and no event comes too late. Running attempts are a table
+    for each micro-batch under `kept`, which plays the timers' part; beside it stands the newest
+    time of receipt. A batch that is run again starts from the tables of the batch before and
+    replaces its own folders; the tables of the last `keep` batches stay.
+    """
+    micros = lambda x: int(x.total_seconds() * 1_000_000)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        done = [e for e in epochs(spark, f"{kept}/clock") if e < epoch]
+        begun = spark.read.schema("newest long").parquet(f"{kept}/clock/epoch={done[-1]}").first()["newest"] if done else None
+        passed = lambda newest: -(2**62) if newest is None else newest - micros(late)
+        standing = batch.select("id", F.lit(2 * epoch).cast("long").alias("version"), "attempt", *_standing(passed(begun), limit), (F.col("started") + micros(limit)).alias("over"), "newest")
+        standing.write.mode("overwrite").parquet(f"{target}/epoch={epoch}/seen")
+        seen = spark.read.schema(standing.schema).parquet(f"{target}/epoch={epoch}/seen")
+        clock = seen.agg(F.max("newest").alias("newest")).first()["newest"]
+        clock = max((x for x in (begun, clock) if x is not None), default=None)
+        running = seen.filter(F.col("status") == RUNNING).select("id", "attempt", "over")
+        if done:
+            before = spark.read.schema(running.schema).parquet(f"{kept}/running/epoch={done[-1]}")
+            running = running.unionByName(before.join(seen.select("id"), "id", "left_anti"))
+        over = F.col("over") <= passed(clock)
+        failed = (F.lit(FAILED).alias("status"), F.lit("failed").alias("extraction_method"), F.lit(L.TIMEOUT_MESSAGE).alias("error_message"))
+        running.filter(over).select("id", F.lit(2 * epoch + 1).cast("long").alias("version"), "attempt", *failed).write.mode("overwrite").parquet(f"{target}/epoch={epoch}/given_up")
+        running.filter(~over).write.mode("overwrite").parquet(f"{kept}/running/epoch={epoch}")
+        spark.range(1).select(F.lit(clock).cast("long").alias("newest")).write.mode("overwrite").parquet(f"{kept}/clock/epoch={epoch}")
+        for old in epochs(spark, f"{kept}/clock")[:-keep]:
+            remove_path(spark, f"{kept}/running/epoch={old}")
+            remove_path(spark, f"{kept}/clock/epoch={old}")
+
+    return newest_attempts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(changes: DataFrame) -> DataFrame:

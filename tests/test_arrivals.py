@@ -71,6 +71,34 @@ def test_states_of_a_stream_equal_the_batch(spark, tmp_path, parts):
     assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "target")).count() == before
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_kept_states_equal_the_batch(spark, tmp_path, parts):
+    """Of Spark's aggregates, without a Python worker: the batch's rows, after restarts, repeated events and a batch that runs again."""
+    arrivals._with_rocks(spark)
+    rows = [*events(parts), (100, 1, "start", at(20_000), at(16_000), None, None, None, None), (101, 1, "start", at(5), None, None, None, None, None)]
+    make = lambda stream, target, check: states.kept_states(stream, target, str(tmp_path / "kept"), check, timedelta(seconds=1))
+
+    def same(rows, changes):
+        df = spark.createDataFrame(rows, states.EVENTS)
+        want = states.states_at(df, arrivals.final_watermark(df, 1))
+        assert sorted(map(tuple, states.latest(changes).collect())) == sorted(map(tuple, want.collect()))
+
+    changes = streamed(spark, rows, states.EVENTS, tmp_path / "in", tmp_path, make, parts)
+    same(rows, changes)
+    found = sorted(map(str, changes.collect()))
+    last = max(int(x.name) for x in (tmp_path / "check" / "commits").iterdir() if x.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    make(spark.readStream.schema(states.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "target"), str(tmp_path / "check")).awaitTermination()
+    changes = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "target"))
+    assert sorted(map(str, changes.collect())) == found
+    # What comes again in another order, and an event received long before, which counts too.
+    more = [(*e[:4], at(15_999), *e[5:]) for e in reversed(rows[:-1])] + [(102, 1, "result", at(1), at(1), "success", True, None, None)]
+    same([*rows, *more], streamed(spark, more, states.EVENTS, tmp_path / "in", tmp_path, make, 1))
+    plan = states.newest_attempts(spark.createDataFrame(rows, states.EVENTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_an_attempt_is_given_up_and_retried(spark):
     def standing(rows, now):
         return [tuple(r)[1:] for r in states.states_at(spark.createDataFrame(rows, states.EVENTS), now).collect()]
