@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import ocr, paging, registry, search_index
-from docketry.plans import arrivals
+from docketry.plans import arrivals, outside
 from docketry.sources import completions, documents
 from docketry.sources.pages import FormFeedFiles, read_pages
 from docketry.streaming import counts
@@ -277,6 +277,22 @@ def test_classes_hold_every_pair_once(spark, tmp_path):
     assert pairs == {(k, r["id"]) for q, text in enumerate(asked[:9]) for r in registry.search(df, text).collect() for k in range(q, 36, 9)}
 
 
+def test_pairs_are_whole_and_come_once(spark, tmp_path):
+    """All pairs of equal queries and equal texts, also where several columns of a row contain a query."""
+    clients = ["Bank One", "bank one", "BANK TWO", None, "file d-1"]
+    rows = [(i, clients[i % 5], f"D-{i % 3}" if i % 7 else None, f"file_{i}.pdf") for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, "bank", "D-1", "f")], "id long, client string, ref string, file_name string").repartition(3)
+    asked = [*(["ank", "BANK ONE", "bank one", "", "d", "d-1", "file", "e_59.pdf", "nothing", "k o"] * 3), None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    search_index.build_classes(df, str(tmp_path / "i"))
+    found = sorted((r["query_id"], r["id"]) for r in search_index.search_pairs(spark, str(tmp_path / "i"), queries).collect())
+    assert found == sorted((q, r[0]) for q, s in enumerate(asked) if s is not None for r in rows if any(s.lower() in (x or "").lower() for x in r[1:]))
+
+
+def test_search_query_gives_pairs(spark):
+    assert outside.registry_search_index(spark, "/root/testdata/sf0.001").columns == ["query_id", "id"]
+
+
 def test_long_query_meets_long_pieces(spark, tmp_path):
     """A piece of three digits stands in a share of all rows, one of six hardly in any."""
     df = spark.range(20_000).select("id", F.lpad(F.col("id").cast("string"), 9, "0").alias("client"), F.lit(None).cast("string").alias("ref"), F.lit("a").alias("file_name"))
