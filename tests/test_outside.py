@@ -227,6 +227,35 @@ def test_counts_follow_changes_in_any_order(spark, tmp_path):
         assert {r["status"]: r["n"] for r in counts.current(spark, str(tmp_path / "counts")).collect()} == want
 
 
+def test_counts_are_kept_without_python_and_over_many_batches(spark, tmp_path, monkeypatch):
+    """The log of last changes is written anew now and then; a batch that runs again changes nothing."""
+    monkeypatch.setattr(counts, "WHOLE_EVERY", 3)
+    rng = random.Random(9)
+    seen, best = [], {}
+    run = lambda: counts.kept_counts(spark.readStream.schema(counts.CHANGES).parquet(str(tmp_path / "in")), str(tmp_path / "counts"), str(tmp_path / "check")).awaitTermination()
+    for k in range(8):
+        part = [(rng.randrange(12), rng.randrange(6), rng.choice(["insert", "delete", None, "DELETE"]), rng.choice(["Valide", "En cours", "x", None])) for _ in range(15)]
+        seen += part
+        spark.createDataFrame(part, counts.CHANGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+        if k in (3, 4):
+            for name in (f"{k}", f".{k}.crc"):
+                (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+            run()
+        for i, n, op, status in seen:
+            gone = (op or "").lower() == "delete"
+            best[i] = max(best.get(i, (-1, False, "")), (n, gone, "" if gone else registry_status(status) if status else "Anomalie"))
+        want = {}
+        for _, gone, status in best.values():
+            if not gone:
+                want[status] = want.get(status, 0) + 1
+        assert {r["status"]: r["n"] for r in counts.current(spark, str(tmp_path / "counts")).collect()} == want
+    assert len(list((tmp_path / "counts" / "last").iterdir())) <= 4
+    rows = counts.taken(spark.createDataFrame(seen, counts.CHANGES))
+    plan = counts.deltas(counts.renewed(rows, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # ---- cut points and sinks
 
 
