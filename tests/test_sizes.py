@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketry.functions import facts
 from docketry.functions import lexicon as L
 from docketry.functions import text as T
-from docketry.operators import ocr
+from docketry.operators import ocr, record
 from docketry.plans import derived as D
 from docketry.plans import queries
 from docketry.sources import documents as docs
@@ -84,3 +84,13 @@ def test_decision_is_worked_out_where_an_award_stands(spark):
     assert [r["a"] for r in got] == [r["b"] for r in got] == ["Favorable"] * 4 + [None] * 2
     plan = queries.bank_decision(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Contains") < plan.index(L.BANK)
+
+
+def test_json_records_are_packed(spark, tmp_path):
+    rows = record.strengthen(D.judgments(spark, SF)).select("doc_id", "extraction.*").coalesce(1)
+    docs.write_json(rows, str(tmp_path / "packed"))
+    rows.write.json(str(tmp_path / "plain"))
+    size = {x: sum(f.stat().st_size for f in (tmp_path / x).glob("part-*")) for x in ("packed", "plain")}
+    assert size["packed"] * 5 < size["plain"]
+    read = lambda x: sorted(map(str, spark.read.schema(rows.schema).json(str(tmp_path / x)).collect()))
+    assert read("packed") == read("plain") and len(read("packed")) == rows.count()
