@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import facts
 from docketry.functions import lexicon as L
 from docketry.functions import text as T
-from docketry.operators import ocr, record
+from docketry.operators import ocr, record, schema
 from docketry.plans import derived as D
 from docketry.plans import queries
 from docketry.sources import documents as docs
@@ -94,3 +95,32 @@ def test_json_records_are_packed(spark, tmp_path):
     assert size["packed"] * 5 < size["plain"]
     read = lambda x: sorted(map(str, spark.read.schema(rows.schema).json(str(tmp_path / x)).collect()))
     assert read("packed") == read("plain") and len(read("packed")) == rows.count()
+
+
+def test_decided_are_the_rows_of_that_decision(spark):
+    rows = D.judgments(spark, SF).withColumn("k", F.col("doc_id") % 4)
+    given = F.when(F.col("k") == 0, F.struct(*(F.lit({"decision": " Favorable ", "role_banque": "demandeur"}.get(n)).cast(v).alias(n) for n, v in schema.FIELDS.items())))
+    for df, name in ((rows, None), (rows.withColumn("given", given), "given")):
+        want = record.strengthen(df, record=name).filter("extraction.decision = 'Favorable'")
+        assert sorted(map(str, record.decided(df, "Favorable", record=name).collect())) == sorted(map(str, want.collect()))
+    plan = record.decided(rows, "Favorable")._jdf.queryExecution().optimizedPlan().toString()
+    # Above the rendering of the text, which is not repeated in it.
+    at = re.search(r"Filter [^\n]*_hit#", plan).start()
+    assert at < plan.index("RepartitionByExpression") and plan.count("قسط رقم الدين") == 1
+
+
+def test_ends_of_texts_are_cut_by_bytes(spark):
+    texts = ["", "a", "é", "\U0001f600", "اaé\U0001f600" * 3, "\U0001f600" * 9, "ا" * 9, None]
+    rows = spark.createDataFrame([(t, t[2:] if t else t) for t in texts], "t string, tail string")
+    found = rows.select("t", "tail", *(T.last_chars(F.col("t"), n).alias(f"n{n}") for n in (1, 3, 5)), T.before_tail(F.col("t"), F.col("tail")).alias("head")).collect()
+    for r in found:
+        assert [r["n1"], r["n3"], r["n5"], r["head"]] == ([None] * 4 if r["t"] is None else [r["t"][-1:], r["t"][-3:], r["t"][-5:], r["t"][:2]])
+    plan = rows.select(T.before_last(F.col("t"), "a"), T.last_chars(F.col("t"), 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert " length(" not in plan.replace("octet_length(", "")
+
+
+def test_every_name_of_the_bank_is_a_mention(spark):
+    rest = " تمويل المؤسسات الصغرى والمتوسطة"
+    texts = [x + rest for x in ("بنك", "البنك", "يتنك", "اليتنك", "تنك", "نك", "ال نك", "")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.has(F.col("t"), L.BANK).alias("a"), T.has(F.col("t"), L.MENTION).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] == [True] * 4 + [False] * 4
